@@ -11,6 +11,7 @@ from hushmark.operators import detect as D
 from hushmark.operators import evidence as E
 from hushmark.operators import layout as L
 from hushmark.operators.literal import locate
+from hushmark.session import cut
 
 _FIELDS = ["prio", "ord", "start", "end", "type", "value", "alts", "relation", "proof_unit", "proof_start", "proof_end"]
 
@@ -31,6 +32,7 @@ def propagate_names(units: DataFrame, names: DataFrame) -> DataFrame:
     proofs = names.where("type = 'name' AND relation IS NOT NULL").groupBy("doc_id", "value").agg(
         F.expr(f"min_by(struct(proof_unit, proof_start, proof_end, unit_seq, start), {rank})").alias("p")
     )
+    proofs = cut(proofs)
     hits = locate(units, proofs).where(name_follows())
     keep = [c for c in ("doc_id", "unit_seq", "unit_id", "page") if c in units.columns]
     return hits.join(proofs, ["doc_id", "value"]).selectExpr(
@@ -64,6 +66,7 @@ def detect_all(
         if lines is not None:
             parts.append(L.address_row_label(lines, today).select(*keys, *_FIELDS))
         first = D.settle_rows(_union(parts))
+    first = cut(first)
     if lines is not None:
         addresses = D.finish(first)
         later = [
@@ -71,7 +74,7 @@ def detect_all(
             L.address_continuation(lines, addresses).select(*keys, *_FIELDS),
             L.table_column_fields(lines, today, chars).select(*keys, *_FIELDS),
         ]
-        first = D.settle_rows(_union(later))
+        first = cut(D.settle_rows(_union(later)))
     names = propagate_names(units, first).select(*keys, *_FIELDS)
     return D.finish(D.settle_rows(first.select(*keys, *_FIELDS).unionByName(names)))
 

@@ -13,11 +13,11 @@ from hushmark.functions.validate import label_type, valid_value
 from hushmark.operators import detect as D
 from hushmark.operators import evidence as E
 from hushmark.operators import layout as L
-from hushmark.operators.joins import block_rank  # noqa: F401
 from hushmark.operators.pipeline import detect_all, propagate_names
 from hushmark.plans import fixtures as fx
 from hushmark.plans.a_sources import all_units, kr_units
 from hushmark.plans.b_formats import settled
+from hushmark.session import cut
 from hushmark.sources import units as U
 
 T = fx.TODAY
@@ -144,7 +144,7 @@ def c14(spark, d):
 
 
 def c14_layout(spark, d):
-    every = forms(spark, d).unionByName(lines(spark, d).withColumn("doc_id", F.expr("-1 - doc_id")))
+    every = cut(forms(spark, d).unionByName(lines(spark, d).withColumn("doc_id", F.expr("-1 - doc_id"))))
     units = every.select("doc_id", "unit_seq", "unit_id", "text")
     found = detect_all(units, T, E.line_relations(every), every, U.chars_from_lines(every))
     return found.selectExpr("doc_id", "unit_id", "start", "end", "type", "value")

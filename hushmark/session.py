@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,6 +22,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in _DEFAULTS.items():
@@ -35,9 +38,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Shared folder for written intermediates, as the cluster names it."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    return fallback
+def cut(frame: DataFrame) -> DataFrame:
+    """Write a result that several later steps read, so they neither recompute nor re-plan it.
+
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session
+    without that setting gets a folder of its own; elsewhere the lineage is left whole.
+    """
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                return frame
+            folder = tempfile.mkdtemp(prefix="hushmark-")
+        context.setCheckpointDir(folder)
+    return frame.checkpoint(eager=True)
