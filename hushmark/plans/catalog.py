@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from hushmark.plans import a_sources, b_formats, c_labels
+from hushmark.plans import a_sources, b_formats, c_labels, d_evidence, f_masking
 from hushmark.session import prepare
 
-_MODULES = [a_sources, b_formats, c_labels]
+_MODULES = [a_sources, b_formats, c_labels, d_evidence, f_masking]
 
 
 def _pinned(query):
