@@ -111,7 +111,7 @@ def e12(spark, d):
 
 CROWD = (
     "SELECT l_suppkey AS doc_id, CAST(l_orderkey AS INT) AS unit_seq, l_linenumber AS start, "
-    "CAST(l_partkey AS STRING) || '-' || CAST(CAST(l_extendedprice * 100 AS BIGINT) AS STRING) AS cand_id FROM lineitem"
+    "CAST(l_partkey AS STRING) || '-' || CAST(CAST(l_quantity AS INT) AS STRING) AS cand_id FROM lineitem"
 )
 
 
