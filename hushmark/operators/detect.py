@@ -230,6 +230,21 @@ def detect_in_unit(units: DataFrame, today: str) -> DataFrame:
     return finish(as_rows(in_unit(units, today), settle()))
 
 
+def redact_in_unit(units: DataFrame, today: str) -> DataFrame:
+    """Detect in each unit and star every find, within the unit's own row.
+
+    No shuffle and no state, so batch and stream run the same plan. Adds redacted and n_found.
+    """
+    starred = (
+        "aggregate(kept, text, (t, k) -> overlay(t PLACING repeat('*', k.end - k.start) FROM k.start + 1 FOR k.end - k.start))"
+    )
+    found = in_unit(units, today)
+    return found.withColumn(
+        "out", F.expr(f"IF(size(finds) = 0, named_struct('redacted', text, 'n_found', 0), "
+                      + let("kept", settle(), f"named_struct('redacted', {starred}, 'n_found', size(kept))") + ")")
+    ).select(*units.columns, "out.redacted", "out.n_found")
+
+
 def classify_documents(units: DataFrame) -> DataFrame:
     """Class of a document from its first four non-empty body lines, else ``other``.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from hushmark.plans import a_sources, b_formats, c_labels, d_evidence, e_grounding, f_masking, g_policy, h_audit
+from hushmark.plans import a_sources, b_formats, c_labels, d_evidence, e_grounding, f_masking, g_policy, h_audit, i_streaming
 from hushmark.session import prepare
 
-_MODULES = [a_sources, b_formats, c_labels, d_evidence, e_grounding, f_masking, g_policy, h_audit]
+_MODULES = [a_sources, b_formats, c_labels, d_evidence, e_grounding, f_masking, g_policy, h_audit, i_streaming]
 
 
 def _pinned(query):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from hushmark.functions import catalog as functions
@@ -19,7 +17,7 @@ from hushmark.plans.c_labels import EVERYTHING, T, forms, made
 from hushmark.plans.d_evidence import CANDS_DUCK, cands
 from hushmark.plans.f_masking import DECIDED_DUCK, _HIDDEN, RANGE_ROWS, decided
 from hushmark.plans.g_policy import METADATA
-from hushmark.session import cut
+from hushmark.session import cut, work_folder
 from hushmark.sources import sink
 from hushmark.sources import units as U
 
@@ -103,8 +101,7 @@ def a8(spark, d):
     copy = O.redact_units(kr_units(spark, d), choice).selectExpr("doc_id", "unit_seq", "unit_id", "redacted AS text")
     leaks = A.leak_scan(copy, choice).select("doc_id").distinct().withColumn("leak", F.lit(True))
     checks = copy.select("doc_id").distinct().join(leaks, "doc_id", "left").selectExpr("doc_id", "'leak_scan' AS name", "leak IS NULL AS passed")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hushmark-copy-")
-    return sink.redacted_sink(copy, checks, 2, folder).select("doc_id", "version", "n_units", "n_checks", "sha256")
+    return sink.redacted_sink(copy, checks, 2, work_folder(spark, "copies")).select("doc_id", "version", "n_units", "n_checks", "sha256")
 
 
 def j1(spark, d):

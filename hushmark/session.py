@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder all executors see, as the session names it; a local session gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="hushmark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder for one run's files below the shared one."""
+    folder = shared_folder(spark)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Write a result that several later steps read, so they neither recompute nor re-plan it.
 
@@ -47,10 +65,8 @@ def cut(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+        folder = shared_folder(spark)
         if not folder:
-            if not context.master.startswith("local"):
-                return frame
-            folder = tempfile.mkdtemp(prefix="hushmark-")
+            return frame
         context.setCheckpointDir(folder)
     return frame.checkpoint(eager=True)
