@@ -84,6 +84,12 @@ ROLE_NAMES = [
     (rf"(?U)((?<![가-힣])(?:문의\s*[:：]\s*(?:급여담당\s+)?|급여담당\s+))({PERSON})(?=\s*(?:\(?0\d|내선\s+0\d))", True),
     (rf"(?U)(가족\((?:모|부|배우자|자녀|형제|자매)\)\s+)({PERSON})(?=(?:에게도|에게|은|는)?[\s,])", True),
 ]
+# Words without which the rule above or below them cannot match.
+ROLE_WORDS = [["성명", "이름", "내담자", "상담자", "예금주"], ["(대표"], ["갑", "을", "병", "정"], ["문의", "급여담당"], ["가족("]]
+RESIDENCE_WORDS = ["거주지", "자택주소", "현주소"]
+RECEIPT_WORDS = ["접수번호"]
+LABELLED_WORDS = {"account": ["계좌"], "card": ["카드"], "passport": ["여권"], "driver_license": ["면허"],
+                  "management_id": ["사번", "학번", "번호"], "dob": ["생년월일", "출생일"]}
 RESIDENCE = r"(?U)((?<![가-힣])(?:거주지|자택주소|현주소)\s*[:：]?\s+)([^;|\n]+)"
 CARE_RECORD = r"(?U)(?:상담|진료|환자|내담자)\s*(?:일지|기록|접수)"
 RECEIPT = r"(?U)(접수번호\s*[:：]?\s+)([A-Za-z0-9][A-Za-z0-9_-]{2,63})(?![A-Za-z0-9_-])"

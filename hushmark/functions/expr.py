@@ -62,7 +62,7 @@ def span_array(text: str, pattern: str, prefixed: bool = False, guard: str | Non
     pieces = f"split(regexp_replace({clean}, {lit(marked)}, {lit(swap)}), '[{_OPEN}{_MID}{_CLOSE}]', -1)"
     ends = (
         "aggregate(p, named_struct('pos', 0, 'cuts', CAST(array() AS array<int>)), "
-        "(acc, x) -> named_struct('pos', acc.pos + length(x), 'cuts', concat(acc.cuts, array(acc.pos + length(x)))), "
+        "(acc, x) -> named_struct('pos', acc.pos + length(x), 'cuts', array_append(acc.cuts, acc.pos + length(x))), "
         "acc -> acc.cuts)"
     )
     body = let(
@@ -73,7 +73,12 @@ def span_array(text: str, pattern: str, prefixed: bool = False, guard: str | Non
     )
     hits = let("p", pieces, f"IF(size(p) > 1, {body}, {NO_SPANS})")
     test = guard or f"{text} RLIKE {lit(pattern)}"
-    return f"IF({test}, {hits}, {NO_SPANS})"
+    return hits if test == "true" else f"IF({test}, {hits}, {NO_SPANS})"
+
+
+def mentions(text: str, words_: list[str]) -> str:
+    """Cheap byte search for words without which a rule cannot apply; runs before any pattern."""
+    return "(" + " OR ".join(f"contains({text}, {lit(w)})" for w in words_) + ")"
 
 
 def overlay_ranges(value: str, ranges: str, base: str = "0") -> str:

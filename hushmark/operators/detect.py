@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushmark import constants as K
-from hushmark.functions.expr import any_of, let, lit, span_array, stripped, trimmed_start
+from hushmark.functions.expr import let, lit, mentions, span_array, stripped, trimmed_start
 from hushmark.functions.ids import candidate_id
 from hushmark.functions.validate import label_type, person_name, valid_value
 
@@ -53,18 +53,20 @@ def _settle_by_start(raw: str) -> str:
     )
     return (
         f"aggregate({ordered}, {NONE}, (kept, x) -> CASE WHEN size(kept) = 0 OR {last}.end <= x.start "
-        f"THEN concat(kept, array(x)) ELSE concat(slice(kept, 1, size(kept) - 1), array({with_alt})) END)"
+        f"THEN array_append(kept, x) ELSE concat(slice(kept, 1, size(kept) - 1), array({with_alt})) END)"
     )
 
 
 def format_candidates(text: str = "text") -> str:
     """All format finds of a unit, overlaps settled: one expression, one pass over the text."""
-    parts = [
-        f"transform({span_array(text, pattern)}, s -> {_raw(0, rank, 's', lit(kind))})"
-        for rank, (kind, pattern) in enumerate(K.FORMATS)
-    ]
+    cheap = {"phone": [f"contains({text}, '0')"], "email": [f"contains({text}, '@')"]}
+    parts = []
+    for rank, (kind, pattern) in enumerate(K.FORMATS):
+        test = " AND ".join([*cheap.get(kind, []), f"{text} RLIKE {lit(pattern)}"])
+        parts.append(f"IF({test}, transform({span_array(text, pattern, guard='true')}, s -> {_raw(0, rank, 's', lit(kind))}), {NONE})")
     # Every format has a digit or an at sign; most units stop here.
-    return f"IF({text} RLIKE '[@\\\\p{{Nd}}]', {_settle_by_start('concat(' + ', '.join(parts) + ')')}, {NONE})"
+    found = let("r", f"concat({', '.join(parts)})", f"IF(size(r) < 2, r, {_settle_by_start('r')})")
+    return f"IF({text} RLIKE '[@\\\\p{{Nd}}]', {found}, {NONE})"
 
 
 def role_names(text: str = "text", unit: str = "unit_id", has_phone: str = "has_phone") -> str:
@@ -73,8 +75,8 @@ def role_names(text: str = "text", unit: str = "unit_id", has_phone: str = "has_
         contact = "true" if needs_phone else "s.value RLIKE '문의|급여담당'"
         keep = f"{person_name('s.value')} AND ({has_phone} OR NOT ({contact}))"
         parts.append(
-            f"transform(filter({span_array(text, pattern, True)}, s -> {keep}), "
-            f"(s, i) -> {_raw(1, f'{rank * 100000} + i', 's', lit('name'), lit('inline_label'), unit, 's.pstart', 's.start')})"
+            f"IF({mentions(text, K.ROLE_WORDS[rank])}, transform(filter({span_array(text, pattern, True)}, s -> {keep}), "
+            f"(s, i) -> {_raw(1, f'{rank * 100000} + i', 's', lit('name'), lit('inline_label'), unit, 's.pstart', 's.start')}), {NONE})"
         )
     return "concat(" + ", ".join(parts) + ")"
 
@@ -88,10 +90,10 @@ def _trim_span(s: str, text: str) -> str:
 
 
 def residence_addresses(today: str, text: str = "text", unit: str = "unit_id") -> str:
-    spans = f"transform({span_array(text, K.RESIDENCE, True)}, s -> {_trim_span('s', text)})"
+    spans = f"transform({span_array(text, K.RESIDENCE, True, 'true')}, s -> {_trim_span('s', text)})"
     return (
-        f"transform(filter({spans}, s -> {valid_value(lit('address'), 's.value', today)}), "
-        f"(s, i) -> {_raw(2, 'i', 's', lit('address'), lit('inline_label'), unit, 's.pstart', 's.start')})"
+        f"IF({mentions(text, K.RESIDENCE_WORDS)}, transform(filter({spans}, s -> {valid_value(lit('address'), 's.value', today)}), "
+        f"(s, i) -> {_raw(2, 'i', 's', lit('address'), lit('inline_label'), unit, 's.pstart', 's.start')}), {NONE})"
     )
 
 
@@ -99,8 +101,8 @@ def care_receipts(today: str, text: str = "text", unit: str = "unit_id") -> str:
     """A receipt number is a person's identifier only in a counselling or care record."""
     spans = span_array(text, K.RECEIPT, True, f"{text} RLIKE {lit(K.CARE_RECORD)}")
     return (
-        f"transform(filter({spans}, s -> {valid_value(lit('management_id'), 's.value', today)}), "
-        f"(s, i) -> {_raw(3, 'i', 's', lit('management_id'), lit('inline_label'), unit, '0', 's.start')})"
+        f"IF({mentions(text, K.RECEIPT_WORDS)}, transform(filter({spans}, s -> {valid_value(lit('management_id'), 's.value', today)}), "
+        f"(s, i) -> {_raw(3, 'i', 's', lit('management_id'), lit('inline_label'), unit, '0', 's.start')}), {NONE})"
     )
 
 
@@ -109,8 +111,8 @@ def labelled(kind: str, today: str, text: str = "text", unit: str = "unit_id") -
     rank = [k for k, _ in K.LABELLED].index(kind)
     pattern = dict(K.LABELLED)[kind]
     return (
-        f"transform(filter({span_array(text, pattern, True)}, s -> {valid_value(lit(kind), 's.value', today)}), "
-        f"(s, i) -> {_raw(4, f'{rank * 100000} + i', 's', lit(kind), lit('inline_label'), unit, 's.pstart', 's.start')})"
+        f"IF({mentions(text, K.LABELLED_WORDS[kind])}, transform(filter({span_array(text, pattern, True, 'true')}, s -> {valid_value(lit(kind), 's.value', today)}), "
+        f"(s, i) -> {_raw(4, f'{rank * 100000} + i', 's', lit(kind), lit('inline_label'), unit, 's.pstart', 's.start')}), {NONE})"
     )
 
 
@@ -129,7 +131,7 @@ def inline_fields(today: str, text: str = "text", unit: str = "unit_id") -> str:
     pieces = f"split(regexp_replace({clean}, {lit(_FIELD)}, '\u0001$0\u0002'), '[\u0001\u0002]', -1)"
     cuts = (
         "aggregate(p, named_struct('pos', 0, 'cuts', CAST(array() AS array<int>)), "
-        "(acc, x) -> named_struct('pos', acc.pos + length(x), 'cuts', concat(acc.cuts, array(acc.pos + length(x)))), "
+        "(acc, x) -> named_struct('pos', acc.pos + length(x), 'cuts', array_append(acc.cuts, acc.pos + length(x))), "
         "acc -> acc.cuts)"
     )
     label = "regexp_replace(p[2*i+1], '(?U)^[\\\\n;|\\\\t]?\\\\s*|\\\\s*[:：]$', '')"
@@ -144,10 +146,9 @@ def inline_fields(today: str, text: str = "text", unit: str = "unit_id") -> str:
     )
     empty = "CAST(array() AS array<struct<kind:string,pstart:int,pend:int,start:int,end:int,value:string>>)"
     found = let("p", pieces, f"IF(size(p) > 1, {fields}, {empty})")
-    guarded = f"IF({text} RLIKE '[:：]', {found}, {empty})"
     return (
-        f"transform(filter({guarded}, s -> s.kind IS NOT NULL AND {valid_value('s.kind', 's.value', today)}), "
-        f"(s, i) -> {_raw(5, 'i', 's', 's.kind', lit('inline_label'), unit, 's.pstart', 's.pend')})"
+        f"IF({mentions(text, [':', '：'])}, transform(filter({found}, s -> s.kind IS NOT NULL AND {valid_value('s.kind', 's.value', today)}), "
+        f"(s, i) -> {_raw(5, 'i', 's', 's.kind', lit('inline_label'), unit, 's.pstart', 's.pend')}), {NONE})"
     )
 
 
@@ -177,13 +178,13 @@ def settle(finds: str = "finds") -> str:
     )
     step = let(
         "ov", f"filter(kept, k -> {meets})",
-        "CASE WHEN size(ov) = 0 THEN concat(kept, array(x)) "
+        "CASE WHEN size(ov) = 0 THEN array_append(kept, x) "
         "WHEN exists(ov, k -> k.type = x.type AND k.start = x.start AND k.end = x.end) THEN kept "
         "WHEN x.type IN ('account', 'card', 'driver_license') "
         "AND forall(ov, k -> k.type = 'phone' AND x.start <= k.start AND k.end <= x.end) "
         f"THEN concat(filter(kept, k -> NOT ({meets})), array({replaced})) ELSE kept END",
     )
-    return f"aggregate({ordered}, {NONE}, (kept, x) -> {step})"
+    return f"IF(size({finds}) < 2, {finds}, aggregate({ordered}, {NONE}, (kept, x) -> {step}))"
 
 
 def as_rows(units: DataFrame, finds: str) -> DataFrame:

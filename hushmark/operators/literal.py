@@ -24,7 +24,7 @@ def occurrences(text: str, value: str, disjoint: bool = False) -> str:
     return let(
         "p", pieces,
         f"slice(aggregate(p, named_struct('pos', 0, 'cuts', CAST(array() AS array<int>)), (acc, x) -> named_struct("
-        f"'pos', acc.pos + length(x) + {width}, 'cuts', concat(acc.cuts, array(acc.pos + length(x)))), acc -> acc.cuts), "
+        f"'pos', acc.pos + length(x) + {width}, 'cuts', array_append(acc.cuts, acc.pos + length(x))), acc -> acc.cuts), "
         "1, size(p) - 1)",
     )
 

@@ -12,14 +12,18 @@ def kr_docs(spark, d):
     return fx.derive(spark, d, fx.DOCS)
 
 
+def own_docs(spark, d):
+    """The supplied documents under negative ids."""
+    return fx.table(spark, d, "documents").selectExpr("-1 - doc_id AS doc_id", "text")
+
+
 def kr_units(spark, d):
-    return U.units_from_text(kr_docs(spark, d))
+    return U.units_from_text(U.spread(kr_docs(spark, d)))
 
 
 def all_units(spark, d):
     """Korean units plus the supplied documents, whose ids are made negative."""
-    own = fx.table(spark, d, "documents").selectExpr("-1 - doc_id AS doc_id", "text")
-    return U.units_from_text(kr_docs(spark, d).unionByName(own))
+    return U.units_from_text(U.spread(kr_docs(spark, d).unionByName(own_docs(spark, d))))
 
 
 def parted_units(spark, d):

@@ -11,6 +11,16 @@ from hushmark.functions.expr import squeezed
 BODY = "word/document.xml"
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Give every core a share when the input has fewer splits than there are cores.
+
+    Detection costs far more than moving a small input; an input with enough splits, as any
+    large one has, is left where it lies and is never shuffled.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def units_from_text(docs: DataFrame, part: str = BODY) -> DataFrame:
     """One row per line of a document, empty lines kept; narrow, no shuffle."""
     return docs.select(
