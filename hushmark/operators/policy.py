@@ -153,7 +153,7 @@ def resolve_locations(cands: DataFrame, units: DataFrame, picks: DataFrame) -> t
 def readiness_gate(docs: DataFrame, cands: DataFrame, units: DataFrame, metadata: DataFrame) -> DataFrame:
     """First reason why a document may not be rendered yet; needs metadata_reviewed and incomplete."""
     read = cands.join(units.select("doc_id", "unit_id", "text"), ["doc_id", "unit_id"], "left").withColumn(
-        "next_start", F.expr("lead(start) OVER (PARTITION BY doc_id, unit_id ORDER BY start, end)"))
+        "next_start", F.expr("lead(start) OVER (PARTITION BY doc_id, coalesce(unit_id, cand_id) ORDER BY start, end)"))
     broken = decision_error("method", "confirmed", "located", "mask", "value")
     flags = read.groupBy("doc_id").agg(
         F.expr("count(*) AS n"), F.expr("bool_or(NOT confirmed) AS open"), F.expr("bool_or(NOT located) AS lost"),

@@ -90,11 +90,11 @@ def c8(spark, d):
 
 
 def forms(spark, d):
-    return fx.derive(spark, d, fx.FORMS)
+    return cut(fx.derive(spark, d, fx.FORMS))
 
 
 def lines(spark, d):
-    return fx.derive(spark, d, fx.LINES)
+    return cut(fx.derive(spark, d, fx.LINES))
 
 
 def c9(spark, d):
@@ -144,7 +144,7 @@ def c14(spark, d):
 
 
 def c14_layout(spark, d):
-    every = cut(forms(spark, d).unionByName(lines(spark, d).withColumn("doc_id", F.expr("-1 - doc_id"))))
+    every = forms(spark, d).unionByName(lines(spark, d).withColumn("doc_id", F.expr("-1 - doc_id")))
     units = every.select("doc_id", "unit_seq", "unit_id", "text")
     found = detect_all(units, T, E.line_relations(every), every, U.chars_from_lines(every))
     return found.selectExpr("doc_id", "unit_id", "start", "end", "type", "value")

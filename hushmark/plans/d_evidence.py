@@ -10,6 +10,7 @@ from hushmark.plans import fixtures as fx
 from hushmark.plans.a_sources import all_units, kr_units
 from hushmark.plans.b_formats import ID_DUCK, settled
 from hushmark.plans.c_labels import EVERYTHING, GRID_DUCK, REPEAT, T, forms, grid, lines, made
+from hushmark.session import cut
 
 # Format and label candidates of the Korean units, by construction.
 CANDS_DUCK = (
@@ -19,7 +20,8 @@ CANDS_DUCK = (
 
 
 def cands(spark, d):
-    return D.detect_in_unit(kr_units(spark, d), T)
+    """The candidate table of the Korean units, written once because later steps read it several times."""
+    return cut(D.detect_in_unit(kr_units(spark, d), T))
 
 
 def flagged_units(spark, d):

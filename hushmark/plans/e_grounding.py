@@ -55,7 +55,7 @@ def e4(spark, d):
 
 def _reconciled(rule):
     def query(spark, d):
-        return rule(cut(open_records(spark, d)), cut(cands(spark, d))).select("doc_id", "type", "raw_value", "cand_id")
+        return rule(cut(open_records(spark, d)), cands(spark, d)).select("doc_id", "type", "raw_value", "cand_id")
 
     return query
 
@@ -67,7 +67,7 @@ WRAPPED = (
 
 
 def e8(spark, d):
-    f = cut(forms(spark, d))
+    f = forms(spark, d)
     found = L.ground_multiline(f, U.chars_from_lines(f), fx.derive(spark, d, WRAPPED))
     return found.select("doc_id", "linked_value", "link_index", "link_count", "link_group", "unit_id", "start", "end", "value")
 
@@ -146,7 +146,7 @@ def e16(spark, d):
 
 def e17(spark, d):
     rows = cut(open_records(spark, d))
-    known = cut(cands(spark, d))
+    known = cands(spark, d)
     explained = G.reconcile_email(rows, known).unionByName(G.reconcile_address(rows, known)).unionByName(G.reconcile_whitespace(rows, known))
     old = G.unresolved_candidates(rows).withColumns({
         "confirmed": F.expr("doc_id % 5 = 2"), "decision_source": F.expr("IF(doc_id % 7 = 3, 'user', NULL)"), "has_proposal": F.expr("doc_id % 11 = 4"),

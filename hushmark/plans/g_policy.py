@@ -51,7 +51,7 @@ def _plan(spark, d):
 
 def g2(spark, d):
     versions = fx.table(spark, d, "customer").selectExpr("c_custkey AS doc_id", "2L AS version")
-    merged, refused = P.apply_plan(cut(_known(spark, d)), _plan(spark, d), versions)
+    merged, refused = P.apply_plan(_known(spark, d), _plan(spark, d), versions)
     return merged.join(refused, "doc_id", "left").selectExpr("doc_id", "cand_id", "method", "confirmed", "coalesce(decision_source, '-') AS decided_by", "coalesce(reason, '-') AS refused")
 
 
@@ -68,7 +68,7 @@ def _picks(spark, d):
 
 
 def g3(spark, d):
-    return P.add_manual(cut(cands(spark, d)), kr_units(spark, d), _picks(spark, d)).selectExpr("doc_id", "pick_no", "outcome", "coalesce(value, '-') AS value", "cand_id")
+    return P.add_manual(cands(spark, d), kr_units(spark, d), _picks(spark, d)).selectExpr("doc_id", "pick_no", "outcome", "coalesce(value, '-') AS value", "cand_id")
 
 
 def g4(spark, d):
