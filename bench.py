@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from hushmark.plans.catalog import QUERIES, flagship
 from hushmark.session import local_session
 
 HEADLINE = [
-    "pii_union", "detect_all", "detect_all_layout", "table_column_fields", "evidence_above", "propagate_names", "merge_overlap", "redact_units",
-    "mask_text_chain", "preset_previews", "validate_suggestions", "leak_scan", "detection_audit", "glyph_check", "stream_redact",
+    "pii_union", "mask_text_chain", "redact_units", "preset_previews", "evidence_above", "leak_scan", "merge_overlap", "validate_suggestions",
+    "detection_audit", "stream_redact", "table_column_fields",
 ]
 
 
@@ -25,6 +26,7 @@ def main() -> None:
         started = time.time()
         query(spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.time() - started, 3)
+        print(name, timings[name], file=sys.stderr, flush=True)
     total = round(sum(timings.values()), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": timings, "sf": sf_dir.rsplit("sf", 1)[-1]}))
 
