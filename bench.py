@@ -11,8 +11,7 @@ from hushmark.plans.catalog import QUERIES, flagship
 from hushmark.session import local_session
 
 HEADLINE = [
-    "pii_union", "mask_text_chain", "redact_units", "preset_previews", "evidence_above", "leak_scan", "merge_overlap", "validate_suggestions",
-    "detection_audit", "stream_redact", "table_column_fields",
+    "pii_union", "mask_text_chain", "redact_units", "preset_previews", "evidence_above", "leak_scan", "detection_audit", "stream_redact",
 ]
 
 
