@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hushmark.llm.queries import secrets
+import importlib
 
-_MODULES = [secrets]
+_MODULES = [importlib.import_module(f"hushmark.llm.queries.{name}") for name in ("secrets", "contamination")]
 
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLE = {m.NAME: m.ORACLE for m in _MODULES if m.ORACLE}
