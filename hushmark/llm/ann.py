@@ -2,8 +2,8 @@
 
 Vectors are dealt by hash to shards of bounded size. In each shard a graph is grown: points are added in
 batches, a beam search from the medoid over the graph so far proposes neighbours, and pruning
-with relaxed distances keeps an edge only if no kept neighbour is clearly nearer to its end; edges back are pruned likewise. A
-query runs a beam search in every shard, and the shards' bests are merged. Queries come in blocks,
+with relaxed distances keeps an edge only if no kept neighbour is clearly nearer to its end; edges back are pruned likewise. Crowds
+of nearly equal points enter the graph by one leader, and a search measures all points of the leaders it finds. A query runs a beam search in every shard, and the shards' bests are merged. Queries come in blocks,
 so a task holds one shard and one block.
 
 Exactly equal vectors are one point that carries the k + 1 smallest ids, which is all that a top-k can
@@ -130,6 +130,30 @@ def grow(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> tuple[np.ndar
     return graph, entry
 
 
+def lead(x: np.ndarray, samples: int = 256, share: float = 0.9, part: float = 0.5) -> np.ndarray:
+    """The leader (a point's number) of each point, itself or one within a radius of it.
+
+    Dense crowds of nearly equal points would fill every beam; their leader stands for them in the graph, and
+    a search measures all points of the leaders it finds. The radius is half of the distance to the nearest
+    other point that nine of ten points (of a fixed draw) stay within.
+    """
+    n = len(x)
+    norms = (x * x).sum(1)
+    drawn = np.random.default_rng(n).permutation(n)
+    some = drawn[:samples]
+    away = norms[some, None] + norms - 2 * x[some] @ x.T
+    away[np.arange(len(some)), some] = np.inf
+    near = np.sqrt(np.maximum(away.min(1), 0)) if n > 1 else np.zeros(1)
+    radius = (part * float(np.quantile(near[np.isfinite(near)], share))) ** 2 if n > 1 else 0.0
+    leader = np.full(n, -1, np.int64)
+    for k in drawn:
+        if leader[k] < 0:
+            free = np.flatnonzero(leader < 0)
+            leader[free[((x[free] - x[k]) ** 2).sum(1) <= radius]] = k
+            leader[k] = k
+    return leader
+
+
 def usable(vector: Column) -> Column:
     whole = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return vector.isNotNull() & whole & F.exists(vector, lambda v: v != 0)
@@ -150,13 +174,17 @@ def index(points: DataFrame, k: int, shard: int) -> DataFrame:
     def build(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         x = _take(group.column("vector").combine_chunks())
-        graph, entry = grow(x)
+        leader = lead(x)
+        leaders = np.unique(leader)
+        graph, entry = grow(x[leaders])
+        of = np.searchsorted(leaders, leader)
         return pa.table({
             "dim": group.column("dim")[:1], "shard": group.column("shard")[:1], "vectors": pa.array([x.astype("<f8").tobytes()], pa.binary()), "graph": pa.array([graph.astype("<i4").tobytes()], pa.binary()),
-            "entry": pa.array([entry], pa.int32()), "ids": pa.array([group.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))),
+            "entry": pa.array([entry], pa.int32()), "leaders": pa.array([leaders.astype("<i4").tobytes()], pa.binary()), "leader_of": pa.array([of.astype("<i4").tobytes()], pa.binary()),
+            "ids": pa.array([group.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))),
         })
 
-    return dealt.select("dim", "shard", "vector", "ids").groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, vectors binary, graph binary, entry int, ids array<array<bigint>>")
+    return dealt.select("dim", "shard", "vector", "ids").groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, vectors binary, graph binary, entry int, leaders binary, leader_of binary, ids array<array<bigint>>")
 
 
 def search(indexed: DataFrame, queries: DataFrame, k: int, a_block: int) -> DataFrame:
@@ -173,15 +201,23 @@ def search(indexed: DataFrame, queries: DataFrame, k: int, a_block: int) -> Data
             for r in range(batch.num_rows):
                 dim = batch.column("dim")[r].as_py()
                 x = np.frombuffer(batch.column("vectors")[r].as_py(), "<f8").reshape(-1, dim)
-                graph = np.frombuffer(batch.column("graph")[r].as_py(), "<i4").reshape(len(x), -1).astype(np.int64)
+                graph = np.frombuffer(batch.column("graph")[r].as_py(), "<i4").reshape(-1, DEGREE).astype(np.int64)
                 asked = batch.column("queries")[r].values
                 q, own = _take(asked.field("vector")), asked.field("id").to_numpy()
                 ids = batch.column("ids")[r].as_py()
-                nodes, _ = beam_search(x, (x * x).sum(1), graph, batch.column("entry")[r].as_py(), q)
-                exact = np.sqrt(((x[nodes] - q[:, None]) ** 2).sum(2))
+                leaders, of = (np.frombuffer(batch.column(c)[r].as_py(), "<i4").astype(np.int64) for c in ("leaders", "leader_of"))
+                order = np.argsort(of, kind="stable")
+                first = np.searchsorted(of[order], np.arange(len(leaders) + 1))
+                top = x[leaders]
+                nodes, _ = beam_search(top, (top * top).sum(1), graph, batch.column("entry")[r].as_py(), q)
                 out = []
                 for a in range(len(q)):
-                    found = sorted((float(s), i) for s, node in zip(exact[a], nodes[a], strict=True) if node >= 0 for i in ids[node] if i != own[a])
+                    points = np.concatenate([order[first[node] : first[node + 1]] for node in nodes[a] if node >= 0])
+                    exact = np.sqrt(((x[points] - q[a]) ** 2).sum(1))
+                    # Each point has an id, so k + 1 points and those as near as the last hold the k best besides the query.
+                    limit = np.partition(exact, k)[k] if len(exact) > k else np.inf
+                    best = np.flatnonzero(exact <= limit)
+                    found = sorted((float(exact[p]), i) for p in best for i in ids[points[p]] if i != own[a])
                     out += [(int(own[a]), i, s) for s, i in found[:k]]
                 columns = list(zip(*out, strict=True)) if out else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
