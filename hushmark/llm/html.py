@@ -43,7 +43,6 @@ _BOILERPLATE = re.compile(
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _ARTICLE = re.compile(r"article|content|post|entry|story|main|text", re.IGNORECASE)
-_SPACE = re.compile(r"\s+")
 
 
 class Page:
@@ -62,9 +61,10 @@ class Page:
         def flush() -> None:
             nonlocal linked, in_link
             if held:
-                text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
-                if text and not self.nodes[stack[-1]][3]:
-                    self.blocks.append((stack[-1], text, max(len(text) - linked, 0)))
+                if not self.nodes[stack[-1]][3]:
+                    text = " ".join(entities.unescape("".join(held)).split())
+                    if text:
+                        self.blocks.append((stack[-1], text, max(len(text) - linked, 0)))
                 held.clear()
             linked, in_link = 0, False
 
