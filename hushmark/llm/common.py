@@ -18,15 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Only a session without that setting, as in tests, gets a folder of its own."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir()
+    if folder is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hushmark-llm-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """Write a result that several later steps read to the folder in ``spark.checkpoint.dir``.
-
-    Only a session without that setting, as in tests, gets a folder of its own.
-    """
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hushmark-llm-"))
+    """Write a result that several later steps read to the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
