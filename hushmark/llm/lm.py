@@ -2,9 +2,10 @@
 
 Tokens are a text's words, A-Z in lower case, and one end.
 
-*Counts.* One pass turns stretches of documents into a row per distinct token with its postings (which
-document of the stretch, how often), so that a token goes through the shuffle once a stretch. Training
-counts are their sums; joined back by token they give every document its unigram score and its known tokens. No
+*Counts.* One pass turns stretches of documents into lists of their distinct tokens, dealt by hash to buckets, and into
+postings (which token stands in which document how often). A bucket's lists are added up to its training counts, and
+then answered: each stretch gets the counts of its tokens back and works out its documents' unigram scores and known tokens. A token
+is sent once a stretch, however often it occurs, so frequent tokens make no bucket hot; postings aren't sent to buckets at all. No
 vocabulary is broadcast, and all tokens of all training texts count.
 
 *Model.* P(token | two words before) = P(class | ...) * P(word | class, ...), each a softmax over sums of rows of a
@@ -40,11 +41,13 @@ BLOCK = 64
 ROUNDS = 2
 #: Hashed contexts of three letters, and how many letters of its own a context needs to be trusted half.
 SPELLING_ROWS, SPELLING_PRIOR = 1 << 13, 4.0
-MINIBATCH = 8192
+MINIBATCH = 16384
 RATE = 0.1
 ESCAPE, END = 0, 1
 #: No word holds a space.
 END_TOKEN = b" "
+#: Text for each bucket of tokens: what one task holds to count and answer a bucket is a share of that.
+BUCKET_BYTES = 32_000_000
 _DOCS_A_CHUNK = 60_000
 
 
@@ -73,70 +76,124 @@ def _stretches(column: pa.Array) -> Iterator[tuple[int, Stretch]]:
             yield first + a, Stretch(data[at[0] : at[-1]], at - at[0])
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """chunk, token, trained, posts; a row without token lists the documents of the chunk: doc_ids, hashes, and their lengths as posts."""
+def _packed(values: np.ndarray | bytes) -> bytes:
+    """Compressed, with the length at the end."""
+    plain = values if isinstance(values, bytes) else values.tobytes()
+    return pa.compress(plain, codec="zstd", asbytes=True) + len(plain).to_bytes(8, "little")
+
+
+def _unpacked(data: bytes, kind: str | None = None):
+    whole = pa.decompress(data[:-8], decompressed_size=int.from_bytes(data[-8:], "little"), codec="zstd", asbytes=True)
+    return whole if kind is None else np.frombuffer(whole, kind)
+
+
+def _tokens(data: bytes) -> list[bytes]:
+    """Tokens of a list; none of them is empty or holds a line feed."""
+    whole = _unpacked(data)
+    return whole.split(b"\n") if whole else []
+
+
+_POSTED = "chunk long, bucket int, tokens binary, trained binary, words binary, posts binary, doc_ids array<bigint>, hashes array<bigint>"
+
+
+def postings(docs: DataFrame, buckets: int) -> DataFrame:
+    """Of each stretch (chunk): its distinct tokens with their training counts, a row for each bucket of tokens by hash; and one
+    row without bucket that says which tokens stand in which document how often, and what the documents are."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
             for first, s in _stretches(batch.column("text")):
-                n = len(s.lengths)
-                pairs, times = np.unique(s.ids * np.int64(n) + s.docs, return_counts=True)
-                word, doc = pairs // n, (pairs % n).astype("<u2")
+                n, m = len(s.lengths), len(s.words)
+                bucket = np.array([zlib.crc32(w) % buckets for w in s.words])
+                order = np.argsort(bucket, kind="stable")
+                place = np.empty(m, np.int64)
+                place[order] = np.arange(m)  # tokens are numbered bucket after bucket
+                pairs, times = np.unique(place[s.ids] * n + s.docs, return_counts=True)
+                word, doc = pairs // n, pairs % n
                 here = ~held[first : first + n].astype(bool)
-                trained = np.bincount(word, times * here[doc], len(s.words)).astype(np.int64)
-                edges = np.searchsorted(word, np.arange(len(s.words) + 1))
-                times = times.astype("<u4")
-                posts = [doc[a:b].tobytes() + times[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                m = len(s.words)
-                empty = pa.nulls(m, pa.list_(pa.int64()))
-                ids, hashes = (batch.column(c).slice(first, n) for c in ("doc_id", "text_hash"))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * m, pa.int64()), pa.array(s.words, pa.binary()), pa.array(trained), pa.array(posts, pa.binary()), empty, empty], names)
-                lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c) for c in (ids, hashes)]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([None], pa.binary()), pa.array([0], pa.int64()), pa.array([s.lengths.astype("<i8").tobytes()], pa.binary()), *lists], names)
+                trained = np.bincount(word, times * here[doc], m).astype("<i8")
+                found, at = np.unique(bucket[order], return_index=True)
+                ends = [*at[1:].tolist(), m]
+                rows = [(chunk, int(b), _packed(b"\n".join([s.words[k] for k in order[a:z]])), _packed(trained[a:z]), None, None, None, None) for b, a, z in zip(found, at.tolist(), ends, strict=True)]
+                ids, hashes = (batch.column(c).slice(first, n).to_pylist() for c in ("doc_id", "text_hash"))
+                documents = np.bincount(word, minlength=m).astype("<u4")
+                rows.append((chunk, None, _packed(s.lengths.astype("<i8")), None, _packed(documents), _packed(doc.astype("<u2").tobytes() + times.astype("<u4").tobytes()), ids, hashes))
+                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 2]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                 chunk += 1
 
-    names = ["chunk", "token", "trained", "posts", "doc_ids", "hashes"]
-    return docs.mapInArrow(work, "chunk long, token binary, trained long, posts binary, doc_ids array<bigint>, hashes array<bigint>")
+    names = [c.split()[0] for c in _POSTED.split(", ")]
+    return docs.mapInArrow(work, _POSTED)
 
 
 def counts(posted: DataFrame) -> DataFrame:
-    """token, count over all training texts."""
-    return posted.where("token IS NOT NULL AND trained > 0").groupBy("token").agg(F.sum("trained").alias("count"))
+    """Of each bucket: its tokens in training (bucket, tokens, counts), counted over all training texts."""
+
+    def add(group: pa.Table) -> pa.Table:
+        total: dict[bytes, int] = {}
+        for tokens, trained in zip(group.column("tokens").to_pylist(), group.column("trained").to_pylist(), strict=True):
+            for t, n in zip(_tokens(tokens), _unpacked(trained, "<i8").tolist(), strict=True):
+                if n:
+                    total[t] = total.get(t, 0) + n
+        values = np.array(list(total.values()), "<i8")
+        return pa.table({"bucket": group.column("bucket")[:1], "tokens": pa.array([_packed(b"\n".join(total))], pa.binary()), "counts": pa.array([_packed(values)], pa.binary())})
+
+    asked = posted.where("bucket IS NOT NULL").select("bucket", "tokens", "trained")
+    return asked.groupBy("bucket").applyInArrow(add, "bucket int, tokens binary, counts binary")
 
 
-def unigram_scores(posted: DataFrame, counted: DataFrame, total: int, distinct: int, model: Model) -> DataFrame:
+def unigram_scores(posted: DataFrame, counted: DataFrame, model: Model, total: int, distinct: int) -> DataFrame:
     """doc_id, text_hash, n_tokens, n_known, base_score, escaped (what the model's escaped words cost): a row for each document row."""
-    below = np.log10(total + 0.5 * (distinct + 1))
-    joined = posted.join(counted, "token", "left").select("chunk", "token", F.coalesce("count", F.lit(0)).alias("count"), "posts", "doc_ids", "hashes")
+    below = float(np.log10(total + 0.5 * (distinct + 1)))
     sent = counted.sparkSession.sparkContext.broadcast(model)
 
-    def add(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        known = [c is not None for c in group.column("doc_ids").to_pylist()]
-        head = known.index(True)
-        ids, hashes = group.column("doc_ids")[head].values, group.column("hashes")[head].values
-        lengths = np.frombuffer(group.column("posts")[head].as_py(), "<i8")
-        base, seen, escaped = np.zeros(len(lengths)), np.zeros(len(lengths), np.int64), np.zeros(len(lengths))
-        docs, times, values = [], [], []
-        for k, (c, posts) in enumerate(zip(group.column("count").to_pylist(), group.column("posts").to_pylist(), strict=True)):
-            if k != head:
-                n = len(posts) // 6
-                docs.append(np.frombuffer(posts, "<u2", n))
-                times.append(np.frombuffer(posts, "<u4", n, 2 * n))
-                values.append((n, c))
-        if docs:
-            doc, many = np.concatenate(docs), np.concatenate(times).astype(np.int64)
-            count = np.repeat([c for _, c in values], [n for n, _ in values])
-            base = np.bincount(doc, many * (np.log10(count + 0.5) - below), len(lengths))
-            seen = np.bincount(doc, many * (count > 0), len(lengths)).astype(np.int64)
-            tokens = [t for k, t in enumerate(group.column("token").to_pylist()) if k != head]
-            cost = sent.value.escape_costs(tokens, np.array([c for _, c in values]))
-            escaped = np.bincount(doc, many * np.repeat(cost, [n for n, _ in values]), len(lengths))
-        return pa.table({"doc_id": ids, "text_hash": hashes, "n_tokens": pa.array(lengths), "n_known": pa.array(seen), "base_score": pa.array(base), "escaped": pa.array(escaped)})
-
-    return joined.groupBy("chunk").applyInArrow(add, "doc_id long, text_hash long, n_tokens long, n_known long, base_score double, escaped double")
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        index: dict[bytes, int] = {}
+        count = np.zeros(1, np.int64)
+        for tokens, values in zip(known.column("tokens").to_pylist(), known.column("counts").to_pylist(), strict=True):
+            index = {t: k + 1 for k, t in enumerate(_tokens(tokens))}
+            count = np.concatenate([[0], _unpacked(values, "<i8")])
+        cost = np.zeros(len(count))
+        cost[1:] = sent.value.escape_costs(list(index), count[1:])
+        chunks_, counts_, costs = [], [], []
+        for chunk, tokens in zip(asked.column("chunk").to_pylist(), asked.column("tokens").to_pylist(), strict=True):
+            words = _tokens(tokens)
+            at = np.array([index.get(w, 0) for w in words], np.int64)
+            own = cost[at]
+            fresh = np.flatnonzero(at == 0)
+            if len(fresh):
+                own[fresh] = sent.value.escape_costs([words[k] for k in fresh], np.zeros(len(fresh), np.int64))
+            chunks_.append(chunk)
+            counts_.append(_packed(count[at].astype("<i8")))
+            costs.append(_packed(own.astype("<f4")))
+        return pa.table({"chunk": pa.array(chunks_, pa.int64()), "bucket": pa.array(asked.column("bucket").to_pylist(), pa.int32()), "counts": pa.array(counts_, pa.binary()), "costs": pa.array(costs, pa.binary())})
+
+    asked = posted.where("bucket IS NOT NULL").select("chunk", "bucket", "tokens")
+    answers = asked.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, counts binary, costs binary")
+
+    def add(stretch: pa.Table, answered: pa.Table) -> pa.Table:
+        order = np.argsort(answered.column("bucket").to_numpy(), kind="stable").tolist()
+        count = np.concatenate([np.zeros(0, np.int64), *[_unpacked(answered.column("counts")[k].as_py(), "<i8") for k in order]])
+        cost = np.concatenate([np.zeros(0), *[_unpacked(answered.column("costs")[k].as_py(), "<f4") for k in order]])
+        parts = []
+        for row in stretch.to_pylist():
+            lengths, documents, posts = _unpacked(row["tokens"], "<i8"), _unpacked(row["words"], "<u4"), _unpacked(row["posts"])
+            n = len(posts) // 6
+            doc, times = np.frombuffer(posts, "<u2", n), np.frombuffer(posts, "<u4", n, 2 * n).astype(np.int64)
+            word = np.repeat(np.arange(len(documents)), documents)
+            size = len(lengths)
+            parts.append(pa.table({
+                "doc_id": pa.array(row["doc_ids"], pa.int64()), "text_hash": pa.array(row["hashes"], pa.int64()), "n_tokens": pa.array(lengths),
+                "n_known": pa.array(np.bincount(doc, times * (count[word] > 0), size).astype(np.int64)),
+                "base_score": pa.array(np.bincount(doc, times * (np.log10(count[word] + 0.5) - below), size)),
+                "escaped": pa.array(np.bincount(doc, times * cost[word], size)),
+            }))
+        return pa.concat_tables(parts)
+
+    stretches = posted.where("bucket IS NULL").select("chunk", "tokens", "words", "posts", "doc_ids", "hashes")
+    return stretches.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add, "doc_id long, text_hash long, n_tokens long, n_known long, base_score double, escaped double")
 
 
 @dataclass
@@ -151,6 +208,8 @@ class Model:
 
     def escape_costs(self, tokens: list[bytes], counts: np.ndarray) -> np.ndarray:
         """log10 probability of each word given the escape; 0 for those of the softmax."""
+        if not tokens:
+            return np.zeros(0)
         inside = np.array([t in self.words for t in tokens], bool)
         first, letters, context = _letters(tokens)
         spelled = np.add.reduceat(self.spelling[context, letters].astype(np.float64), first)
@@ -186,36 +245,56 @@ def _spelling(counted: np.ndarray) -> np.ndarray:
     return np.log10((counted + SPELLING_PRIOR * overall) / (counted.sum(1, keepdims=True) + SPELLING_PRIOR)).astype(np.float32)
 
 
-def start(counted: DataFrame) -> Model:
-    """The softmax's tokens, its biases by their counts, and the spelling of the others."""
-    top = counted.where(F.col("token") != F.lit(bytearray(END_TOKEN))).orderBy(F.desc("count"), "token").limit(VOCABULARY - 2).collect()
-    words = {bytes(r.token): k + 2 for k, r in enumerate(top)} | {END_TOKEN: END}
+def _vocabulary(counted: DataFrame) -> tuple[list[tuple[bytes, int]], int, int, int, int]:
+    """The most frequent tokens, ties by their bytes; all tokens, distinct ones, those seen once, and ends."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tokens, values in zip(batch.column("tokens").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                words, n = _tokens(tokens), _unpacked(values, "<i8")
+                ends = int(n[words.index(END_TOKEN)]) if END_TOKEN in words else 0
+                few = sorted(((-c, w) for w, c in zip(words, n.tolist(), strict=True) if w != END_TOKEN))[: VOCABULARY - 2]
+                rows = [(w, -c, 0, 0, 0, 0) for c, w in few] + [(None, 0, int(n.sum()), len(words), int((n == 1).sum()), ends)]
+                kinds = [pa.binary(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["token", "n", "total", "words", "once", "ends"])
+
+    seen = cut(counted.mapInArrow(look, "token binary, n long, total long, words long, once long, ends long"))
+    top = seen.where("token IS NOT NULL").orderBy(F.desc("n"), "token").limit(VOCABULARY - 2).collect()
+    sums = seen.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "words", "once", "ends")]).first()
+    return [(bytes(r.token), r.n) for r in top], *sums
+
+
+def start(counted: DataFrame) -> tuple[Model, int, int]:
+    """The softmax's tokens, its biases by their counts, and the spelling of the others; all tokens and distinct ones in training."""
+    top, total, distinct, once, ends = _vocabulary(counted)
+    words = {w: k + 2 for k, (w, _) in enumerate(top)} | {END_TOKEN: END}
     inside = counted.sparkSession.sparkContext.broadcast(set(words))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(t, n) for t, n in zip(batch.column("token").to_pylist(), batch.column("count").to_pylist(), strict=True) if t not in inside.value]
-            if rows:
-                first, letters, context = _letters([t for t, _ in rows])
-                times = np.repeat([n for _, n in rows], np.diff(np.append(first, len(letters))))
-                keys, of = np.unique(context * 257 + letters, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(of, times).astype(np.int64))], ["key", "n"])
+            for tokens, values in zip(batch.column("tokens").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                rows = [(t, n) for t, n in zip(_tokens(tokens), _unpacked(values, "<i8").tolist(), strict=True) if t not in inside.value]
+                if rows:
+                    first, letters, context = _letters([t for t, _ in rows])
+                    times = np.repeat([n for _, n in rows], np.diff(np.append(first, len(letters))))
+                    keys, of = np.unique(context * 257 + letters, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(of, times).astype(np.int64))], ["key", "n"])
 
     found = counted.mapInArrow(spell, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most rows x letters
     spelled = np.zeros(SPELLING_ROWS * 257)
     spelled[found.column("key").to_numpy()] = found.column("n").to_numpy()
     spelled = spelled.reshape(SPELLING_ROWS, 257)
-    ends = counted.where(F.col("token") == F.lit(bytearray(END_TOKEN))).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     escapes = int(spelled[:, 256].sum())
-    once = counted.where("count = 1").count() - sum(r["count"] == 1 for r in top)
+    once -= sum(n == 1 for _, n in top)
     fresh = min(max((once + 1) / (escapes + 2), 1e-3), 1.0)  # words seen once say how likely unseen ones are
     mass = np.full(VOCABULARY, 0.5)
     mass[ESCAPE] += escapes
     mass[END] += ends
-    mass[2 : 2 + len(top)] += [r["count"] for r in top]
+    mass[2 : 2 + len(top)] += [n for _, n in top]
     grid = mass.reshape(CLASSES, SLOTS)
     per_class = grid.sum(1)
-    return Model(words, _spelling(spelled), np.log(per_class / per_class.sum()), np.log(grid / per_class[:, None]), np.zeros((2, ROWS, CLASSES), np.float32), escapes, fresh)
+    model = Model(words, _spelling(spelled), np.log(per_class / per_class.sum()), np.log(grid / per_class[:, None]), np.zeros((2, ROWS, CLASSES), np.float32), escapes, fresh)
+    return model, total, distinct
 
 
 def _mix(*parts: np.ndarray | int) -> np.ndarray:
@@ -249,12 +328,13 @@ class Features:
 
 
 def _softmax(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Log-probabilities."""
     logits = bias + table[rows[0]]
     for r in rows[1:]:
         logits += table[r]
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+    np.clip(logits, -60, 60, out=logits)  # float32 holds the powers
+    np.exp(logits, out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    return logits
 
 
 def token_scores(model: Model, s: Stretch) -> np.ndarray:
@@ -267,17 +347,17 @@ def token_scores(model: Model, s: Stretch) -> np.ndarray:
         by_class, by_word = f.rows(a, b)
         group, slot = f.number[a:b] // SLOTS, f.number[a:b] % SLOTS
         at = np.arange(b - a)
-        found = _softmax(class_bias, model.tables[0], by_class)[at, group] + _softmax(word_bias[group], model.tables[1], by_word)[at, slot]
-        out[a:b] = found / np.log(10)
+        found = np.log10(_softmax(class_bias, model.tables[0], by_class)[at, group]) + np.log10(_softmax(word_bias[group], model.tables[1], by_word)[at, slot])
+        out[a:b] = found
     return out
 
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the sums of their values, and how many there were."""
-    order = np.argsort(rows, kind="stable")
+    """Distinct rows, the sums of their values (a column each), and how many there were."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits hold a row and sort by radix
     ordered = rows[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(rows)))
+    return ordered[first], np.add.reduceat(np.take(values, order, axis=1), first, axis=1).T, np.diff(first, append=len(rows))
 
 
 class Learner:
@@ -297,10 +377,11 @@ class Learner:
             at = np.arange(b - a)
             for k, (rows, target, base) in enumerate(zip(f.rows(a, b), (group, slot), (bias[0], bias[1][group]), strict=True)):
                 table = self.model.tables[k]
-                grad = np.exp(_softmax(base, table, rows))
+                grad = _softmax(base, table, rows)
                 grad[at, target] -= 1
+                columns = np.ascontiguousarray(grad.T)
                 for r in rows:
-                    row, total, many = _sums(r, grad)
+                    row, total, many = _sums(r, columns)
                     self.squares[k, row] += (total * total).mean(1)
                     self.steps[k, row] += many
                     table[row] -= RATE * total / np.sqrt(self.squares[k, row])[:, None]
@@ -363,12 +444,13 @@ def model_scores(docs: DataFrame, model: Model) -> DataFrame:
 def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each document row."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "text")
-    posted = cut(postings(given))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    posted = cut(postings(given, int(size // BUCKET_BYTES) + 1))
     counted = cut(counts(posted))
-    total, distinct = counted.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    begun, total, distinct = start(counted)
     lessons = docs.where(fold(F.col("doc_id"), FOLDS) != HELD).select("text", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds)).alias("share"))
-    model = trained(lessons, start(counted), rounds)
-    base = unigram_scores(posted, counted, total, distinct, model).dropDuplicates(["doc_id", "text_hash"])
+    model = trained(lessons, begun, rounds)
+    base = unigram_scores(posted, counted, model, total, distinct).dropDuplicates(["doc_id", "text_hash"])
     found = model_scores(given, model).withColumnsRenamed({"doc_id": "id", "text_hash": "h"})
     joined = found.join(base, found["id"].eqNullSafe(base["doc_id"]) & (found["h"] == base["text_hash"]))
     return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.col("escaped")).alias("score"))
