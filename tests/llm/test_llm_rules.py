@@ -270,13 +270,14 @@ def test_lm(spark, docs):
 
 def test_lm_probabilities_add_up(spark):
     frame = spark.createDataFrame([(k, t) for k, t in enumerate(["a b a c", "a b", "b a a", "c"] * 5)], "doc_id long, text string")
-    posted = lm.postings(frame.selectExpr("doc_id", "xxhash64(text) AS text_hash", "false AS held_out", "text"))
-    start = lm.start(lm.counts(posted))
+    posted = lm.postings(frame.selectExpr("doc_id", "xxhash64(text) AS text_hash", "false AS held_out", "text"), 3)
+    start, total, distinct = lm.start(lm.counts(posted))
+    assert (total, distinct) == (70, 4)
     model = lm.trained(frame.selectExpr("text", "0L AS share"), start, 1)
     stretch = lm.Stretch(np.frombuffer(b"a b a c", np.uint8), np.array([0, 7]))
     rows = lm.Features(model, stretch).rows(0, 5)
     for base, table, of in ((model.class_bias, model.tables[0], rows[0]), (model.word_bias[0], model.tables[1], rows[1])):
-        assert np.allclose(np.exp(lm._softmax(base, table, of)).sum(1), 1, atol=1e-5)
+        assert np.allclose(lm._softmax(base, table, of).sum(1), 1, atol=1e-5)
     assert lm.token_scores(model, stretch).sum() > lm.token_scores(start, stretch).sum()
 
 
