@@ -58,7 +58,7 @@ def valid_value(kind: str, value: str, today: str) -> str:
         "ELSE false END"
     )
     return (
-        f"(length({value}) BETWEEN 1 AND 300 AND {label_type(value)} IS NULL "
+        f"({value} <> '' AND {label_type(value)} IS NULL "
         f"AND {squeezed(value)} NOT IN ({words(K.EMPTY_MARKERS)}) AND {shape})"
     )
 

@@ -19,6 +19,8 @@ RAW = (
     "struct<prio:int,ord:bigint,start:int,end:int,type:string,value:string,alts:array<string>,"
     "relation:string,proof_unit:string,proof_start:int,proof_end:int>"
 )
+# An order key of two parts: positions and offsets are 32-bit, so the lower part never reaches into the upper one.
+WIDE = "4294967296L"
 NONE = f"CAST(array() AS array<{RAW}>)"
 
 
@@ -42,7 +44,7 @@ def _settle_by_start(raw: str) -> str:
     Kept spans are disjoint and sorted, so only the last one can meet the next find.
     """
     ordered = (
-        f"array_sort({raw}, (l, r) -> CASE WHEN l.start <> r.start THEN l.start - r.start ELSE CAST(l.ord - r.ord AS INT) END)"
+        f"array_sort({raw}, (l, r) -> CASE WHEN l.start <> r.start THEN l.start - r.start WHEN l.ord < r.ord THEN -1 WHEN l.ord > r.ord THEN 1 ELSE 0 END)"
     )
     last = "element_at(kept, -1)"
     with_alt = (
@@ -76,7 +78,7 @@ def role_names(text: str = "text", unit: str = "unit_id", has_phone: str = "has_
         keep = f"{person_name('s.value')} AND ({has_phone} OR NOT ({contact}))"
         parts.append(
             f"IF({mentions(text, K.ROLE_WORDS[rank])}, transform(filter({span_array(text, pattern, True)}, s -> {keep}), "
-            f"(s, i) -> {_raw(1, f'{rank * 100000} + i', 's', lit('name'), lit('inline_label'), unit, 's.pstart', 's.start')}), {NONE})"
+            f"(s, i) -> {_raw(1, f'{rank} * {WIDE} + i', 's', lit('name'), lit('inline_label'), unit, 's.pstart', 's.start')}), {NONE})"
         )
     return "concat(" + ", ".join(parts) + ")"
 
@@ -112,7 +114,7 @@ def labelled(kind: str, today: str, text: str = "text", unit: str = "unit_id") -
     pattern = dict(K.LABELLED)[kind]
     return (
         f"IF({mentions(text, K.LABELLED_WORDS[kind])}, transform(filter({span_array(text, pattern, True, 'true')}, s -> {valid_value(lit(kind), 's.value', today)}), "
-        f"(s, i) -> {_raw(4, f'{rank * 100000} + i', 's', lit(kind), lit('inline_label'), unit, 's.pstart', 's.start')}), {NONE})"
+        f"(s, i) -> {_raw(4, f'{rank} * {WIDE} + i', 's', lit(kind), lit('inline_label'), unit, 's.pstart', 's.start')}), {NONE})"
     )
 
 
@@ -246,8 +248,8 @@ def redact_in_unit(units: DataFrame, today: str) -> DataFrame:
     ).select(*units.columns, "out.redacted", "out.n_found")
 
 
-def classify_documents(units: DataFrame) -> DataFrame:
-    """Class of a document from its first four non-empty body lines, else ``other``.
+def classify_documents(units: DataFrame, lines: int = 4) -> DataFrame:
+    """Class of a document from its first ``lines`` non-empty body lines, else ``other``; how many is the rule itself.
 
     Lines are ranked before the shuffle by the window group limit; the class is then the
     one of the earliest matching line.
@@ -257,7 +259,7 @@ def classify_documents(units: DataFrame) -> DataFrame:
     first = body.selectExpr(
         "doc_id", "unit_seq", "text",
         "row_number() OVER (PARTITION BY doc_id ORDER BY unit_seq) AS rn",
-    ).where("rn <= 4")
+    ).where(f"rn <= {lines}")
     classed = first.selectExpr("doc_id", "unit_seq", f"CASE {cases} END AS class").where("class IS NOT NULL")
     best = classed.groupBy("doc_id").agg(F.min_by("class", "unit_seq").alias("class"))
     every = units.select("doc_id").distinct()

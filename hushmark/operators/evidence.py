@@ -20,13 +20,13 @@ NON_BLANK = "(?U)\\\\S"
 _REL = ["doc_id", "unit_id", "relation", "rel_ord", "src_unit_id", "src_text"]
 
 
-def excerpt(evidence: DataFrame, text: str = "src_text", anchor: str = "0") -> DataFrame:
-    """Cut the excerpt of at most 300 characters around an anchor; blank sources are dropped."""
+def excerpt(evidence: DataFrame, text: str = "src_text", anchor: str = "0", width: int = K.EXCERPT) -> DataFrame:
+    """Cut the excerpt of ``width`` characters around an anchor; blank sources are dropped."""
     return evidence.where(f"{text} RLIKE '{NON_BLANK}'").selectExpr(
-        "*", f"greatest(0, least({anchor} - 80, length({text}) - {K.EXCERPT})) AS ev_start"
+        "*", f"greatest(0, least({anchor} - 80, length({text}) - {width})) AS ev_start"
     ).selectExpr(
-        "*", f"least(length({text}), ev_start + {K.EXCERPT}) AS ev_end",
-        f"substring({text}, ev_start + 1, {K.EXCERPT}) AS ev_text",
+        "*", f"least(length({text}), ev_start + {width}) AS ev_end",
+        f"substring({text}, ev_start + 1, {width}) AS ev_text",
     )
 
 
@@ -34,7 +34,7 @@ def evidence_self(units: DataFrame, cands: DataFrame) -> DataFrame:
     """The candidate's own unit, around the candidate."""
     joined = cands.join(units.select("doc_id", "unit_id", F.col("text").alias("src_text")), ["doc_id", "unit_id"])
     return excerpt(joined, anchor="start").selectExpr(
-        "doc_id", "cand_id", "0 AS rel_ord", "'self' AS relation", "unit_id AS src_unit_id", "ev_start", "ev_end", "ev_text"
+        "doc_id", "cand_id", "0L AS rel_ord", "'self' AS relation", "unit_id AS src_unit_id", "ev_start", "ev_end", "ev_text"
     )
 
 
@@ -62,8 +62,8 @@ def paragraph_relations(units: DataFrame) -> DataFrame:
     keys = ["doc_id", "part"]
     scanned = carry_last(carry_last(units, keys, "unit_seq", title, "_head"), keys, "unit_seq", before, "_prev")
     entries = (
-        "array(named_struct('relation', 'preceding_heading', 'rel_ord', 10, 'src', _head), "
-        "named_struct('relation', 'preceding_paragraph', 'rel_ord', 40, 'src', "
+        "array(named_struct('relation', 'preceding_heading', 'rel_ord', 10 * 4294967296L, 'src', _head), "
+        "named_struct('relation', 'preceding_paragraph', 'rel_ord', 40 * 4294967296L, 'src', "
         "IF(in_cell OR heading OR _prev.id <=> _head.id, NULL, _prev)))"
     )
     return scanned.selectExpr("doc_id", "unit_id", f"inline({entries})").where("src.id IS NOT NULL").selectExpr(
@@ -74,14 +74,12 @@ def paragraph_relations(units: DataFrame) -> DataFrame:
 def cell_relations(grid: DataFrame) -> DataFrame:
     """Same cell, first cell of the row, and first-row cell with the same grid start and span.
 
-    ``grid`` is cell_grid output with unit_id, unit_seq and text. At most eight pieces of
-    evidence survive, so only the first paragraphs of a source cell are joined.
+    ``grid`` is cell_grid output with unit_id, unit_seq and text; every paragraph of a source cell is joined.
     """
-    keep = K.EVIDENCE_LIMIT + 1
     ranked = grid.selectExpr(
         "doc_id", "tbl", "row", "cell_ord", "grid_col", "span", "unit_id", "unit_seq", "text",
         "row_number() OVER (PARTITION BY doc_id, tbl, row, cell_ord ORDER BY unit_seq) AS para",
-    ).where(f"para <= {keep}")
+    )
     src = ranked.select("doc_id", "tbl", "row", "cell_ord", "grid_col", "span", "para",
                         F.col("unit_id").alias("src_unit_id"), F.col("text").alias("src_text"))
     own = grid.select("doc_id", "tbl", "row", "cell_ord", "grid_col", "span", "unit_id")
@@ -95,7 +93,7 @@ def cell_relations(grid: DataFrame) -> DataFrame:
     out = None
     for relation, order, joined in parts:
         rows = joined.where("src_unit_id <> unit_id").selectExpr(
-            "doc_id", "unit_id", f"'{relation}' AS relation", f"{order} * 1000 + para AS rel_ord", "src_unit_id", "src_text"
+            "doc_id", "unit_id", f"'{relation}' AS relation", f"{order} * 4294967296L + para AS rel_ord", "src_unit_id", "src_text"
         )
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -123,7 +121,7 @@ def left_relations(lines: DataFrame) -> DataFrame:
     )
     return ends.selectExpr(
         "doc_id", "unit_id", "posexplode(array_distinct(array(far, near))) AS (n, src)"
-    ).selectExpr("doc_id", "unit_id", "'same_row_left' AS relation", "30 + n AS rel_ord", "src.id AS src_unit_id", "src.text AS src_text")
+    ).selectExpr("doc_id", "unit_id", "'same_row_left' AS relation", "(30 + n) * 4294967296L AS rel_ord", "src.id AS src_unit_id", "src.text AS src_text")
 
 
 def above_relations(lines: DataFrame) -> DataFrame:
@@ -136,7 +134,7 @@ def above_relations(lines: DataFrame) -> DataFrame:
     nearest = pairs.groupBy("doc_id", "unit_id").agg(F.expr(
         "min_by(named_struct('id', r_unit_id, 'text', r_text), struct(y0 - r_y1, abs(x0 - r_x0), r_unit_seq))"
     ).alias("src"))
-    return nearest.selectExpr("doc_id", "unit_id", "'nearest_above' AS relation", "32 AS rel_ord",
+    return nearest.selectExpr("doc_id", "unit_id", "'nearest_above' AS relation", "32 * 4294967296L AS rel_ord",
                               "src.id AS src_unit_id", "src.text AS src_text")
 
 
@@ -151,7 +149,7 @@ def numbered_relations(lines: DataFrame) -> DataFrame:
     nearest = pairs.groupBy("doc_id", "unit_id").agg(F.expr(
         "min_by(named_struct('id', r_unit_id, 'text', r_text), struct(y0 - r_y1, r_unit_seq))"
     ).alias("src"))
-    return nearest.selectExpr("doc_id", "unit_id", "'preceding_numbered_line' AS relation", "33 AS rel_ord",
+    return nearest.selectExpr("doc_id", "unit_id", "'preceding_numbered_line' AS relation", "33 * 4294967296L AS rel_ord",
                               "src.id AS src_unit_id", "src.text AS src_text")
 
 
@@ -159,8 +157,8 @@ def line_relations(lines: DataFrame) -> DataFrame:
     return left_relations(lines).unionByName(above_relations(lines)).unionByName(numbered_relations(lines))
 
 
-def evidence_top8(units: DataFrame, cands: DataFrame, relations: DataFrame) -> DataFrame:
-    """At most eight distinct pieces per candidate, own unit first, in the fixed order."""
+def evidence_top8(units: DataFrame, cands: DataFrame, relations: DataFrame, limit: int | None = None) -> DataFrame:
+    """All distinct pieces per candidate, own unit first, in the fixed order; those after ``limit`` are flagged."""
     near = excerpt(cands.select("doc_id", "cand_id", "unit_id").join(relations, ["doc_id", "unit_id"])).selectExpr(
         "doc_id", "cand_id", "rel_ord", "relation", "src_unit_id", "ev_start", "ev_end", "ev_text"
     )
@@ -168,9 +166,10 @@ def evidence_top8(units: DataFrame, cands: DataFrame, relations: DataFrame) -> D
     first = every.groupBy("doc_id", "cand_id", "src_unit_id", "ev_start", "ev_end", "relation").agg(
         F.min("rel_ord").alias("rel_ord"), F.first("ev_text").alias("ev_text")
     )
+    over = "false" if limit is None else f"ord > {limit}"
     return first.selectExpr(
         "*", "row_number() OVER (PARTITION BY doc_id, cand_id ORDER BY rel_ord, src_unit_id) AS ord"
-    ).where(f"ord <= {K.EVIDENCE_LIMIT}")
+    ).selectExpr("*", f"{over} AS over_limit")
 
 
 def location_label(cands: DataFrame) -> DataFrame:
@@ -189,7 +188,7 @@ def neighbour_finds(units: DataFrame, relations: DataFrame, today: str) -> DataF
     from hushmark.functions.expr import stripped, trimmed_start
 
     kinds = ", ".join(f"'{r}'" for r in K.FIELD_RELATIONS)
-    labels = relations.where(f"relation IN ({kinds}) AND length(src_text) <= {K.EXCERPT}").selectExpr(
+    labels = relations.where(f"relation IN ({kinds})").selectExpr(
         "doc_id", "unit_id", "relation", "rel_ord", "src_unit_id", f"{label_type('src_text')} AS kind",
         f"{trimmed_start('src_text')} AS proof_start", f"{trimmed_start('src_text')} + length({stripped('src_text')}) AS proof_end",
     ).where("kind IS NOT NULL")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from hushmark import constants as K
 from hushmark.functions.expr import full_match, let, squeezed, stripped, words
-from hushmark.functions.ids import candidate_id, unresolved_id
+from hushmark.functions.ids import candidate_id, json_text, unresolved_id
+from hushmark.operators.joins import block_rank
 from hushmark.operators.literal import locate, pairs
 
 SERVICE = "service"
@@ -38,7 +39,7 @@ def _item_fault(kind: str) -> str:
     )
 
 
-_RECORD = "struct<type:string,rec_no:int,raw_value:string,role_raw:string,context_raw:string,fault:string>"
+_RECORD = "struct<type:string,rec_no:bigint,raw_value:string,role_raw:string,context_raw:string,fault:string>"
 
 
 def parsed(payloads: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def parsed(payloads: DataFrame) -> DataFrame:
         f"WHEN {missing} THEN 'missing_key' ELSE coalesce({faults}) END"
     )
     item = (
-        "transform({items}, (x, i) -> named_struct('type', '{kind}', 'rec_no', {rank} * 1000000 + i, "
+        "transform({items}, (x, i) -> named_struct('type', '{kind}', 'rec_no', {rank} * 4294967296L + i, "
         "'raw_value', variant_get(x, '$.raw_value', 'string'), 'role_raw', variant_get(x, '$.role_raw', 'string'), "
         "'context_raw', variant_get(x, '$.context_raw', 'string'), 'fault', CAST(NULL AS STRING)))"
     )
@@ -154,7 +155,7 @@ def merge_same_span(cands: DataFrame, grounded: DataFrame) -> DataFrame:
 
 
 _KEPT = "array<struct<start:int,end:int,type:string,value:string,alts:array<string>,sources:array<string>,fresh:boolean>>"
-_OPEN = "array<struct<start:int,end:int,type:string,value:string,context:string>>"
+_OPEN = "array<struct<page:int,start:int,end:int,type:string,value:string,context:string>>"
 
 
 def merge_overlap(cands: DataFrame, grounded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -165,20 +166,21 @@ def merge_overlap(cands: DataFrame, grounded: DataFrame) -> tuple[DataFrame, Dat
     place; any other becomes a candidate. Overlap never leaves a unit, so a fold over one unit's
     spans is exact and bounded by its text. Returns (located, unresolved).
     """
-    fields = "named_struct('ord', {o}, 'start', start, 'end', end, 'type', type, 'value', {v}, 'alts', {a}, 'old', {old}, 'context', {c}, 'source', {s})"
+    page = "CAST(page AS INT)" if "page" in grounded.columns else "CAST(NULL AS INT)"
+    fields = "named_struct('ord', {o}, 'page', {p}, 'start', start, 'end', end, 'type', type, 'value', {v}, 'alts', {a}, 'old', {old}, 'context', {c}, 'source', {s})"
     no_alts = "CAST(array() AS array<string>)"
     old = cands.where("located").selectExpr(
         "doc_id", "unit_id",
-        fields.format(o="CAST(start AS BIGINT)", v="value", a="alts", old="true", c="CAST(NULL AS STRING)", s="source") + " AS x",
+        fields.format(o="CAST(0 AS BIGINT)", p="CAST(NULL AS INT)", v="value", a="alts", old="true", c="CAST(NULL AS STRING)", s="source") + " AS x",
     )
     new = grounded.selectExpr(
         "doc_id", "unit_id",
-        fields.format(o="CAST(rec_no AS BIGINT) * 1048576 + start", v="raw_value", a=no_alts, old="false", c="context_raw",
+        fields.format(o="CAST(rec_no AS BIGINT)", p=page, v="raw_value", a=no_alts, old="false", c="context_raw",
                       s=f"'{SERVICE}'") + " AS x",
     )
     grouped = old.unionByName(new).groupBy("doc_id", "unit_id").agg(F.collect_list("x").alias("xs"))
     order = (
-        "array_sort(xs, (l, r) -> CASE WHEN l.old <> r.old THEN IF(l.old, -1, 1) WHEN l.ord < r.ord THEN -1 WHEN l.ord > r.ord THEN 1 ELSE 0 END)"
+        "array_sort(xs, (l, r) -> CASE WHEN l.old <> r.old THEN IF(l.old, -1, 1) WHEN l.ord < r.ord THEN -1 WHEN l.ord > r.ord THEN 1 ELSE l.start - r.start END)"
     )
     entry = (
         "named_struct('start', x.start, 'end', x.end, 'type', x.type, 'value', x.value, 'alts', x.alts, "
@@ -200,7 +202,7 @@ def merge_overlap(cands: DataFrame, grounded: DataFrame) -> tuple[DataFrame, Dat
         + state.format(k=f"transform(acc.kept, (k, i) -> IF(i = at - 1, {touched}, k))", o="acc.open")
         + " ELSE " + state.format(
             k="acc.kept",
-            o="concat(acc.open, array(named_struct('start', x.start, 'end', x.end, 'type', x.type, 'value', x.value, 'context', x.context)))")
+            o="concat(acc.open, array(named_struct('page', x.page, 'start', x.start, 'end', x.end, 'type', x.type, 'value', x.value, 'context', x.context)))")
         + " END",
     )
     folded = grouped.selectExpr(
@@ -210,7 +212,8 @@ def merge_overlap(cands: DataFrame, grounded: DataFrame) -> tuple[DataFrame, Dat
     located = folded.selectExpr("doc_id", "unit_id", "inline(out.kept)").selectExpr(
         "doc_id", "unit_id", f"{candidate_id('type', 'unit_id', 'start', 'end')} AS cand_id", "start", "end", "type", "value", "alts", "sources", "fresh")
     place = (
-        "concat('[{\"end\": ', CAST(end AS STRING), ', \"page\": null, \"start\": ', CAST(start AS STRING), ', \"unitId\": \"', unit_id, '\"}]')"
+        "concat('[{\"end\": ', CAST(end AS STRING), ', \"page\": ', coalesce(CAST(page AS STRING), 'null'), ', \"start\": ', CAST(start AS STRING), "
+        f"', \"unitId\": ', {json_text('unit_id')}, '}}]')"
     )
     unresolved = folded.selectExpr("doc_id", "unit_id", "inline(out.open)").selectExpr(
         "doc_id", f"{unresolved_id('type', 'value', 'context', place)} AS cand_id", "type", "value", "unit_id AS proposed_unit",
@@ -235,28 +238,26 @@ def dedupe_candidates(runs: DataFrame) -> DataFrame:
     return picked.select("doc_id", "cand_id", "r.*")
 
 
-def cap_candidates(cands: DataFrame, limit: int = K.SPAN_LIMIT) -> DataFrame:
-    """The first ``limit`` candidates of a document, which is flagged when it had more.
+def cap_candidates(cands: DataFrame, limit: int | None = None) -> DataFrame:
+    """All candidates; those after the first ``limit`` of a document are flagged ``over_limit``, and the document ``incomplete``.
 
-    The limit is the rule itself. Ranks beyond it are dropped before the shuffle, and the total
-    is a partial count.
+    Without a limit nothing is over it. Ranks are counted block by block, so no document is held in one task.
     """
+    if limit is None:
+        return cands.withColumns({"over_limit": F.lit(False), "incomplete": F.lit(False)})
     totals = cands.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
-    first = cands.selectExpr(
-        "*", "row_number() OVER (PARTITION BY doc_id ORDER BY unit_seq, start, cand_id) AS rn"
-    ).where(f"rn <= {limit}")
-    return first.join(totals, "doc_id").withColumn("incomplete", F.expr(f"total > {limit}")).drop("total", "rn")
+    ranked = block_rank(cands, ["doc_id"], "unit_seq", ["unit_seq", "start", "cand_id"], "rn")
+    return ranked.join(totals, "doc_id").withColumns({"over_limit": F.expr(f"rn > {limit}"), "incomplete": F.expr(f"total > {limit}")}).drop("total", "rn")
 
 
-def structure_evidence(cands: DataFrame, elements: DataFrame, by_page: bool) -> DataFrame:
-    """Up to three layout elements, in order, whose text contains the candidate's value."""
+def structure_evidence(cands: DataFrame, elements: DataFrame, by_page: bool, limit: int | None = None) -> DataFrame:
+    """Layout elements, in order, whose text contains the candidate's value; those after the first ``limit`` are flagged."""
     located = cands.where("located AND value <> ''")
     found = pairs(elements, located)
     key = ["doc_id", "value"] + (["page"] if by_page else [])
-    top = found.selectExpr(
-        "*", f"row_number() OVER (PARTITION BY {', '.join(key)} ORDER BY element_ord) AS n"
-    ).where("n <= 3")
-    side = top.select(*key, "n", "element_id", "category", *([] if by_page else ["page"]))
+    numbered = block_rank(found, key, "element_ord", ["element_ord"], "n")
+    over = "false" if limit is None else f"n > {limit}"
+    side = numbered.selectExpr(*key, "n", "element_id", "category", *([] if by_page else ["page"]), f"{over} AS over_limit")
     own = located.select("doc_id", "cand_id", "value", *(["page"] if by_page else []))
     return own.join(side, key)
 

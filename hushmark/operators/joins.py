@@ -33,17 +33,6 @@ def interval_join(
     return met.drop("_bucket", "_lo", "_hi", "_rlo", "_rhi")
 
 
-SPAN_WIDTH = 1024
-
-
-def span_overlaps(left: DataFrame, right: DataFrame, on: list[str], condition: str | None = None) -> DataFrame:
-    """Pairs of half-open [start, end) spans that share a character, within equal keys."""
-    return interval_join(
-        left.where("start IS NOT NULL AND end > start"), right.where("start IS NOT NULL AND end > start"), on,
-        ("start", "end - 1"), ("start", "end - 1"), SPAN_WIDTH, condition,
-    )
-
-
 BLOCK = 4096
 
 
@@ -70,17 +59,17 @@ def carry_last(rows: DataFrame, keys: list[str], seq: str, value: str, out: str,
 
 
 def block_rank(rows: DataFrame, keys: list[str], seq: str, order: list[str | Column], out: str, block: int = BLOCK) -> DataFrame:
-    """Row number within the keys, ``seq`` leading the order, counted block by block."""
+    """Row number within the keys, ``seq`` leading the order, counted block by block; rows without ``seq`` come last."""
     from pyspark.sql import Window
 
-    cut = rows.withColumn("_block", F.expr(f"CAST(floor(coalesce({seq}, 9000000000000) / {block}) AS BIGINT)"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    cut = rows.withColumns({"_late": F.expr(f"{seq} IS NULL"), "_block": F.expr(f"coalesce(CAST(floor({seq} / {block}) AS BIGINT), 0)")})
+    inside = Window.partitionBy(*keys, "_late", "_block").orderBy(*order)
     local = cut.withColumn("_rn", F.row_number().over(inside))
-    sizes = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys, "_late", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    across = Window.partitionBy(*keys).orderBy("_late", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(across), F.lit(0))).drop("_n")
     return (
-        local.join(offsets, [*keys, "_block"])
+        local.join(offsets, [*keys, "_late", "_block"])
         .withColumn(out, F.col("_rn") + F.col("_before"))
-        .drop("_block", "_rn", "_before")
+        .drop("_late", "_block", "_rn", "_before")
     )

@@ -54,7 +54,7 @@ def address_continuation(lines: DataFrame, addresses: DataFrame) -> DataFrame:
     value = stripped("n.t")
     return below.selectExpr(
         "doc_id", "n.s AS unit_seq", "n.u AS unit_id", "page", "8 AS prio",
-        "CAST(unit_seq AS BIGINT) * 1048576 + start AS ord", f"{trimmed_start('n.t')} AS start",
+        "CAST(unit_seq AS BIGINT) * 4294967296L + start AS ord", f"{trimmed_start('n.t')} AS start",
         f"{value} AS value", "proof_unit", "proof_start", "proof_end", "cand_id AS group_id",
     ).where(
         f"length(value) BETWEEN 4 AND 100 AND value RLIKE {lit(K.ADDRESS_DETAIL)} AND {label_type('value')} IS NULL"
@@ -141,7 +141,7 @@ def table_column_fields(lines: DataFrame, today: str, chars: DataFrame | None =
     )
     kept = typed.join(broken.where("NOT stopped"), ["doc_id", "page", "row_no"]).where("head.kind NOT IN ('number', 'phone', 'email')")
     return kept.selectExpr(
-        "doc_id", "unit_seq", "unit_id", "page", "9 AS prio", "CAST(row_no AS BIGINT) * 65536 + col_no AS ord", "start", "end",
+        "doc_id", "unit_seq", "unit_id", "page", "9 AS prio", "CAST(row_no AS BIGINT) * 4294967296L + col_no AS ord", "start", "end",
         "head.kind AS type", "value", _NO_ALTS, "'table_column_header' AS relation", "head.head_unit AS proof_unit",
         f"{trimmed_start('head.head_text')} AS proof_start",
         f"{trimmed_start('head.head_text')} + length({stripped('head.head_text')}) AS proof_end",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushmark.functions.expr import let
 from hushmark.functions.masking import automatic_presets, mask_value, merge_ranges
 
 _EDIT = "array<struct<start:int,end:int,repl:string>>"
@@ -20,18 +21,24 @@ def _edits() -> str:
     )
 
 
+def spliced(text: str, edits: str, repl: str) -> str:
+    """A text with sorted, disjoint ranges replaced, joined once from its pieces."""
+    pieces = (
+        f"transform(sequence(0, size({edits})), i -> concat(substring({text}, 1 + IF(i = 0, 0, get({edits}, i - 1).end), "
+        f"IF(i = size({edits}), length({text}), get({edits}, i).start) - IF(i = 0, 0, get({edits}, i - 1).end)), IF(i = size({edits}), '', get({edits}, i).{repl})))"
+    )
+    return f"array_join({pieces}, '')"
+
+
 def redact_units(units: DataFrame, decided: DataFrame) -> DataFrame:
-    """Every unit with its edits applied from right to left; untouched units pass through.
+    """Every unit with its edits applied; untouched units pass through.
 
-    Edits are gathered per unit; disjoint spans keep that list within the unit's length.
+    The text is put together once from the pieces between the sorted, disjoint edits.
     """
     edits = decided.where("located AND method <> 'keep'").groupBy("doc_id", "unit_id").agg(
         F.expr(f"flatten(collect_list({_edits()}))").alias("edits")
     )
-    apply = (
-        "aggregate(array_sort(edits, (l, r) -> r.start - l.start), text, "
-        "(t, e) -> overlay(t PLACING e.repl FROM e.start + 1 FOR e.end - e.start))"
-    )
+    apply = let("es", "array_sort(edits, (l, r) -> l.start - r.start)", spliced("text", "es", "repl"))
     return units.join(edits, ["doc_id", "unit_id"], "left").withColumn(
         "redacted", F.expr(f"IF(edits IS NULL, text, {apply})")
     ).drop("edits")

@@ -38,7 +38,7 @@ def propagate_names(units: DataFrame, names: DataFrame) -> DataFrame:
     return hits.join(proofs, ["doc_id", "value"]).selectExpr(
         *keep, "10 AS prio",
         # Names are tried in the order in which they were proven.
-        "CAST(p.unit_seq AS BIGINT) * 1048576 + p.start AS ord",
+        "CAST(p.unit_seq AS BIGINT) * 4294967296L + p.start AS ord",
         "start", "end", "'name' AS type", "value", "CAST(array() AS array<string>) AS alts",
         "'repeated_name' AS relation", "p.proof_unit AS proof_unit", "p.proof_start AS proof_start", "p.proof_end AS proof_end",
     )

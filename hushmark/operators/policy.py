@@ -32,8 +32,11 @@ def decision_error(method: str, confirmed: str, located: str, mask: str, value:
 
 
 def validate_decisions(decisions: DataFrame, cands: DataFrame) -> DataFrame:
-    joined = decisions.join(cands.select("doc_id", "cand_id", "value", "located"), ["doc_id", "cand_id"])
-    return joined.withColumn("error", F.expr(decision_error("method", "confirmed", "located", "mask", "value")))
+    """Every decision with the first rule it breaks; one on a candidate that doesn't exist is ``unknown``."""
+    known = cands.select("doc_id", "cand_id", "value", "located", F.lit(True).alias("known"))
+    joined = decisions.join(known, ["doc_id", "cand_id"], "left")
+    error = decision_error("method", "confirmed", "located", "mask", "value")
+    return joined.withColumn("error", F.expr(f"CASE WHEN known IS NULL THEN 'unknown' ELSE {error} END")).drop("known")
 
 
 def apply_plan(cands: DataFrame, decisions: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,26 +95,29 @@ def _place(cands: DataFrame, picks: DataFrame, alias_exact: bool) -> DataFrame:
     return grouped.selectExpr("doc_id", f"inline({fold})")
 
 
-def _range_fault(kind: str) -> str:
+def _range_fault(kind: str, longest: int | None = None) -> str:
+    long = "" if longest is None else f" WHEN end - start > {longest} THEN 'too_long'"
     return (
         f"CASE WHEN {kind} NOT IN ({words(K.TYPES)}) THEN 'type' WHEN text IS NULL THEN 'unit' "
-        "WHEN NOT (0 <= start AND start < end AND end <= length(text)) THEN 'range' WHEN end - start > 1000 THEN 'too_long' END"
+        f"WHEN NOT (0 <= start AND start < end AND end <= length(text)) THEN 'range'{long} END"
     )
 
 
-def add_manual(cands: DataFrame, units: DataFrame, picks: DataFrame, limit: int = K.SPAN_LIMIT) -> DataFrame:
-    """User picks with an outcome: placed, overlap, limit, or the broken range rule.
+def add_manual(cands: DataFrame, units: DataFrame, picks: DataFrame, limit: int | None = None, longest: int | None = None) -> DataFrame:
+    """User picks with an outcome: placed, overlap, or the broken range rule; ``limit`` beyond so many spans of a document, if given.
 
     ``picks``: doc_id, pick_no, type, unit_id, start, end. Picks are taken in pick_no order.
     """
     checked = picks.join(units.select("doc_id", "unit_id", "text"), ["doc_id", "unit_id"], "left").withColumn(
-        "fault", F.expr(_range_fault("type"))).withColumn("pick_cand", F.expr(candidate_id("type", "unit_id", "start", "end")))
+        "fault", F.expr(_range_fault("type", longest))).withColumn("pick_cand", F.expr(candidate_id("type", "unit_id", "start", "end")))
     good = checked.where("fault IS NULL")
     placed = _place(cands, good, False)
-    counts = cands.groupBy("doc_id").agg(F.count(F.lit(1)).alias("have"))
-    ranked = block_rank(placed.where("outcome = 'placed'"), ["doc_id"], "pick_no", ["pick_no"], "nth").join(counts, "doc_id", "left")
-    over = ranked.where(f"coalesce(have, 0) + nth > {limit}").select("doc_id", "pick_no", F.lit(True).alias("over"))
-    outcome = checked.join(placed.select("doc_id", "pick_no", "outcome"), ["doc_id", "pick_no"], "left").join(over, ["doc_id", "pick_no"], "left")
+    outcome = checked.join(placed.select("doc_id", "pick_no", "outcome"), ["doc_id", "pick_no"], "left").withColumn("over", F.lit(False))
+    if limit is not None:
+        counts = cands.groupBy("doc_id").agg(F.count(F.lit(1)).alias("have"))
+        ranked = block_rank(placed.where("outcome = 'placed'"), ["doc_id"], "pick_no", ["pick_no"], "nth").join(counts, "doc_id", "left")
+        over = ranked.where(f"coalesce(have, 0) + nth > {limit}").select("doc_id", "pick_no", F.lit(True).alias("over"))
+        outcome = outcome.drop("over").join(over, ["doc_id", "pick_no"], "left")
     return outcome.selectExpr(
         "doc_id", "pick_no", "type", "unit_id", "start", "end", "pick_cand AS cand_id",
         "CASE WHEN over THEN 'limit' ELSE coalesce(fault, outcome) END AS outcome",
@@ -150,8 +156,9 @@ def resolve_locations(cands: DataFrame, units: DataFrame, picks: DataFrame) -> t
     return out, outcome
 
 
-def readiness_gate(docs: DataFrame, cands: DataFrame, units: DataFrame, metadata: DataFrame) -> DataFrame:
-    """First reason why a document may not be rendered yet; needs metadata_reviewed and incomplete."""
+def readiness_gate(docs: DataFrame, cands: DataFrame, units: DataFrame, metadata: DataFrame, limit: int | None = None) -> DataFrame:
+    """First reason why a document may not be rendered yet; needs metadata_reviewed and incomplete. ``limit``: most spans, if any."""
+    many = "" if limit is None else f"WHEN coalesce(n, 0) > {limit} THEN 'too_many' "
     read = cands.join(units.select("doc_id", "unit_id", "text"), ["doc_id", "unit_id"], "left").withColumn(
         "next_start", F.expr("lead(start) OVER (PARTITION BY doc_id, coalesce(unit_id, cand_id) ORDER BY start, end)"))
     broken = decision_error("method", "confirmed", "located", "mask", "value")
@@ -165,7 +172,7 @@ def readiness_gate(docs: DataFrame, cands: DataFrame, units: DataFrame, metadata
     return docs.join(flags, "doc_id", "left").join(meta, "doc_id", "left").selectExpr(
         "doc_id",
         "CASE WHEN NOT metadata_reviewed THEN 'metadata_not_reviewed' "
-        f"WHEN coalesce(n, 0) > {K.SPAN_LIMIT} THEN 'too_many' WHEN incomplete THEN 'incomplete' WHEN coalesce(bad_meta, false) THEN 'metadata_action' "
+        f"{many}WHEN incomplete THEN 'incomplete' WHEN coalesce(bad_meta, false) THEN 'metadata_action' "
         "WHEN coalesce(open, false) THEN 'unconfirmed' WHEN coalesce(lost, false) THEN 'unlocated' WHEN coalesce(odd_type, false) THEN 'type' "
         "WHEN coalesce(broken, false) THEN 'decision' WHEN coalesce(changed, false) THEN 'value_changed' "
         "WHEN coalesce(clash, false) THEN 'overlap' END AS reason",
@@ -272,23 +279,27 @@ def validate_suggestions(suggestions: DataFrame, judged: DataFrame) -> DataFrame
     )
 
 
-def keep_grounds(judged: DataFrame) -> DataFrame:
-    """Texts that would permit to keep each candidate."""
+def _within(text: str, longest: int | None) -> str:
+    return "" if longest is None else f" AND length({text}) <= {longest}"
+
+
+def keep_grounds(judged: DataFrame, longest: int | None = None) -> DataFrame:
+    """Texts that would permit to keep each candidate; ``longest``: only those of so many characters, if given."""
     texts = (
         f"array_distinct(concat(array(role_raw, context_raw), {_direct('facts')}, "
         "IF(keep_text <> '' AND value <> '' AND contains(keep_text, value), array(value), CAST(array() AS array<string>))))"
     )
     return judged.selectExpr(*judged.columns, f"explode({texts}) AS ground").where(
-        "ground <> '' AND length(ground) <= 600").where(keep_allowed("ground")).select("doc_id", "cand_id", "ground")
+        f"ground <> ''{_within('ground', longest)}").where(keep_allowed("ground")).select("doc_id", "cand_id", "ground")
 
 
-def local_recommend(judged: DataFrame) -> DataFrame:
-    """Full by default; keep when a direct fact proves a public contact."""
+def local_recommend(judged: DataFrame, longest: int | None = None) -> DataFrame:
+    """Full by default; keep when a direct fact (of at most ``longest`` characters, if given) proves a public contact."""
     plain = judged.withColumn("keep_text", F.lit(""))
-    keep = f"filter({_direct('facts')}, g -> g <> '' AND length(g) <= 600 AND {keep_allowed('g')})"
+    keep = f"filter({_direct('facts')}, g -> g <> ''{_within('g', longest)} AND {keep_allowed('g')})"
     evidence = f"coalesce(get({_direct('facts')}, 0), nullif(context_raw, ''), nullif(role_raw, ''))"
     return plain.where("located").selectExpr("doc_id", "cand_id", "type", f"get({keep}, 0) AS kept", f"{evidence} AS first_fact").where(
-        "first_fact IS NOT NULL AND length(first_fact) <= 600"
+        "first_fact IS NOT NULL"
     ).selectExpr("doc_id", "cand_id", "IF(kept IS NULL, 'full', 'keep') AS recommendation", "coalesce(kept, first_fact) AS evidence")
 
 
@@ -413,16 +424,19 @@ def review_queue(cands: DataFrame, suggestions: DataFrame, wanted: str = "all",
     return grouped.where("matching > 0")
 
 
-def judge_payload(judged: DataFrame, with_presets: bool = True) -> DataFrame:
-    """Bounded view of a candidate for a judge, as JSON: fixed limits, known fields only."""
-    facts = (
-        "transform(slice(facts, 1, 8), f -> named_struct('relation', substring(f.relation, 1, 40), 'text', substring(f.text, 1, 300)))"
-    )
+def _cut(text: str, longest: int | None) -> str:
+    return text if longest is None else f"substring({text}, 1, {longest})"
+
+
+def judge_payload(judged: DataFrame, with_presets: bool = True, most_facts: int | None = None, longest: int | None = None) -> DataFrame:
+    """View of a candidate for a judge, as JSON, known fields only; ``most_facts`` and ``longest`` bound it, if given."""
+    few = "facts" if most_facts is None else f"slice(facts, 1, {most_facts})"
+    facts = f"transform({few}, f -> named_struct('relation', f.relation, 'text', {_cut('f.text', longest)}))"
     texts = f"array_distinct(concat(array(role_raw, context_raw), {_direct('facts')}, IF(keep_text <> '' AND contains(keep_text, value), array(value), CAST(array() AS array<string>))))"
-    grounds = f"filter({texts}, g -> g <> '' AND length(g) <= 600 AND {keep_allowed('g')})"
+    grounds = f"filter({texts}, g -> g <> '' AND {keep_allowed('g')})"
     chosen = automatic_presets("type", "value") if with_presets else "CAST(map() AS map<string,array<struct<a:int,b:int>>>)"
     shown = "aggregate(r, value, (t, x) -> overlay(t PLACING repeat('*', x.b - x.a) FROM x.a + 1 FOR x.b - x.a))"
-    return judged.selectExpr("doc_id", "cand_id", "type", "value", "substring(role_raw, 1, 300) AS role_raw", "substring(context_raw, 1, 300) AS context_raw",
+    return judged.selectExpr("doc_id", "cand_id", "type", "value", f"{_cut('role_raw', longest)} AS role_raw", f"{_cut('context_raw', longest)} AS context_raw",
                              f"{facts} AS evidence", f"{grounds} AS grounds", f"{chosen} AS presets").selectExpr(
         "doc_id", "cand_id",
         "to_json(struct(cand_id AS id, type, value, role_raw, context_raw, 'mask_or_keep' AS decisionTask, evidence, grounds AS allowedKeepEvidence, "

@@ -17,13 +17,23 @@ def own_docs(spark, d):
     return fx.table(spark, d, "documents").selectExpr("-1 - doc_id AS doc_id", "text")
 
 
+def _made(spark, d):
+    """The made documents come from one small file: dealt out over the cores there are."""
+    return U.spread(kr_docs(spark, d), spark.sparkContext.defaultParallelism)
+
+
 def kr_units(spark, d):
-    return U.units_from_text(U.spread(kr_docs(spark, d)))
+    return U.units_from_text(_made(spark, d))
 
 
 def all_units(spark, d):
-    """Korean units plus the supplied documents, whose ids are made negative."""
-    return U.units_from_text(U.spread(kr_docs(spark, d).unionByName(own_docs(spark, d))))
+    """Korean units plus the supplied documents, whose ids are made negative.
+
+    The supplied documents stay in the splits that they have, unless the session says to deal them out (local sessions do).
+    """
+    wanted = spark.conf.get("spark.hushmark.inputPartitions", None)
+    own = U.spread(own_docs(spark, d), int(wanted) if wanted else None)
+    return U.units_from_text(_made(spark, d).unionByName(own))
 
 
 def parted_units(spark, d):
@@ -65,7 +75,10 @@ def a5(spark, d):
 
 
 def a6(spark, d):
-    return U.uninspected_report(fx.table(spark, d, "pages"))
+    """The supplied pages, and for each one a page with capitals, a line feed inside a tag, and a longer tag name."""
+    pages = fx.table(spark, d, "pages").select("page_id", "html")
+    odd = pages.selectExpr("-1 - page_id AS page_id", "concat('<IMG SRC=x><a', chr(10), 'href=y><imgx><A name=z>') AS html")
+    return U.uninspected_report(pages.unionByName(odd))
 
 
 def a7(spark, d):
@@ -105,7 +118,8 @@ ORACLE = {
             UNION ALL SELECT doc_id, 6, 'accepted' FROM r)
         SELECT doc_id, arg_min(why, o) AS outcome FROM t GROUP BY doc_id""",
     "uninspected_report": """
-        SELECT * FROM (SELECT page_id, item, len(string_split(html, mark)) - 1 AS n FROM pages,
+        WITH p AS (SELECT page_id, replace(lower(html), chr(10), ' ') AS h FROM pages UNION ALL SELECT -1 - page_id, '<IMG SRC=x><a' || chr(10) || 'href=y><imgx><A name=z>' FROM pages)
+        SELECT * FROM (SELECT page_id, item, CASE WHEN page_id < 0 THEN CASE item WHEN 'image' THEN 1 WHEN 'link' THEN 2 ELSE 0 END ELSE len(string_split(h, mark)) - 1 END AS n FROM p,
             (VALUES ('comment', '<!--'), ('image', '<img'), ('link', '<a '), ('script', '<script'), ('style', '<style')) v(item, mark))
         WHERE n > 0""",
     "hash_allowlist": """

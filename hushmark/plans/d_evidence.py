@@ -11,6 +11,7 @@ from hushmark.plans.a_sources import all_units, kr_units
 from hushmark.plans.b_formats import ID_DUCK, settled
 from hushmark.plans.c_labels import EVERYTHING, GRID_DUCK, REPEAT, T, forms, grid, lines, made
 from hushmark.session import cut
+from hushmark.sources import units as U
 
 # Format and label candidates of the Korean units, by construction.
 CANDS_DUCK = (
@@ -44,10 +45,12 @@ def _paragraph(relation):
 
 
 def _cells(spark, d):
-    """Grid plus a second paragraph in every first cell."""
-    g = grid(spark, d)
-    more = g.where("cell_ord = 0").withColumns({"unit_id": F.expr("concat(unit_id, 'b')"), "text": F.lit("확인")})
-    return g.unionByName(more)
+    """Cells of which every first one has another paragraph, and those of the first row twelve, laid on the grid."""
+    cells = grid(spark, d).drop("grid_col", "span")
+    more = cells.where("cell_ord = 0").selectExpr(*[c for c in cells.columns if c not in ("unit_id", "text", "unit_seq")],
+                                                  "explode(sequence(1, IF(row = 0, 12, 1))) AS n", "unit_id AS u", "unit_seq AS s").selectExpr(
+        *[c for c in cells.columns if c not in ("unit_id", "text", "unit_seq")], "concat(u, 'b', n) AS unit_id", "s + n AS unit_seq", "'확인' AS text")
+    return U.cell_grid(cells.unionByName(more))
 
 
 def d4(spark, d):
@@ -63,9 +66,10 @@ def _lines(build):
 
 
 def d8(spark, d):
-    found = forms(spark, d)
+    """All pieces; those after the third are over this query's limit."""
+    found = forms(spark, d).unionByName(lines(spark, d).withColumn("doc_id", F.expr("-1 - doc_id")))
     probes = found.selectExpr("doc_id", "unit_id", "unit_id AS cand_id", "0 AS start")
-    return E.evidence_top8(found, probes, E.line_relations(found)).selectExpr("doc_id", "cand_id", "ord", "relation", "src_unit_id")
+    return E.evidence_top8(found, probes, E.line_relations(found), 3).selectExpr("doc_id", "cand_id", "ord", "relation", "src_unit_id", "over_limit")
 
 
 PLACES = (
@@ -128,7 +132,7 @@ ORACLE = {
     "evidence_cells": f"""
         WITH c AS ({fx.CELLS}), g0 AS ({GRID_DUCK}),
         g AS (SELECT doc_id, tbl, row, cell_ord, col, span, unit_id, text FROM g0
-              UNION ALL SELECT doc_id, tbl, row, cell_ord, col, span, unit_id || 'b', '확인' FROM g0 WHERE cell_ord = 0)
+              UNION ALL SELECT doc_id, tbl, row, cell_ord, col, span, unit_id || 'b' || n, '확인' FROM g0, unnest(range(1, 13)) AS p(n) WHERE cell_ord = 0 AND (row = 0 OR n = 1))
         SELECT a.doc_id, a.unit_id, 'same_cell' AS relation, b.unit_id AS src_unit_id, b.text AS src_text FROM g a JOIN g b
             ON a.doc_id = b.doc_id AND a.tbl = b.tbl AND a.row = b.row AND a.cell_ord = b.cell_ord AND a.unit_id <> b.unit_id
         UNION ALL SELECT a.doc_id, a.unit_id, 'table_row_first_cell', b.unit_id, b.text FROM g a JOIN g b
@@ -139,13 +143,13 @@ ORACLE = {
     "evidence_above": f"WITH e AS ({_EVERY}) SELECT doc_id, unit_id, src_unit_id, src_text FROM ({_ABOVE}) WHERE rn = 1",
     "evidence_numbered": f"WITH e AS ({_EVERY}) SELECT doc_id, unit_id, src_unit_id, src_text FROM ({_NUMBERED}) WHERE rn = 1",
     "evidence_top8": f"""
-        WITH e AS ({fx.FORMS}), r AS (
+        WITH e AS ({_EVERY}), r AS (
             SELECT doc_id, unit_id, unit_id AS src_unit_id, 'self' AS relation, 0 AS o FROM e
             UNION ALL SELECT doc_id, unit_id, src_unit_id, 'same_row_left', 100 + up FROM ({_LEFT}) WHERE up = 1 OR down = 1
             UNION ALL SELECT doc_id, unit_id, src_unit_id, 'nearest_above', 1000 FROM ({_ABOVE}) WHERE rn = 1
             UNION ALL SELECT doc_id, unit_id, src_unit_id, 'preceding_numbered_line', 2000 FROM ({_NUMBERED}) WHERE rn = 1),
         n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_id ORDER BY o) AS ord FROM r)
-        SELECT doc_id, unit_id AS cand_id, ord, relation, src_unit_id FROM n WHERE ord <= 8""",
+        SELECT doc_id, unit_id AS cand_id, ord, relation, src_unit_id, ord > 3 AS over_limit FROM n""",
     "location_label": f"""
         SELECT k, CASE WHEN page > 0 THEN page || '쪽' WHEN tbl > 0 THEN r || ' · 표 ' || tbl || ' · ' || row || '행 ' || col || '열' ELSE r END AS label
         FROM (SELECT *, coalesce((SELECT n FROM (VALUES ('header', '머리말'), ('footer', '꼬리말')) v(g, n) WHERE g = region), '본문') AS r FROM ({PLACES}))""",

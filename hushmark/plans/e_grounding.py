@@ -85,7 +85,8 @@ def overlap_records(spark, d):
     free = kr_units(spark, d).where("unit_seq = 12").selectExpr("doc_id", "unit_id", "0 AS start", "5 AS end", "'name' AS type", "'예산 합계' AS raw_value", "0 AS rec_no", "'' AS context_raw")
     again = free.selectExpr("doc_id", "unit_id", "start", "end", "'card' AS type", "raw_value", "10000000 AS rec_no", "context_raw")
     part = free.selectExpr("doc_id", "unit_id", "3 AS start", "8 AS end", "'dob' AS type", "'합계 10' AS raw_value", "4000000 AS rec_no", "'x' AS context_raw")
-    return inside.unionByName(wide).unionByName(free).unionByName(again).unionByName(part)
+    every = inside.unionByName(wide).unionByName(free).unionByName(again).unionByName(part)
+    return every.withColumn("page", F.expr("IF(doc_id % 2 = 0, CAST(1 + doc_id % 7 AS INT), NULL)"))
 
 
 def e10(spark, d):
@@ -123,8 +124,8 @@ def e14(spark, d):
     elements = kr_units(spark, d).selectExpr("doc_id", "unit_seq AS element_ord", "concat('e', unit_seq) AS element_id", "CAST(1 + unit_seq / 6 AS INT) AS page",
                                              "CASE WHEN unit_seq = 0 THEN 'heading1' ELSE 'paragraph' END AS category", "text")
     placed = cands(spark, d).withColumn("page", F.expr("CAST(1 + unit_seq / 6 AS INT)"))
-    free = G.structure_evidence(placed.drop("page"), elements, False).selectExpr("'flow' AS kind", "doc_id", "cand_id", "n", "element_id", "page", "category")
-    paged = G.structure_evidence(placed, elements, True).selectExpr("'paged' AS kind", "doc_id", "cand_id", "n", "element_id", "page", "category")
+    free = G.structure_evidence(placed.drop("page"), elements, False, 3).selectExpr("'flow' AS kind", "doc_id", "cand_id", "n", "element_id", "category", "over_limit")
+    paged = G.structure_evidence(placed, elements, True, 3).selectExpr("'paged' AS kind", "doc_id", "cand_id", "n", "element_id", "category", "over_limit")
     return free.unionByName(paged)
 
 
@@ -265,9 +266,9 @@ ORACLE = {
         old AS (SELECT doc_id, cand_id, type, value, CASE WHEN type = 'phone' THEN 'account' ELSE '' END AS alts,
             CASE WHEN type IN ('phone', 'email', 'resident_id', 'foreign_id') THEN 'rule' ELSE 'local_label' END || CASE WHEN type = 'phone' THEN ',service' ELSE '' END AS sources, false AS fresh, start FROM c),
         wide AS (SELECT doc_id, '생일' AS context_raw, 'management_id' AS type, value AS raw_value, start - 3 AS start, "end",
-            '[{{"end": ' || "end" || ', "page": null, "start": ' || (start - 3) || ', "unitId": "' || unit_id || '"}}]' AS proposed FROM c WHERE type = 'dob'),
+            '[{{"end": ' || "end" || ', "page": ' || CASE WHEN doc_id % 2 = 0 THEN CAST(1 + doc_id % 7 AS VARCHAR) ELSE 'null' END || ', "start": ' || (start - 3) || ', "unitId": "' || unit_id || '"}}]' AS proposed FROM c WHERE type = 'dob'),
         part AS (SELECT c_custkey AS doc_id, 'x' AS context_raw, 'dob' AS type, '합계 10' AS raw_value, 3 AS start, 8 AS "end",
-            '[{{"end": 8, "page": null, "start": 3, "unitId": "/word/document.xml#12"}}]' AS proposed FROM customer)
+            '[{{"end": 8, "page": ' || CASE WHEN c_custkey % 2 = 0 THEN CAST(1 + c_custkey % 7 AS VARCHAR) ELSE 'null' END || ', "start": 3, "unitId": "/word/document.xml#12"}}]' AS proposed FROM customer)
         SELECT * FROM old
         UNION ALL SELECT c_custkey, 'c_' || substr(sha256('["name","/word/document.xml#12",0,5]'), 1, 24), 'name', '예산 합계', 'card', 'service', true, 0 FROM customer
         UNION ALL SELECT doc_id, {_U_ID}, type, raw_value, 'proposed', 'service', true, start FROM (SELECT * FROM wide UNION ALL SELECT * FROM part)""".replace("{{", "{").replace("}}", "}"),
@@ -275,13 +276,13 @@ ORACLE = {
     "dedupe_candidates": f"SELECT doc_id, cand_id, run, seq, method, note FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cand_id ORDER BY run, seq) AS rn FROM ({RUNS})) WHERE rn = 1",
     "cap_candidates": f"""
         WITH c AS (SELECT DISTINCT * FROM ({CROWD})), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_seq, start, cand_id) AS rn, count(*) OVER (PARTITION BY doc_id) AS total FROM c)
-        SELECT doc_id, unit_seq, start, cand_id, total > 600 AS incomplete FROM n WHERE rn <= 600""",
+        SELECT doc_id, unit_seq, start, cand_id, rn > 600 AS over_limit, total > 600 AS incomplete FROM n""",
     "structure_evidence": f"""
         WITH c AS (SELECT *, CAST(floor(unit_seq / 6) AS INT) + 1 AS page FROM ({CANDS_DUCK})), e AS (SELECT *, CAST(floor(unit_seq / 6) AS INT) + 1 AS page FROM ({fx.KR_UNITS_DUCK})),
         m AS (SELECT 'flow' AS kind, c.doc_id, c.cand_id, e.unit_seq, e.page FROM c JOIN e ON c.doc_id = e.doc_id AND contains(e.text, c.value)
             UNION ALL SELECT 'paged', c.doc_id, c.cand_id, e.unit_seq, e.page FROM c JOIN e ON c.doc_id = e.doc_id AND c.page = e.page AND contains(e.text, c.value)),
         r AS (SELECT *, row_number() OVER (PARTITION BY kind, doc_id, cand_id ORDER BY unit_seq) AS n FROM m)
-        SELECT kind, doc_id, cand_id, n, 'e' || unit_seq AS element_id, page, CASE WHEN unit_seq = 0 THEN 'heading1' ELSE 'paragraph' END AS category FROM r WHERE n <= 3""",
+        SELECT kind, doc_id, cand_id, n, 'e' || unit_seq AS element_id, CASE WHEN unit_seq = 0 THEN 'heading1' ELSE 'paragraph' END AS category, n > 3 AS over_limit FROM r""",
     "confidence_evidence": f"""
         WITH c AS ({CANDS_DUCK}), a AS (SELECT DISTINCT * FROM ({ADDITIONAL}))
         SELECT c.doc_id, c.cand_id, CASE WHEN a1.doc_id IS NOT NULL THEN coalesce(a1.confidence, 'low') WHEN a2.doc_id IS NOT NULL THEN 'medium' ELSE 'none' END AS confidence,

@@ -33,7 +33,10 @@ _ERR = f"""CASE WHEN {_SPOT} % 7 = 5 THEN 'method' WHEN {_V} = 4 THEN 'range' WH
 
 
 def g1(spark, d):
-    return P.validate_decisions(decisions(spark, d), cands(spark, d)).selectExpr("doc_id", "cand_id", "coalesce(error, 'ok') AS error")
+    """With one decision per document on a candidate that doesn't exist."""
+    made = decisions(spark, d)
+    stray = made.where("unit_seq = 1").dropDuplicates(["doc_id"]).withColumn("cand_id", F.lit("c_unknown"))
+    return P.validate_decisions(made.unionByName(stray), cands(spark, d)).selectExpr("doc_id", "cand_id", "coalesce(error, 'ok') AS error")
 
 
 def _known(spark, d):
@@ -185,7 +188,7 @@ def g11(spark, d):
 def g12(spark, d):
     rows = cands(spark, d).withColumns({"doc_id": F.expr("CAST(floor(doc_id / 50) AS BIGINT)"), "cand_id": F.expr("concat(doc_id, '/', cand_id)"),
                                         "unit_seq": F.expr("CAST((doc_id % 50) * 20 + unit_seq AS INT)")})
-    return P.batch_assign(rows, 20).groupBy("doc_id", "batch", "batch_key").agg(F.count(F.lit(1)).alias("n")).selectExpr("doc_id", "batch", "n", "length(batch_key) AS key_length")
+    return P.batch_assign(rows, 20).groupBy("doc_id", "batch", "batch_key").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "batch", "n", "batch_key")
 
 
 def votes(spark, d):
@@ -304,7 +307,7 @@ _REV = f"""SELECT *, CASE WHEN unit_seq = 2 THEN 'keep' WHEN unit_seq = 14 THEN
     (unit_seq = 2 AND doc_id % 3 <> 0) OR unit_seq = 14 AS manual, unit_seq <> 16 OR doc_id % 4 <> 1 AS located FROM ({CANDS_DUCK})"""
 
 ORACLE = {
-    "validate_decisions": f"SELECT doc_id, cand_id, {_ERR} AS error FROM ({CANDS_DUCK})",
+    "validate_decisions": f"SELECT doc_id, cand_id, {_ERR} AS error FROM ({CANDS_DUCK}) UNION ALL SELECT DISTINCT doc_id, 'c_unknown', 'unknown' FROM ({CANDS_DUCK}) WHERE unit_seq = 1",
     "apply_plan": f"""SELECT doc_id, cand_id, CASE WHEN hit THEN 'keep' ELSE 'full' END AS method, hit AS confirmed, CASE WHEN hit THEN 'user' ELSE '-' END AS decided_by, refused
         FROM (SELECT *, refused = '-' AND type IN ('phone', 'name') AS hit FROM (SELECT *, {_REFUSED} AS refused FROM ({CANDS_DUCK})))""",
     "add_manual": """SELECT c_custkey AS doc_id, n AS pick_no, o AS outcome, CASE n WHEN 0 THEN '예산' WHEN 1 THEN '산 합계' WHEN 2 THEN ' 010' WHEN 5 THEN '10' ELSE '-' END AS value,
@@ -339,8 +342,10 @@ ORACLE = {
             SELECT batch, CASE WHEN (SELECT count(*) FROM s WHERE s.cand_id = b.cand_id) = 0 THEN 1 ELSE 0 END AS m, CASE WHEN (SELECT count(*) FROM s WHERE s.cand_id = b.cand_id) > 1 THEN 1 ELSE 0 END AS d, 0 AS u FROM b
             UNION ALL SELECT DISTINCT ON (batch, cand_id) batch, 0, 0, 1 FROM s WHERE cand_id LIKE '?%') GROUP BY batch""",
     "batch_assign": f"""
-        WITH c AS (SELECT CAST(floor(doc_id / 50) AS BIGINT) AS doc_id, cand_id FROM ({CANDS_DUCK})), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1)
-        SELECT doc_id, b AS batch, least(20, n - 20 * b) AS n, 64 AS key_length FROM n, unnest(range(0, CAST(ceil(n / 20) AS BIGINT))) AS r(b)""",
+        WITH c AS (SELECT CAST(floor(doc_id / 50) AS BIGINT) AS doc_id, doc_id || '/' || cand_id AS cand_id, type, value,
+                row_number() OVER (PARTITION BY CAST(floor(doc_id / 50) AS BIGINT) ORDER BY doc_id % 50 * 20 + unit_seq, start, "end") AS rn FROM ({CANDS_DUCK}))
+        SELECT doc_id, (rn - 1) // 20 AS batch, count(*) AS n,
+            sha256('[' || string_agg('{{"id":"' || cand_id || '","type":"' || type || '","value":"' || value || '"}}', ',' ORDER BY rn) || ']') AS batch_key FROM c GROUP BY 1, 2""",
     "consensus_decision": f"SELECT doc_id, cand_id, m AS method, CASE WHEN m = 'partial' THEN '0-' || (length(value) - 2) ELSE '' END AS mask, true AS confirmed FROM (SELECT *, {_CONSENSUS} AS m FROM ({CANDS_DUCK}))",
     "export_summary": f"""SELECT doc_id, sum((m = 'full')::INT)::BIGINT AS full_count, sum((m = 'partial')::INT)::BIGINT AS partial_count, sum((m = 'keep')::INT)::BIGINT AS keep_count,
         sum((unit_seq = 14)::INT)::BIGINT AS manual_preserved FROM (SELECT *, {_CONSENSUS} AS m FROM ({CANDS_DUCK})) GROUP BY doc_id""",
@@ -365,7 +370,7 @@ ORACLE = {
             count(*) FILTER (WHERE method = 'keep') AS kept FROM ({_REV}) GROUP BY 1, 2, 3)
         SELECT 'all' AS queue, doc_id, type, value, n, pending, questions FROM g UNION ALL SELECT 'unconfirmed', doc_id, type, value, n, pending, questions FROM g WHERE pending > 0
         UNION ALL SELECT 'keep', doc_id, type, value, n, pending, questions FROM g WHERE kept > 0 UNION ALL SELECT 'mask', doc_id, type, value, n, pending, questions FROM g WHERE type = 'email' AND kept < n""",
-    "judge_payload": f"""SELECT doc_id, cand_id, role_raw, substr(unit_text, 1, 300) AS first_text,
+    "judge_payload": f"""SELECT doc_id, cand_id, role_raw, unit_text AS first_text,
         CASE WHEN (type = 'phone' AND unit_seq = 14) OR role_raw = '대표전화' OR keep_text <> '' THEN '["full","keep"]' ELSE '["full"]' END AS allowed, 'mask_or_keep' AS task,
         CASE type WHEN 'phone' THEN '["phone_middle","phone_suffix2","phone_suffix4","phone_tail"]' WHEN 'email' THEN '["email_first_and_domain","email_keep2","email_local_part"]'
             WHEN 'address' THEN '["address_city","address_locality","address_region"]' WHEN 'dob' THEN '["dob_year_only"]' WHEN 'card' THEN '["card_isms","id_suffix2","id_suffix4"]' WHEN 'account' THEN '["id_suffix2","id_suffix4"]'

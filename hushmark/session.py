@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.hushmark.inputPartitions", str(shuffle_partitions))
         # Small shuffles still feed costly expressions: keep them on all cores.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
@@ -41,34 +44,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors see, as the session names it; a local session gets its own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, as the session names it in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own, removed when Python ends; on a cluster it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.startswith("local"):
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="hushmark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for one run's files below the shared one."""
-    folder = shared_folder(spark)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{folder}/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Write a result that several later steps read, so they neither recompute nor re-plan it.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder of its own; elsewhere the lineage is left whole.
-    """
-    spark = frame.sparkSession
-    context = spark.sparkContext
+    """Write a result that several later steps read, so they neither recompute nor re-plan it; always, wherever it runs."""
+    context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = shared_folder(spark)
-        if not folder:
-            return frame
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint(eager=True)

@@ -11,14 +11,9 @@ from hushmark.functions.expr import squeezed
 BODY = "word/document.xml"
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Give every core a share when the input has fewer splits than there are cores.
-
-    Detection costs far more than moving a small input; an input with enough splits, as any
-    large one has, is left where it lies and is never shuffled.
-    """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+def spread(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal documents to so many partitions, for an input of few splits; without a number it is left where it lies."""
+    return docs if partitions is None else docs.repartition(partitions)
 
 
 def units_from_text(docs: DataFrame, part: str = BODY) -> DataFrame:
@@ -57,16 +52,18 @@ def with_region(units: DataFrame) -> DataFrame:
 def cell_grid(cells: DataFrame) -> DataFrame:
     """Grid column of each table cell from the spans before it in its row.
 
-    The window runs inside one table row; a row's width is bounded by the page.
+    A cell counts once, however many paragraphs (rows) it has: rows of a cell are peers of the window's range, which
+    ends before them, and only the first of them adds the span. The window runs inside one table row.
     """
     return cells.selectExpr(
         "*",
         "greatest(1, least(100, colspan)) AS span",
+        "lag(cell_ord) OVER (PARTITION BY doc_id, tbl, row ORDER BY cell_ord, unit_id) <=> cell_ord AS _again",
     ).selectExpr(
         "*",
-        "1 + coalesce(sum(span) OVER (PARTITION BY doc_id, tbl, row ORDER BY cell_ord "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grid_col",
-    )
+        "1 + coalesce(sum(IF(_again, 0, span)) OVER (PARTITION BY doc_id, tbl, row ORDER BY cell_ord "
+        "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grid_col",
+    ).drop("_again")
 
 
 def lines_from_chars(chars: DataFrame) -> DataFrame:
@@ -108,7 +105,7 @@ def admission_gate(docs: DataFrame, max_bytes: int = K.MAX_BYTES) -> DataFrame:
 
 def uninspected_report(pages: DataFrame) -> DataFrame:
     """Counts of the things in a page that text detection does not look into."""
-    items = {"comment": "<!--", "image": "<img", "link": "<a ", "script": "<script", "style": "<style"}
+    items = {"comment": "<!--", "image": "(?i)<img\\\\b", "link": "(?i)<a\\\\s", "script": "(?i)<script\\\\b", "style": "(?i)<style\\\\b"}
     entries = ", ".join(
         f"named_struct('item', '{name}', 'n', size(regexp_extract_all(html, '{mark}', 0)))" for name, mark in items.items()
     )

@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from hushmark.plans.catalog import ORACLE, QUERIES
 from tests.harness import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
