@@ -12,6 +12,7 @@ from hushmark.session import local_session
 
 HEADLINE = [
     "pii_union", "mask_text_chain", "redact_units", "preset_previews", "evidence_above", "leak_scan", "detection_audit", "stream_redact",
+    "detect_all", "detect_all_layout", "propagate_names", "glyph_check", "merge_overlap", "validate_suggestions", "table_column_fields",
 ]
 
 

@@ -31,8 +31,8 @@ def verify_metadata(expected: DataFrame, saved: DataFrame) -> DataFrame:
 
 
 def leak_scan(saved: DataFrame, decided: DataFrame) -> DataFrame:
-    """Masked values that still stand anywhere in the saved copy, reported by hash."""
-    masked = decided.where("located AND method IN ('full', 'delete')").select("doc_id", "type", "value").distinct()
+    """Values masked in whole or in part that still stand whole anywhere in the saved copy, reported by hash."""
+    masked = decided.where("located AND method IN ('full', 'delete', 'partial')").select("doc_id", "type", "value").distinct()
     found = pairs(saved, masked).select("doc_id", "unit_id", "value")
     return found.join(masked, ["doc_id", "value"]).selectExpr("doc_id", "unit_id", "type", "sha2(value, 256) AS value_hash")
 

@@ -78,71 +78,76 @@ def layout_rows(lines: DataFrame) -> DataFrame:
         "acc -> acc.rows)"
     )
     tops = lines.groupBy("doc_id", "page").agg(F.collect_set(F.col("y0").cast("double")).alias("ys"))
-    rows = tops.selectExpr("doc_id", "page", f"inline({fold})")
-    return lines.withColumn("y", F.col("y0").cast("double")).join(rows, ["doc_id", "page", "y"]).drop("y")
+    placed = tops.selectExpr("doc_id", "page", f"map_from_entries(transform({fold}, r -> struct(r.y, struct(r.row_no, r.top)))) AS _rows")
+    # The join keeps the rows of a page together, so that the rules on rows need no further exchange.
+    return lines.join(placed, ["doc_id", "page"]).withColumn("_row", F.expr("_rows[CAST(y0 AS DOUBLE)]")).selectExpr(
+        *[c for c in lines.columns], "_row.row_no AS row_no", "_row.top AS top")
+
+
+_ROW = "PARTITION BY doc_id, page, row_no"
+
+
+def _with_headers(rows: DataFrame) -> DataFrame:
+    """Adds kind, is_header (of the row), col_no and left_edge."""
+    return rows.withColumn("kind", F.expr(column_kind("text"))).selectExpr(
+        "*", f"count(*) OVER ({_ROW}) AS _n", f"count(kind) OVER ({_ROW}) AS _known", f"size(collect_set(kind) OVER ({_ROW})) AS _kinds",
+        f"row_number() OVER ({_ROW} ORDER BY x0, unit_seq) AS col_no", "x0 - 2 AS left_edge",
+    ).withColumn("is_header", F.expr("_n >= 3 AND _n = _known AND _n = _kinds")).drop("_n", "_known", "_kinds")
 
 
 def table_headers(rows: DataFrame) -> DataFrame:
     """Rows of at least three cells, all recognised and all different."""
-    typed = rows.withColumn("kind", F.expr(column_kind("text")))
-    heads = typed.groupBy("doc_id", "page", "row_no").agg(
-        F.expr(
-            "count(*) >= 3 AND count(*) = count(kind) AND count(DISTINCT kind) = count(*)"
-        ).alias("is_header")
-    ).where("is_header").drop("is_header")
-    return typed.join(heads, ["doc_id", "page", "row_no"]).selectExpr(
-        "*", "row_number() OVER (PARTITION BY doc_id, page, row_no ORDER BY x0, unit_seq) AS col_no", "x0 - 2 AS left_edge"
-    )
+    return _with_headers(rows).where("is_header").drop("is_header")
 
 
 def table_column_fields(lines: DataFrame, today: str, chars: DataFrame | None = None) -> DataFrame:
-    """Values of rows that keep to the columns of an unbroken table (raw finds)."""
-    rows = layout_rows(lines)
-    heads = table_headers(rows)
-    # One array of columns per heading row: a row's width bounds it.
-    specs = heads.groupBy("doc_id", "page", "row_no").agg(
-        F.expr("array_sort(collect_list(struct(col_no, CAST(left_edge AS DOUBLE) AS left_edge, kind, unit_id AS head_unit, text AS head_text)))").alias("cols"),
-        F.max(F.expr("y1 - y0")).alias("head_height"),
-    )
-    shape = rows.groupBy("doc_id", "page", "row_no").agg(F.min("top").alias("top"), F.max("y1").alias("bottom"))
-    ordered = shape.join(specs, ["doc_id", "page", "row_no"], "left").selectExpr(
-        "doc_id", "page", "row_no", "top", "cols IS NOT NULL AS is_head",
-        "last(IF(cols IS NOT NULL, row_no, NULL), true) OVER (PARTITION BY doc_id, page ORDER BY row_no) AS head_row",
-        "lag(bottom) OVER (PARTITION BY doc_id, page ORDER BY row_no) AS prev_bottom",
-        "last(head_height, true) OVER (PARTITION BY doc_id, page ORDER BY row_no) AS head_height",
-    )
-    body = ordered.where("NOT is_head AND head_row IS NOT NULL").selectExpr(
-        "doc_id", "page", "row_no", "head_row", "top - prev_bottom > greatest(24, head_height * 3) AS gap"
-    )
-    columns = specs.select("doc_id", "page", F.col("row_no").alias("head_row"), "cols")
-    placed = rows.select("doc_id", "page", "row_no", "unit_id", "unit_seq", "text", "x0", "x1").join(
-        body, ["doc_id", "page", "row_no"]).join(columns, ["doc_id", "page", "head_row"])
+    """Values of rows that keep to the columns of an unbroken table (raw finds).
+
+    All steps are windows within a page, on rows that ``layout_rows`` has already brought together. Characters, where
+    given, are put into one array a line beforehand; a line without characters is placed by its box.
+    """
     if chars is not None:
-        at = placed.join(chars.select("doc_id", "page", "unit_id", "idx", "c", F.expr("(x0 + x1) / 2.0 AS centre")),
-                         ["doc_id", "page", "unit_id"]).where(f"NOT c RLIKE '(?U)^{chr(92) * 2}s$'")
-        at = at.withColumn("col_no", F.expr("size(filter(cols, h -> h.left_edge <= centre))")).where("col_no > 0")
-        cells = at.groupBy("doc_id", "page", "head_row", "row_no", "unit_id", "unit_seq", "col_no").agg(
-            F.min("idx").alias("start"), (F.max("idx") + 1).alias("end"), F.first("text").alias("text"), F.first("cols").alias("cols")
-        ).selectExpr("*", "substring(text, start + 1, end - start) AS value")
+        ink = chars.where(f"NOT c RLIKE '(?U)^{chr(92) * 2}s$'").groupBy("doc_id", "page", "unit_id").agg(
+            F.expr("collect_list(struct(idx, (x0 + x1) / 2.0 AS centre))").alias("ink"))
+        lines = lines.join(ink, ["doc_id", "page", "unit_id"], "left")
     else:
-        cells = placed.withColumn("col_no", F.expr("size(filter(cols, h -> h.left_edge <= x0))")).where(
-            "col_no > 0 AND (col_no = size(cols) OR x1 <= cols[col_no].left_edge)"
-        ).selectExpr("*", f"{trimmed_start('text')} AS start", f"{stripped('text')} AS value").selectExpr(
-            "*", "start + length(value) AS end")
-    typed = cells.selectExpr("*", "cols[col_no - 1] AS head", "size(cols) AS n_cols").selectExpr(
-        "*", f"coalesce({valid_column('head.kind', 'value', today)}, false) AS fits"
-    )
-    verdict = typed.groupBy("doc_id", "page", "row_no").agg(
-        F.expr("bool_and(fits) AND count(*) = first(n_cols) AND count(DISTINCT col_no) = first(n_cols)").alias("good")
-    )
-    broken = body.join(verdict, ["doc_id", "page", "row_no"], "left").selectExpr(
-        "doc_id", "page", "row_no",
-        "bool_or(gap OR NOT coalesce(good, false)) OVER (PARTITION BY doc_id, page, head_row ORDER BY row_no) AS stopped",
-    )
-    kept = typed.join(broken.where("NOT stopped"), ["doc_id", "page", "row_no"]).where("head.kind NOT IN ('number', 'phone', 'email')")
+        lines = lines.withColumn("ink", F.lit(None).cast("array<struct<idx:int,centre:double>>"))
+    headed = _with_headers(layout_rows(lines))
+    column = "named_struct('col_no', col_no, 'left_edge', CAST(left_edge AS DOUBLE), 'kind', kind, 'head_unit', unit_id, 'head_text', text)"
+    shaped = headed.selectExpr(
+        "*", f"IF(is_header, array_sort(collect_list(IF(is_header, {column}, NULL)) OVER ({_ROW})), NULL) AS own_columns",
+        f"max(y1 - y0) OVER ({_ROW}) AS height", f"max(y1) OVER ({_ROW}) AS bottom",
+    )
+    page = "PARTITION BY doc_id, page ORDER BY row_no"
+    under = shaped.selectExpr(
+        "*", f"last(IF(is_header, named_struct('row_no', row_no, 'cols', own_columns, 'height', height), NULL), true) OVER ({page}) AS head",
+        f"max(bottom) OVER ({page} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS prev_bottom",
+    ).where("NOT is_header AND head IS NOT NULL").selectExpr(
+        "doc_id", "page", "row_no", "unit_id", "unit_seq", "text", "x0", "x1", "ink", "head.row_no AS head_row", "head.cols AS cols",
+        "top - prev_bottom > greatest(24, head.height * 3) AS gap")
+    cell = "struct<col_no:int,start:int,end:int,value:string>"
+    by_ink = (
+        "transform(filter(transform(sequence(1, size(cols)), n -> named_struct('n', n, 'own', filter(ink, c -> size(filter(cols, h -> h.left_edge <= c.centre)) = n))), g -> size(g.own) > 0), "
+        "g -> named_struct('col_no', g.n, 'start', array_min(transform(g.own, c -> c.idx)), 'end', array_max(transform(g.own, c -> c.idx)) + 1, "
+        "'value', substring(text, array_min(transform(g.own, c -> c.idx)) + 1, array_max(transform(g.own, c -> c.idx)) + 1 - array_min(transform(g.own, c -> c.idx)))))"
+    )
+    nth = "size(filter(cols, h -> h.left_edge <= x0))"
+    by_box = (
+        f"IF({nth} > 0 AND ({nth} = size(cols) OR x1 <= get(cols, {nth}).left_edge), array(named_struct('col_no', {nth}, 'start', {trimmed_start('text')}, "
+        f"'end', {trimmed_start('text')} + length({stripped('text')}), 'value', {stripped('text')})), CAST(array() AS array<{cell}>))"
+    )
+    cells = under.withColumn("cells", F.expr(f"IF(ink IS NULL, {by_box}, {by_ink})")).selectExpr(
+        "* EXCEPT (ink, cells, x0, x1)", "explode_outer(cells) AS cell")
+    typed = cells.selectExpr("*", "cols[cell.col_no - 1] AS head", "size(cols) AS n_cols").selectExpr(
+        "*", f"cell IS NULL OR coalesce({valid_column('head.kind', 'cell.value', today)}, false) AS fits")
+    judged = typed.selectExpr(
+        "*", f"bool_and(fits) OVER ({_ROW}) AND count(cell) OVER ({_ROW}) = n_cols AND size(collect_set(cell.col_no) OVER ({_ROW})) = n_cols AS good")
+    kept = judged.selectExpr(
+        "*", "bool_or(gap OR NOT good) OVER (PARTITION BY doc_id, page, head_row ORDER BY row_no) AS stopped"
+    ).where("NOT stopped AND cell IS NOT NULL AND head.kind NOT IN ('number', 'phone', 'email')")
     return kept.selectExpr(
-        "doc_id", "unit_seq", "unit_id", "page", "9 AS prio", "CAST(row_no AS BIGINT) * 4294967296L + col_no AS ord", "start", "end",
-        "head.kind AS type", "value", _NO_ALTS, "'table_column_header' AS relation", "head.head_unit AS proof_unit",
+        "doc_id", "unit_seq", "unit_id", "page", "9 AS prio", "CAST(row_no AS BIGINT) * 4294967296L + cell.col_no AS ord", "cell.start AS start", "cell.end AS end",
+        "head.kind AS type", "cell.value AS value", _NO_ALTS, "'table_column_header' AS relation", "head.head_unit AS proof_unit",
         f"{trimmed_start('head.head_text')} AS proof_start",
         f"{trimmed_start('head.head_text')} + length({stripped('head.head_text')}) AS proof_end",
     )

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from hushmark.functions.expr import let
 
-# Documents with more distinct values than this use substring keys instead of value lists.
-LIST_LIMIT = 256
+#: A value's key is its first characters: as many as the document's shortest value has, at most this many.
+KEY_LENGTH = 8
+#: Bits of a document's key filter, the size of Spark's bitmaps.
+FILTER_BITS = 32768
 _QUOTED = "concat('\\\\Q', replace({v}, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')"
 
 
@@ -29,34 +31,27 @@ def occurrences(text: str, value: str, disjoint: bool = False) -> str:
     )
 
 
-def pairs(units: DataFrame, values: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """Units with each distinct value of their document that they contain.
+def pairs(units: DataFrame, values: DataFrame) -> DataFrame:
+    """Units with each distinct value of their document that they contain; one way for any number of values and units.
 
-    Few values: the document's list rides along with its units, and each unit tests it. Many
-    values: units are cut into substrings of the lengths in use and joined by equality, so a
-    document with very many units and values costs its text, not units times values.
+    Values are joined to units by the hash of a key of a few characters, and then looked for. A bitmap of a document's
+    keys, of fixed size, rides along with its units, so that only stretches of text that may be a key leave their row:
+    with few values hardly any do, and with very many the rows follow the text, not units times values.
     """
     distinct = values.select("doc_id", "value").where("value <> ''").distinct()
-    counts = distinct.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = distinct.join(counts, "doc_id")
-    few = sized.where(f"_n <= {list_limit}").groupBy("doc_id").agg(F.collect_list("value").alias("_values"))
-    listed = units.join(few, "doc_id").selectExpr(
-        *units.columns, "explode(filter(_values, v -> contains(text, v))) AS value"
-    )
-    many = sized.where(f"_n > {list_limit}").select("doc_id", "value")
-    lengths = many.groupBy("doc_id").agg(F.collect_set(F.length("value")).alias("_lengths"))
-    keyed = units.join(lengths, "doc_id").selectExpr(
-        *units.columns, "explode(filter(_lengths, n -> n <= length(text))) AS _len"
-    ).selectExpr(
-        *units.columns,
-        "explode(array_distinct(regexp_extract_all(text, concat('(?s)(?=(.{', CAST(_len AS STRING), '}))'), 1))) AS value",
-    )
-    return listed.unionByName(keyed.join(many, ["doc_id", "value"], "left_semi").select(*units.columns, "value"))
+    lengths = distinct.groupBy("doc_id").agg(F.least(F.min(F.length("value")), F.lit(KEY_LENGTH)).alias("_n"))
+    keyed = distinct.join(lengths, "doc_id").selectExpr("doc_id", "value", "_n", "xxhash64(substring(value, 1, _n)) AS _h")
+    filters = keyed.groupBy("doc_id").agg(F.min("_n").alias("_n"), F.expr(f"bitmap_construct_agg(pmod(_h, {FILTER_BITS}))").alias("_bits"))
+    place = f"CAST(pmod(h, {FILTER_BITS}) AS INT)"
+    listed = f"(CAST(conv(hex(substring(_bits, {place} DIV 8 + 1, 1)), 16, 10) AS INT) & shiftleft(1, {place} % 8)) <> 0"
+    grams = "array_distinct(transform(regexp_extract_all(text, concat('(?s)(?=(.{', CAST(_n AS STRING), '}))'), 1), g -> xxhash64(g)))"
+    may = units.join(filters, "doc_id").selectExpr(*units.columns, f"explode(filter({grams}, h -> {listed})) AS _h")
+    return may.join(keyed.drop("_n"), ["doc_id", "_h"]).where("contains(text, value)").select(*units.columns, "value")
 
 
-def locate(units: DataFrame, values: DataFrame, disjoint: bool = False, list_limit: int = LIST_LIMIT) -> DataFrame:
+def locate(units: DataFrame, values: DataFrame, disjoint: bool = False) -> DataFrame:
     """Every place of each distinct value in the units of its document."""
-    found = pairs(units, values, list_limit)
+    found = pairs(units, values)
     return found.selectExpr("*", f"explode({occurrences('text', 'value', disjoint)}) AS start").selectExpr(
         "*", "start + length(value) AS end"
     )

@@ -171,7 +171,12 @@ def _find_literal(disjoint):
         rows = locate(units, values, disjoint)
         own = U.units_from_text(fx.derive(spark, d, "SELECT c_custkey AS doc_id, repeat('가나', 4) || '😀' || c_name || repeat('0', 5) AS text FROM customer"))
         seeds = fx.table(spark, d, "customer").selectExpr("c_custkey AS doc_id", "explode(array('가나가', '000', 'Customer#', '(?a)')) AS value")
-        return rows.unionByName(locate(own, seeds, disjoint).withColumn("doc_id", F.expr("-1 - doc_id"))).select("doc_id", "unit_id", "value", "start", "end")
+        rows = rows.unionByName(locate(own, seeds, disjoint).withColumn("doc_id", F.expr("-1 - doc_id")))
+        # One document that holds every customer as a line and is searched for every customer's name.
+        ledger = fx.table(spark, d, "customer").selectExpr("1000000000L AS doc_id", "CAST(c_custkey AS INT) AS unit_seq", "concat('#', c_custkey) AS unit_id", "'ledger' AS part",
+                                                           "concat(c_name, ' / ', c_name, ' / ', c_mktsegment) AS text")
+        names = fx.table(spark, d, "customer").selectExpr("1000000000L AS doc_id", "c_name AS value")
+        return rows.unionByName(locate(ledger, names, disjoint)).select("doc_id", "unit_id", "value", "start", "end")
 
     return query
 
@@ -228,7 +233,8 @@ _LITERALS = """
 _ALL_HITS = f"""
     WITH b AS ({_LITERALS}), v AS (SELECT DISTINCT item_id AS doc_id, unnest(['th', 'en', 'haha', substr(text, 5, 4), 'an']) AS value FROM benchmark),
     t AS (SELECT b.doc_id, '/word/document.xml#' || seq AS unit_id, b.text, v.value FROM b JOIN v ON b.doc_id = v.doc_id
-        UNION ALL SELECT -1 - c_custkey, '/word/document.xml#0', repeat('가나', 4) || '😀' || c_name || repeat('0', 5), x FROM customer, (VALUES ('가나가'), ('000'), ('Customer#'), ('(?a)')) s(x)),
+        UNION ALL SELECT -1 - c_custkey, '/word/document.xml#0', repeat('가나', 4) || '😀' || c_name || repeat('0', 5), x FROM customer, (VALUES ('가나가'), ('000'), ('Customer#'), ('(?a)')) s(x)
+        UNION ALL SELECT 1000000000, '#' || c_custkey, c_name || ' / ' || c_name || ' / ' || c_mktsegment, c_name FROM customer),
     h AS (SELECT doc_id, unit_id, value, i.i - 1 AS start, i.i - 1 + length(value) AS "end" FROM t, unnest(range(1, length(text) + 1)) AS i(i) WHERE substr(text, i.i, length(value)) = value)"""
 
 ORACLE = {

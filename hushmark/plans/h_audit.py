@@ -64,6 +64,13 @@ def h5(spark, d):
     return A.copy_review(D.pii_union(copy), choice).selectExpr("doc_id", "type", "value", "planned_keep")
 
 
+def h5_all(spark, d):
+    """The same with every detector, names, addresses and numbers included."""
+    choice = cut(decided(spark, d))
+    copy = O.redact_units(kr_units(spark, d), choice).selectExpr("doc_id", "unit_seq", "unit_id", "redacted AS text")
+    return A.copy_review(detect_all(cut(copy), T), choice).selectExpr("doc_id", "unit_id", "type", "value", "planned_keep")
+
+
 def h6(spark, d):
     found = detect_all(kr_units(spark, d), T)
     return A.detection_audit(found, fx.derive(spark, d, fx.TRUTH)).selectExpr(
@@ -101,7 +108,12 @@ def a8(spark, d):
     copy = O.redact_units(kr_units(spark, d), choice).selectExpr("doc_id", "unit_seq", "unit_id", "redacted AS text")
     leaks = A.leak_scan(copy, choice).select("doc_id").distinct().withColumn("leak", F.lit(True))
     checks = copy.select("doc_id").distinct().join(leaks, "doc_id", "left").selectExpr("doc_id", "'leak_scan' AS name", "leak IS NULL AS passed")
-    return sink.redacted_sink(copy, checks, 2, work_folder(spark, "copies")).select("doc_id", "version", "n_units", "n_checks", "sha256")
+    folder = work_folder(spark, "copies")
+    for run, part in (("even", "doc_id % 2 = 0"), ("odd", "doc_id % 2 = 1")):  # two batches of one version share the folder
+        sink.redacted_sink(copy.where(part), checks.where(part), 2, folder, run)
+    listed = sink.read_manifest(spark, folder, 2)
+    stored = sink.read_copies(spark, folder, 2).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_stored"))
+    return listed.join(stored, "doc_id").select("doc_id", "version", "n_units", "n_checks", "sha256", "n_stored")
 
 
 def j1(spark, d):
@@ -126,7 +138,7 @@ def j3(spark, d):
 
 
 QUERIES = {
-    "verify_units": h1, "verify_metadata": h2, "leak_scan": h3, "glyph_check": h4, "copy_review": h5, "detection_audit": h6, "negative_controls": h7,
+    "verify_units": h1, "verify_metadata": h2, "leak_scan": h3, "glyph_check": h4, "copy_review": h5, "copy_review_all": h5_all, "detection_audit": h6, "negative_controls": h7,
     "hash_manifest": h8, "checks_rollup": h9, "verify_geometry": h10, "redacted_sink": a8, "sql_scalar_functions": j1, "sql_table_function": j2, "span_aggregate": j3,
 }
 
@@ -140,7 +152,7 @@ COPY_DUCK = f"""
     FROM u LEFT JOIN j ON u.doc_id = j.doc_id AND u.unit_id = j.unit_id"""
 LEAK_DUCK = f"""
     SELECT DISTINCT s.doc_id, s.unit_id, c.type, sha256(c.value) AS value_hash FROM ({COPY_DUCK}) s JOIN ({DECIDED_DUCK}) c ON s.doc_id = c.doc_id
-    AND c.method IN ('full', 'delete') AND contains(s.text, c.value)"""
+    AND c.method IN ('full', 'delete', 'partial') AND contains(s.text, c.value)"""
 
 ORACLE = {
     "verify_units": f"""
@@ -178,7 +190,7 @@ ORACLE = {
             count(*) FILTER (WHERE o_orderkey % 50 = 7 OR (o_orderkey % 31 = 3 AND o_orderkey % 4 <> 2)) = 0 AS same_geometry FROM orders GROUP BY 1""",
     "redacted_sink": f"""
         WITH s AS ({COPY_DUCK}), bad AS (SELECT DISTINCT doc_id FROM ({LEAK_DUCK}))
-        SELECT doc_id, 2 AS version, count(*) AS n_units, 1 AS n_checks, sha256(sha256(string_agg(sha256(text), '' ORDER BY unit_seq))) AS sha256
+        SELECT doc_id, 2 AS version, count(*) AS n_units, 1 AS n_checks, sha256(sha256(string_agg(sha256(text), '' ORDER BY unit_seq))) AS sha256, count(*) AS n_stored
         FROM s WHERE doc_id NOT IN (SELECT doc_id FROM bad) GROUP BY doc_id""",
     "sql_scalar_functions": f"""
         SELECT k, left(name, 1) || '*' || right(name, 1) AS masked, '****-' || substr(phone, 5) || ' ****@*****.***' AS chained, true AS account_ok, false AS dob_ok, 'name' AS label,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hushmark.plans import fixtures as fx
 from hushmark.plans.b_formats import settled
-from hushmark.plans.c_labels import EVERYTHING, REPEAT, T, made
+from hushmark.plans.c_labels import EVERYTHING, T, made
 from hushmark.session import work_folder
 from hushmark.streaming import jobs as J
 
@@ -30,7 +30,7 @@ def i1(spark, d):
     given = stream(spark, d, "documents").selectExpr("-1 - doc_id AS doc_id", "text")
     out = None
     for docs in (korean, given):
-        done = J.drain(J.stream_redact(docs, T), work_folder(spark, "redact")).select("doc_id", "unit_id", "redacted", "n_found")
+        done = J.stream_redact(docs, T, work_folder(spark, "redact"))
         out = done if out is None else out.unionByName(done)
     return out
 
@@ -91,7 +91,7 @@ QUERIES = {
 }
 
 _FOUND = f"""
-    WITH people AS ({fx.PEOPLE}) SELECT doc_id, unit_id, start, "end" FROM ({made(*[r for r in EVERYTHING if r not in REPEAT])})
+    WITH people AS ({fx.PEOPLE}) SELECT doc_id, unit_id, start, "end" FROM ({made(*EVERYTHING)})
     UNION ALL SELECT doc_id, unit_id, start, "end" FROM ({settled(f"SELECT -1 - doc_id AS doc_id, unit_seq, unit_id, text FROM ({fx.DOCUMENT_UNITS_DUCK}) x")})"""
 ORACLE = {
     "stream_redact": f"""

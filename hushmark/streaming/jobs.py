@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hushmark import constants as K
-from hushmark.operators.detect import redact_in_unit
+from hushmark.operators.mask import redact_units
+from hushmark.operators.pipeline import detect_all
 from hushmark.sources.units import units_from_text
 
 
@@ -38,9 +39,23 @@ def drain_batches(stream: DataFrame, folder: str, write: Callable[[DataFrame, in
     query.awaitTermination()
 
 
-def stream_redact(docs: DataFrame, today: str) -> DataFrame:
-    """Arriving documents to redacted units; the batch plan, unchanged."""
-    return redact_in_unit(units_from_text(docs), today)
+def stream_redact(docs: DataFrame, today: str, folder: str) -> DataFrame:
+    """Arriving documents to redacted units, by the batch job itself, micro-batch by micro-batch.
+
+    A document arrives whole, so what its lines tell about each other, repeated names among them, is known in its
+    micro-batch. A repeated micro-batch replaces its own files. Returns what was written.
+    """
+    out = f"{folder}/out"
+
+    def write(batch: DataFrame, number: int) -> None:
+        units = units_from_text(batch)
+        found = detect_all(units, today)
+        counted = found.groupBy("doc_id", "unit_id").agg(F.count(F.lit(1)).alias("n_found"))
+        done = redact_units(units, found).join(counted, ["doc_id", "unit_id"], "left").selectExpr("doc_id", "unit_id", "redacted", "coalesce(n_found, 0L) AS n_found")
+        done.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    drain_batches(docs, folder, write)
+    return docs.sparkSession.read.parquet(out).drop("batch")
 
 
 def _in_order(pages: Iterator[pd.DataFrame]) -> pd.DataFrame:

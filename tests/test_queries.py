@@ -15,10 +15,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - set(ORACLE) == {"copy_review_all"}  # every detector on rewritten text: see test_rules
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, con, name):
     rows, expected, problems, _, _ = compare(spark, con, name, QUERIES[name], ORACLE[name], SF)
     assert not problems, problems

@@ -1,14 +1,21 @@
 """Small cases of single rules, and the invariants of every candidate table."""
 
+import hashlib
+import json
 import re
 
-
 from hushmark.functions import masking as M
+from hushmark.functions.ids import candidate_id
 from hushmark.operators import detect as D
 from hushmark.operators import literal
+from hushmark.operators.audit import copy_review, leak_scan
+from hushmark.operators.evidence import cell_relations
+from hushmark.operators.ground import cap_candidates
 from hushmark.operators.joins import block_rank, carry_last, interval_join
 from hushmark.operators.pipeline import detect_all
-from hushmark.sources.units import units_from_text
+from hushmark.operators.policy import keep_grounds, local_recommend
+from hushmark.sources import sink
+from hushmark.sources.units import cell_grid, units_from_text
 
 TODAY = "2026-01-01"
 
@@ -90,18 +97,70 @@ def test_presets(spark):
         assert {r.preset: r.masked for r in rows if r.i == i} == expected, value
 
 
-def test_literal_search_agrees_between_both_ways(spark):
-    texts = ["가나가나가", "x(?a)x(?a)", "", "aaaa 😀aa", "no hit"]
+def test_literal_search(spark):
+    texts = ["가나가나가", "x(?a)x(?a)", "", "aaaa 😀aa", "no hit", "long value here, a long value"]
     table = units(spark, *texts)
-    values = spark.createDataFrame([(i, v) for i in range(len(texts)) for v in ("가나가", "(?a)", "aa", "a", "😀")], "doc_id long, value string")
-    expected = sorted(
-        (i, v, p) for i, t in enumerate(texts) for v in ("가나가", "(?a)", "aa", "a", "😀") for p in range(len(t)) if t.startswith(v, p))
-    for limit in (256, 0):
-        rows = literal.locate(table, values, list_limit=limit).collect()
-        assert sorted((r.doc_id, r.value, r.start) for r in rows) == expected
-    split = literal.locate(table, values, True, 0).collect()
-    assert sorted((r.doc_id, r.value, r.start) for r in split) == sorted(
-        (i, v, m.start()) for i, t in enumerate(texts) for v in ("가나가", "(?a)", "aa", "a", "😀") for m in re.finditer(re.escape(v), t))
+    for wanted in (("가나가", "(?a)", "aa", "a", "😀"), ("long value", "long value here", "가나가나가", "no hit")):
+        values = spark.createDataFrame([(i, v) for i in range(len(texts)) for v in wanted], "doc_id long, value string")
+        rows = literal.locate(table, values).collect()
+        assert sorted((r.doc_id, r.value, r.start) for r in rows) == sorted(
+            (i, v, p) for i, t in enumerate(texts) for v in wanted for p in range(len(t)) if t.startswith(v, p))
+        split = literal.locate(table, values, True).collect()
+        assert sorted((r.doc_id, r.value, r.start) for r in split) == sorted(
+            (i, v, m.start()) for i, t in enumerate(texts) for v in wanted for m in re.finditer(re.escape(v), t))
+
+
+def test_literal_search_of_many_values_in_one_document(spark):
+    table = spark.range(3000).selectExpr("0L AS doc_id", "CAST(id AS INT) AS unit_seq", "CAST(id AS STRING) AS unit_id", "concat('no. ', id * 7, ' and ', id * 11) AS text")
+    values = spark.range(5000).selectExpr("0L AS doc_id", "concat('no. ', id * 7, ' ') AS value")
+    assert literal.locate(table, values).where("value = concat('no. ', unit_seq * 7, ' ')").count() == 3000 == literal.locate(table, values).count()
+
+
+def test_ids_escape_what_json_escapes(spark):
+    for unit in ("plain#1", "한글#2", 'q"\\b', "tab\tnl\n\x01\x7f", "😀é"):
+        body = json.dumps(["name", unit, 3, 5], separators=(",", ":"))
+        got = spark.createDataFrame([(unit,)], "u string").selectExpr(f"{candidate_id(chr(39) + 'name' + chr(39), 'u', '3', '5')} AS id").first().id
+        assert got == "c_" + hashlib.sha256(body.encode()).hexdigest()[:24], unit
+
+
+def test_leaks_of_partly_masked_values(spark):
+    decided = spark.createDataFrame([(0, "phone", "010-1234-5678", True, "partial"), (1, "phone", "010-1234-5678", True, "keep")], "doc_id long, type string, value string, located boolean, method string")
+    saved = units(spark, "call 010-1234-5678", "call 010-1234-5678")
+    assert [r.doc_id for r in leak_scan(saved, decided).collect()] == [0]
+
+
+def test_copy_review_finds_every_type(spark):
+    copy = units(spark, "성명: 김하늘 주소: 서울특별시 강남구 역삼동 12-3\n계좌번호: 123-45-678901 연락처 010-1234-5678")
+    kinds = {r.type for r in copy_review(detect_all(copy, TODAY), spark.createDataFrame([], "doc_id long, type string, value string, method string")).collect()}
+    assert {"name", "account", "phone"} <= kinds
+
+
+def test_limits_flag_and_keep(spark):
+    rows = spark.range(2000).selectExpr("0L AS doc_id", "CAST(id AS INT) AS unit_seq", "0 AS start", "CAST(id AS STRING) AS cand_id")
+    assert cap_candidates(rows).where("over_limit OR incomplete").count() == 0
+    limited = cap_candidates(rows, 1000)
+    assert limited.count() == 2000 and limited.where("over_limit").count() == 1000
+    judged = spark.createDataFrame([(0, "c", "phone", "02-123-4567", True, "", "")], "doc_id long, cand_id string, type string, value string, located boolean, role_raw string, context_raw string").selectExpr(
+        "*", "array(named_struct('relation', 'self', 'text', concat('대표전화 02-123-4567 ', repeat('가', 900)))) AS facts", "'' AS keep_text")
+    assert local_recommend(judged).first().recommendation == "keep" and keep_grounds(judged).count() == 1
+
+
+def test_cells_of_many_paragraphs(spark):
+    cells = spark.range(12).selectExpr("0L AS doc_id", "0 AS tbl", "0 AS row", "0 AS cell_ord", "2 AS colspan", "CAST(id AS INT) AS unit_seq", "concat('a', id) AS unit_id", "'x' AS text").unionByName(
+        spark.range(1).selectExpr("0L AS doc_id", "0 AS tbl", "0 AS row", "1 AS cell_ord", "1 AS colspan", "99 AS unit_seq", "'b' AS unit_id", "'y' AS text"))
+    grid = cell_grid(cells)
+    assert {(r.cell_ord, r.grid_col) for r in grid.collect()} == {(0, 1), (1, 3)}
+    assert cell_relations(grid).where("relation = 'same_cell'").count() == 132
+
+
+def test_second_batch_of_a_version_keeps_the_first(spark, tmp_path):
+    def batch(doc, run):
+        copy = spark.createDataFrame([(doc, 0, "u", "text")], "doc_id long, unit_seq int, unit_id string, text string")
+        sink.redacted_sink(copy, spark.createDataFrame([(doc, "c", True)], "doc_id long, name string, passed boolean"), 1, str(tmp_path), run)
+
+    for doc, run in ((1, "a"), (2, "b"), (2, "b")):
+        batch(doc, run)
+    assert sorted(r.doc_id for r in sink.read_copies(spark, str(tmp_path), 1).collect()) == [1, 2]
 
 
 def test_carry_and_rank_do_not_depend_on_blocks(spark):
