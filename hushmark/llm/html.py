@@ -214,9 +214,14 @@ def consensus(counted: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars."""
+    """page_id, url, text, n_chars.
+
+    Winning paths are first given to page ids, which are small rows, and then to the pages by their ids: a host with a third of
+    all pages doesn't bring its pages together.
+    """
     given = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    paired = given.join(consensus(votes(pages)), "host", "left").select("page_id", "url", "html", "path")
+    paths = given.select("page_id", "host").distinct().join(consensus(votes(pages)), "host").select(F.col("page_id").alias("id"), F.col("host").alias("of"), "path")
+    paired = given.join(paths, given["page_id"].eqNullSafe(paths["id"]) & (given["host"] == paths["of"]), "left").select("page_id", "url", "html", "path")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
