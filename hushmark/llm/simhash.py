@@ -30,6 +30,7 @@ SHINGLE = 3
 SEED = 42
 THRESHOLD = 3
 CODE_BITS = 31
+PRINTS_A_PARTITION = 10_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -90,14 +91,20 @@ def _near(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= THRESHOLD
 
 
+def _dealt(prints: DataFrame) -> DataFrame:
+    """Few bytes make many rows at the anchors: partitions by the number of fingerprints, not by their size."""
+    return cut(prints.repartition(-(-max(prints.count(), 1) // PRINTS_A_PARTITION)))
+
+
 def link(prints: DataFrame) -> DataFrame:
     """(fp, label) of distinct fingerprints ``fp``; equal labels are one component."""
+    prints = _dealt(prints)
     homes = prints.select("*", F.explode(F.array(home(F.col("fp"), 0), home(F.col("fp"), 1))).alias("anchor"))
     guests = prints.select("*", F.explode(F.concat(anchors(F.col("fp"), 0), anchors(F.col("fp"), 1))).alias("anchor"))
     hubs = homes.groupBy("anchor").agg(F.min("fp").alias("hub"))
     first = guests.join(hubs, "anchor").where((F.col("fp") != F.col("hub")) & _near("fp", "hub")).select(F.col("fp").alias("u"), F.col("hub").alias("v"))
     labels = components(first).withColumnRenamed("node", "fp")
-    labelled = cut(prints.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")))
+    labelled = _dealt(cut(prints.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))))
     homes = labelled.select(F.col("fp").alias("fp1"), F.col("label").alias("label1"), F.explode(F.array(home(F.col("fp"), 0), home(F.col("fp"), 1))).alias("anchor"))
     guests = labelled.select("fp", "label", F.explode(F.concat(anchors(F.col("fp"), 0), anchors(F.col("fp"), 1))).alias("anchor"))
     rest = homes.join(guests, "anchor").where((F.col("label1") != F.col("label")) & _near("fp1", "fp")).select(F.col("label1").alias("u"), F.col("label").alias("v"))
