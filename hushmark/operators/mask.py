@@ -87,25 +87,31 @@ def redact_boxes(chars: DataFrame, decided: DataFrame) -> DataFrame:
     )
 
 
-def islands(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Ranges of each key joined where they touch or overlap; rows, not arrays."""
+STRETCH = 65536
+
+
+def islands(ranges: DataFrame, keys: list[str], width: int = STRETCH) -> DataFrame:
+    """Ranges of each key joined where they touch or overlap; rows, not arrays.
+
+    Ranges are scanned in stretches of ``width`` positions, of which only the furthest end and the last start are carried on, so
+    a key with very many ranges is no task's whole work. Ranges with one start count as the longest of them.
+    """
     key = ", ".join(keys)
-    marked = ranges.where("0 <= a AND a < b").selectExpr(
-        *keys, "a", "b", f"max(b) OVER (PARTITION BY {key} ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach"
-    )
-    numbered = marked.selectExpr(
-        *keys, "a", "b", f"sum(IF(reach IS NULL OR a > reach, 1, 0)) OVER (PARTITION BY {key} ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island"
-    )
-    return numbered.groupBy(*keys, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
+    longest = ranges.where("0 <= a AND a < b").groupBy(*keys, "a").agg(F.max("b").alias("b"))
+    rows = longest.withColumn("_stretch", F.expr(f"CAST(floor(a / {width}) AS BIGINT)"))
+    here = f"OVER (PARTITION BY {key}, _stretch ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    before = f"OVER (PARTITION BY {key} ORDER BY _stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    ends = rows.groupBy(*keys, "_stretch").agg(F.max("b").alias("_end")).selectExpr(*keys, "_stretch", f"max(_end) {before} AS _carried")
+    begun = rows.selectExpr("*", f"max(b) {here} 1 PRECEDING) AS _near").join(ends, [*keys, "_stretch"]).selectExpr(
+        *keys, "_stretch", "a", "b", "IF(greatest(_near, _carried) IS NULL OR a > greatest(_near, _carried), a, NULL) AS _begins")
+    starts = begun.groupBy(*keys, "_stretch").agg(F.max("_begins").alias("_last")).selectExpr(*keys, "_stretch", f"max(_last) {before} AS _open")
+    named = begun.selectExpr("*", f"max(_begins) {here} CURRENT ROW) AS _own").join(starts, [*keys, "_stretch"]).withColumn("_island", F.coalesce("_own", "_open"))
+    return named.groupBy(*keys, "_island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_island")
 
 
 def position_islands(positions: DataFrame, keys: list[str]) -> DataFrame:
     """Contiguous ranges of character positions."""
-    key = ", ".join(keys)
-    numbered = positions.select(*keys, "pos").distinct().selectExpr(
-        *keys, "pos", f"pos - row_number() OVER (PARTITION BY {key} ORDER BY pos) AS run"
-    )
-    return numbered.groupBy(*keys, "run").agg(F.min("pos").alias("a"), (F.max("pos") + 1).alias("b")).drop("run")
+    return islands(positions.where("pos >= 0").selectExpr(*keys, "pos AS a", "pos + 1 AS b"), keys)
 
 
 def preset_previews(cands: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hushmark.functions import catalog as functions
-from hushmark.functions.masking import merge_ranges
 from hushmark.operators import audit as A
 from hushmark.operators import detect as D
 from hushmark.operators import mask as O
@@ -132,9 +131,7 @@ def j2(spark, d):
 
 
 def j3(spark, d):
-    rows = fx.derive(spark, d, RANGE_ROWS).where("0 <= a AND a < b")
-    merged = rows.groupBy("k").agg(F.expr(f"array_distinct(collect_list(named_struct('a', a, 'b', b)))").alias("r"))
-    return merged.selectExpr("k", f"inline({merge_ranges('r')})")
+    return O.islands(fx.derive(spark, d, RANGE_ROWS), ["k"])
 
 
 QUERIES = {

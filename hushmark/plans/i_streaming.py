@@ -48,8 +48,11 @@ def _prepared(spark, d, sql):
     """The derived events as files of a topic, then read as a stream."""
     folder = work_folder(spark, "topic")
     rows = fx.derive(spark, d, sql).withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.write.parquet(folder)
-    return spark.readStream.schema(rows.schema).parquet(folder)
+    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    third = F.least(F.floor(3 * (F.unix_micros("ts") - first) / (last - first + 1)), F.lit(2))
+    for part in range(3):  # one file after the other, in the order of time; unordered within a file
+        rows.where(third == part).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def i2(spark, d):
@@ -64,9 +67,10 @@ def i4(spark, d):
     """The same documents arrive again after a restart that lost its checkpoint."""
     ledger = work_folder(spark, "ledger")
     for run in ("first", "second"):
-        J.dedupe_resume(stream(spark, d, "documents").select("doc_id", "text"), work_folder(spark, "resume"), ledger, run)
+        J.dedupe_resume(stream(spark, d, "documents").select("doc_id", "text"), work_folder(spark, "resume"), ledger, run, T)
     done = spark.read.parquet(ledger)
-    return done.groupBy("content_key").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("doc_id"))
+    return done.groupBy("content_key").agg(
+        F.countDistinct("run", "batch").alias("times"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_units"), F.sum(F.length("redacted")).alias("n_chars"))
 
 
 RESULTS = (
@@ -103,7 +107,7 @@ ORACLE = {
         FROM u LEFT JOIN j ON u.doc_id = j.doc_id AND u.unit_id = j.unit_id""",
     "stream_versioned_state": f"SELECT user_id AS doc_id, 1 + count(*) FILTER (WHERE NOT {_BAD}) AS version, count(*) FILTER (WHERE {_BAD}) AS conflicts FROM events GROUP BY 1",
     "stream_ttl": "SELECT user_id AS doc_id, event_id, ts <= min(ts) OVER (PARTITION BY user_id) + INTERVAL 3600 SECOND AS accepted FROM events",
-    "stream_dedupe_resume": "SELECT sha256(text) AS content_key, 1 AS times, min(doc_id) AS doc_id FROM documents GROUP BY 1",
+    "stream_dedupe_resume": "SELECT sha256(text) AS content_key, 1 AS times, min(doc_id) AS doc_id, len(string_split(text, chr(10))) AS n_units, length(replace(text, chr(10), '')) AS n_chars FROM documents GROUP BY 1, 4, 5",
     "stream_stale_guard": "SELECT o_orderkey AS result_id, o_custkey AS doc_id, 1 + o_orderkey % 2 AS version FROM orders WHERE o_orderkey % 3 = o_custkey % 3 AND o_orderkey % 2 = o_custkey % 2 AND o_orderkey % 5 <> 0",
     "stream_progress": """SELECT user_id AS doc_id, event_type AS stage, CASE WHEN arg_max(value, ts) > 20 THEN 'completed' ELSE 'running' END AS status,
         count(*) FILTER (WHERE value > 20) AS done, count(*) AS total FROM events GROUP BY 1, 2""",

@@ -82,54 +82,56 @@ def versioned_state(events: DataFrame) -> DataFrame:
         _fold_versions, "doc_id long, version long, conflicts long", "version long, conflicts long", "update", GroupStateTimeout.NoTimeout)
 
 
-def _fold_lifetime(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = _in_order(pages)
-    seconds = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-    created = state.get[0] if state.exists else None
-    if created is None and rows["creates"].any():
-        created = int(seconds[rows["creates"].to_numpy().argmax()])
-        state.update((created,))
-    if created is None:
-        alive = np.zeros(len(rows), bool)
-    else:
-        alive = (seconds >= created) & (seconds - created <= K.TTL_SECONDS * 1_000_000)
-        # Once the watermark passes the end of life, nothing of the document is kept.
-        end = created // 1000 + K.TTL_SECONDS * 1000 + 1
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
-        else:
+def _fold_lifetime(seconds: int):
+    def fold(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
             state.remove()
-    yield pd.DataFrame({"doc_id": key[0], "event_id": rows["event_id"].to_numpy(), "accepted": alive})
+            return
+        rows = _in_order(pages)
+        at = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        created = state.get[0] if state.exists else None
+        if created is None and rows["creates"].any():
+            created = int(at[rows["creates"].to_numpy().argmax()])
+        if created is None:
+            alive = np.zeros(len(rows), bool)
+        else:
+            alive = (at >= created) & (at - created <= seconds * 1_000_000)
+            state.update((created,))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + seconds * 1000 + 1)
+        yield pd.DataFrame({"doc_id": key[0], "event_id": rows["event_id"].to_numpy(), "accepted": alive})
+
+    return fold
 
 
-def lifetime(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Events within an hour of their document's creation are accepted, later ones are expired.
+def lifetime(events: DataFrame, seconds: int = K.TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """Events within ``seconds`` of their document's creation are accepted, all others are expired; every event comes out.
 
-    The hour runs from creation and does not slide. ``events``: doc_id, event_id, ts, creates.
-    State is dropped by an event-time timer; an event without state and without creation is late.
+    The time runs from creation and does not slide. ``events``: doc_id, event_id, ts, creates. The watermark follows the time
+    of arrival, so an event whose own time is long past is judged, not dropped; one whose document's state is gone by then,
+    ``seconds`` after the document's last arrival, or was never created, is expired.
     """
-    return events.withWatermark("ts", delay).groupBy("doc_id").applyInPandasWithState(
-        _fold_lifetime, "doc_id long, event_id long, accepted boolean", "created long", "append", GroupStateTimeout.EventTimeTimeout)
+    arriving = events.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", delay)
+    return arriving.groupBy("doc_id").applyInPandasWithState(
+        _fold_lifetime(seconds), "doc_id long, event_id long, accepted boolean", "created long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def dedupe_resume(docs: DataFrame, folder: str, ledger: str, run: str) -> None:
-    """Process each content once, across retries, restarts and lost checkpoints.
+def dedupe_resume(docs: DataFrame, folder: str, ledger: str, run: str, today: str) -> None:
+    """Redact each content once, across retries, restarts and lost checkpoints.
 
-    The written results are the ledger. A repeated micro-batch overwrites its own partition and
-    ignores it while looking up, so a retry changes nothing.
+    The redacted rows are the ledger: a content is done when, and only when, its rows are there. A repeated micro-batch
+    overwrites its own partition and ignores it while looking up, so a retry changes nothing. Looking up reads the key column only.
     """
     spark = docs.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.groupBy(F.expr("sha2(text, 256)").alias("content_key")).agg(F.min("doc_id").alias("doc_id"))
+        fresh = batch.groupBy(F.expr("sha2(text, 256)").alias("content_key")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
         done = _read_ledger(spark, ledger)
         if done is not None:
             others = done.where(~((F.col("run") == run) & (F.col("batch") == number))).select("content_key")
             fresh = fresh.join(others, "content_key", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{ledger}/run={run}/batch={number}")
+        units = units_from_text(fresh.selectExpr("content_key AS doc_id", "text"))
+        redacted = redact_units(units, detect_all(units, today)).selectExpr("doc_id AS content_key", "unit_id", "redacted")
+        redacted.join(fresh.select("content_key", "doc_id"), "content_key").write.mode("overwrite").parquet(f"{ledger}/run={run}/batch={number}")
 
     drain_batches(docs, folder, write)
 
@@ -138,7 +140,7 @@ def _read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    return spark.read.schema("content_key string, doc_id long, run string, batch int").parquet(ledger)
+    return spark.read.schema("content_key string, unit_id string, redacted string, doc_id long, run string, batch int").parquet(ledger)
 
 
 def stale_guard(results: DataFrame, current: DataFrame) -> DataFrame:
