@@ -72,9 +72,7 @@ VALUES = (
 
 
 def c7(spark, d):
-    return fx.derive(spark, d, VALUES).selectExpr("k", "type", "value", f"{valid_value('type', 'value', T)} AS valid").where(
-        "type NOT IN ('phone', 'email', 'resident_id', 'foreign_id')"
-    )
+    return fx.derive(spark, d, VALUES).selectExpr("k", "type", "value", f"{valid_value('type', 'value', T)} AS valid")
 
 
 def grid(spark, d):
@@ -235,7 +233,7 @@ ORACLE = {
     "detect_account": _made(*ACCOUNT), "detect_card": _made(*CARD), "detect_passport": _made(*PASSPORT),
     "detect_driver_license": _made(*LICENSE), "detect_management_id": _made(*STAFF), "detect_dob": _made(*DOB),
     "detect_role_name": _made(*NAME, *ROLE), "detect_address": _made(*HOME), "detect_case_receipt": _made(*RECEIPT),
-    "validate_value": f"SELECT k, type, value, {VALID_DUCK} AS valid FROM ({VALUES}) WHERE type NOT IN ('phone', 'email', 'resident_id', 'foreign_id')",
+    "validate_value": f"SELECT k, type, value, {VALID_DUCK} AS valid FROM ({VALUES})",
     "label_neighbour_fields": f"""
         WITH c AS ({fx.CELLS}), g AS ({GRID_DUCK}),
         m AS (SELECT d.doc_id, d.unit_id, d.text AS value, CASE h.text WHEN '성 명' THEN 'name' WHEN '사번' THEN 'management_id' WHEN '생년월일' THEN 'dob' END AS type

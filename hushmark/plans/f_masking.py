@@ -210,7 +210,7 @@ ORACLE = {
     "preset_card": _rows("card", ("card_isms", "k % 3 < 2", "CASE k % 3 WHEN 0 THEN left(value, 7) || '**-****-' || right(value, 4) ELSE left(value, 6) || '******' || right(value, 4) END")),
     "preset_name": _rows("name", ("name_initial", "k % 4 < 3", "left(value, 1) || repeat('*', length(value) - 1)"),
                          ("name_middle", "k % 4 IN (0, 2)", "left(value, 1) || repeat('*', length(value) - 2) || right(value, 1)")),
-    "preset_guard": """SELECT c_custkey AS k, CASE WHEN c_custkey % 8 IN (0, 7) THEN 'email_first_and_domain,email_keep2,email_local_part' ELSE '' END AS presets FROM customer""",
+    "preset_guard": """SELECT c_custkey AS k, CASE WHEN c_custkey % 8 IN (0, 6, 7) THEN 'email_first_and_domain,email_keep2,email_local_part' ELSE '' END AS presets FROM customer""",
     "mask_text_chain": f"SELECT doc_id, unit_id, {CHAIN} AS masked FROM ({fx.ALL_UNITS_DUCK})",
 }
 _P = f"SELECT * FROM ({CANDS_DUCK})"
