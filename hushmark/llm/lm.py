@@ -41,7 +41,7 @@ BLOCK = 64
 ROUNDS = 2
 #: Hashed contexts of three letters, and how many letters of its own a context needs to be trusted half.
 SPELLING_ROWS, SPELLING_PRIOR = 1 << 13, 4.0
-MINIBATCH = 16384
+MINIBATCH = 32768
 RATE = 0.1
 ESCAPE, END = 0, 1
 #: No word holds a space.
