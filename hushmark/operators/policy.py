@@ -234,17 +234,21 @@ def _direct(facts: str) -> str:
     return f"transform(filter({facts}, f -> f.relation IN ({words(K.DIRECT_RELATIONS)})), f -> f.text)"
 
 
-def keep_allowed(evidence: str) -> str:
-    """Keep rule for a candidate row with type, value, role_raw, context_raw, facts and keep_text."""
+def with_public(judged: DataFrame) -> DataFrame:
+    """Adds ``_public``: the role, context and direct facts that call the value a public contact, unless its own unit calls it private.
+
+    The patterns run once a candidate here; whatever is asked about its evidence afterwards is a search in these texts.
+    """
     private = (
         f"exists(filter(facts, f -> f.relation = 'self'), f -> exists({_segments('f.text', 'value')}, s -> s RLIKE {lit(K.PRIVATE_CONTACT)}))"
     )
-    public = (
-        f"type IN ('phone', 'email') AND NOT {private} AND exists(concat(array(role_raw, context_raw), {_direct('facts')}), "
-        f"t -> contains(t, {evidence}) AND {public_contact('t', 'value')})"
-    )
-    named = f"keep_text <> '' AND contains(keep_text, value) AND contains(keep_text, {evidence})"
-    return f"(({public}) OR ({named}))"
+    texts = f"filter(concat(array(role_raw, context_raw), {_direct('facts')}), t -> {public_contact('t', 'value')})"
+    return judged.withColumn("_public", F.expr(f"IF(type IN ('phone', 'email') AND NOT {private}, {texts}, CAST(array() AS array<string>))"))
+
+
+def keep_allowed(evidence: str) -> str:
+    """Keep rule for a candidate row with value, keep_text and _public."""
+    return f"(exists(_public, t -> contains(t, {evidence})) OR (keep_text <> '' AND contains(keep_text, value) AND contains(keep_text, {evidence})))"
 
 
 def suggestion_error() -> str:
@@ -269,7 +273,7 @@ def suggestion_error() -> str:
 
 def validate_suggestions(suggestions: DataFrame, judged: DataFrame) -> DataFrame:
     """Suggestions with an error or a stable id; a preset that does not apply is dropped."""
-    joined = suggestions.join(judged, ["doc_id", "cand_id"], "left")
+    joined = suggestions.join(with_public(judged), ["doc_id", "cand_id"], "left")
     allowed = f"recommendation = 'full' AND map_contains_key({automatic_presets('type', 'value')}, preset_id)"
     return joined.selectExpr(
         "doc_id", "cand_id", "kind", "content", "recommendation", "evidence", "question",
@@ -289,13 +293,13 @@ def keep_grounds(judged: DataFrame, longest: int | None = None) -> DataFrame:
         f"array_distinct(concat(array(role_raw, context_raw), {_direct('facts')}, "
         "IF(keep_text <> '' AND value <> '' AND contains(keep_text, value), array(value), CAST(array() AS array<string>))))"
     )
-    return judged.selectExpr(*judged.columns, f"explode({texts}) AS ground").where(
+    return with_public(judged).selectExpr(*judged.columns, "_public", f"explode({texts}) AS ground").where(
         f"ground <> ''{_within('ground', longest)}").where(keep_allowed("ground")).select("doc_id", "cand_id", "ground")
 
 
 def local_recommend(judged: DataFrame, longest: int | None = None) -> DataFrame:
     """Full by default; keep when a direct fact (of at most ``longest`` characters, if given) proves a public contact."""
-    plain = judged.withColumn("keep_text", F.lit(""))
+    plain = with_public(judged.withColumn("keep_text", F.lit("")))
     keep = f"filter({_direct('facts')}, g -> g <> ''{_within('g', longest)} AND {keep_allowed('g')})"
     evidence = f"coalesce(get({_direct('facts')}, 0), nullif(context_raw, ''), nullif(role_raw, ''))"
     return plain.where("located").selectExpr("doc_id", "cand_id", "type", f"get({keep}, 0) AS kept", f"{evidence} AS first_fact").where(
@@ -436,7 +440,7 @@ def judge_payload(judged: DataFrame, with_presets: bool = True, most_facts: int
     grounds = f"filter({texts}, g -> g <> '' AND {keep_allowed('g')})"
     chosen = automatic_presets("type", "value") if with_presets else "CAST(map() AS map<string,array<struct<a:int,b:int>>>)"
     shown = "aggregate(r, value, (t, x) -> overlay(t PLACING repeat('*', x.b - x.a) FROM x.a + 1 FOR x.b - x.a))"
-    return judged.selectExpr("doc_id", "cand_id", "type", "value", f"{_cut('role_raw', longest)} AS role_raw", f"{_cut('context_raw', longest)} AS context_raw",
+    return with_public(judged).selectExpr("doc_id", "cand_id", "type", "value", f"{_cut('role_raw', longest)} AS role_raw", f"{_cut('context_raw', longest)} AS context_raw",
                              f"{facts} AS evidence", f"{grounds} AS grounds", f"{chosen} AS presets").selectExpr(
         "doc_id", "cand_id",
         "to_json(struct(cand_id AS id, type, value, role_raw, context_raw, 'mask_or_keep' AS decisionTask, evidence, grounds AS allowedKeepEvidence, "
