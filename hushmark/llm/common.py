@@ -64,11 +64,6 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np
         first = last
 
 
-def token() -> str:
-    """A column name that no input has."""
-    return "__hushmark_llm_value"
-
-
 def per_batch(make, returns: str):
     """A column function on Arrow batches: ``make()`` runs once in a task and gives ``batch -> array``."""
 

@@ -13,7 +13,6 @@ for themselves; an empty table of items hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 import ahocorasick
@@ -139,6 +138,3 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.sha2(F.array_join(hits["items"], ","), 256).alias("items_sha256"), is_contaminated(hits).alias("contaminated"),
     )
 
-
-def items_digest(ids: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
