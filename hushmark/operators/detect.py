@@ -169,9 +169,17 @@ def in_unit(units: DataFrame, today: str) -> DataFrame:
 def settle(finds: str = "finds") -> str:
     """Keep earlier finds; a labelled account, card or licence replaces the phones inside it.
 
-    Folds one unit's finds in (prio, ord) order. The list is bounded by the unit's text.
+    Finds are first put into groups that touch, in one sweep by start; finds of different groups never meet, so only those of
+    a group are folded against each other, in (prio, ord) order. A long unit costs its finds, not their square.
     """
-    ordered = f"array_sort({finds}, (l, r) -> CASE WHEN l.prio <> r.prio THEN l.prio - r.prio WHEN l.ord < r.ord THEN -1 WHEN l.ord > r.ord THEN 1 ELSE l.start - r.start END)"
+    by_start = f"array_sort({finds}, (l, r) -> l.start - r.start)"
+    groups = (
+        f"aggregate({by_start}, named_struct('done', CAST(array() AS array<array<{RAW}>>), 'open', {NONE}, 'reach', -1), (g, x) -> IF(x.start < g.reach, "
+        "named_struct('done', g.done, 'open', array_append(g.open, x), 'reach', greatest(g.reach, x.end)), "
+        f"named_struct('done', IF(size(g.open) = 0, g.done, array_append(g.done, g.open)), 'open', array_append({NONE}, x), 'reach', x.end)), "
+        "g -> array_append(g.done, g.open))"
+    )
+    ordered = f"array_sort(own, (l, r) -> CASE WHEN l.prio <> r.prio THEN l.prio - r.prio WHEN l.ord < r.ord THEN -1 WHEN l.ord > r.ord THEN 1 ELSE l.start - r.start END)"
     meets = "k.start < x.end AND x.start < k.end"
     replaced = (
         "named_struct('prio', x.prio, 'ord', x.ord, 'start', x.start, 'end', x.end, 'type', x.type, 'value', x.value, "
@@ -186,7 +194,8 @@ def settle(finds: str = "finds") -> str:
         "AND forall(ov, k -> k.type = 'phone' AND x.start <= k.start AND k.end <= x.end) "
         f"THEN concat(filter(kept, k -> NOT ({meets})), array({replaced})) ELSE kept END",
     )
-    return f"IF(size({finds}) < 2, {finds}, aggregate({ordered}, {NONE}, (kept, x) -> {step}))"
+    folded = f"flatten(transform({groups}, own -> IF(size(own) < 2, own, aggregate({ordered}, {NONE}, (kept, x) -> {step}))))"
+    return f"IF(size({finds}) < 2, {finds}, {folded})"
 
 
 def as_rows(units: DataFrame, finds: str) -> DataFrame:

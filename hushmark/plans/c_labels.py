@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hushmark.functions.expr import lit
 from hushmark.functions.validate import label_type, valid_value
 from hushmark.operators import detect as D
 from hushmark.operators import evidence as E
