@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,26 @@ def vocabulary() -> str:
 
 
 def encoder(path: str):
-    """text -> ids. The rank file holds the vocabulary and merges of the JSON tokenizer of the same name; tests compare the two."""
+    """text -> ids. The rank file holds the vocabulary and merges of the JSON tokenizer of the same name; tests compare the two.
+
+    tiktoken raises on runs of about a million white-space characters; such a text goes to the JSON tokenizer, which gives the same ids.
+    """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in file if line.strip())}
     coding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=_SPECIAL)
-    return lambda text: coding.encode(text, allowed_special="all")
+    whole = cache(lambda: Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json"))
+
+    def encode(text: str) -> list[int]:
+        try:
+            return coding.encode(text, allowed_special="all")
+        except ValueError:
+            return whole().encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

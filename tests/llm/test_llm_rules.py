@@ -167,6 +167,20 @@ def test_packing(spark, docs):
     assert sum(len(r.ids) for r in packing.sequences(frame).collect()) == sum(map(len, ids.values()))
 
 
+def test_packing_of_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {1: " " * 2_000_000, 2: "\n" * 2_000_000, 3: "a<|endoftext|>b" + "\u00a0" * 1_200_000 + "c", 4: "short"}
+    ids_of = {i: [*coder.encode(t, add_special_tokens=False).ids, 0] for i, t in texts.items()}
+    lengths = defaultdict(int)
+    for r in packing.packed(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        lengths[r.doc_id] += r.length
+        assert r.ids_crc32 == zlib.crc32(np.array(ids_of[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    assert lengths == {i: len(ids_of[i]) for i in texts}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 60), min_size=1, max_size=9))
 def test_bound_and_fit(lengths):
