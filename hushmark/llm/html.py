@@ -5,6 +5,10 @@ that stands in them, links taken off; the best one's path, its tags and classes
 numbers taken out, is the page's vote. Votes are counted per host by Spark, and every page of the host is then read
 with the winning path; a page without such a container, or with no text in it, is read with its own best one.
 
+The path only says where the main text is. The container there gives way to the outermost article or main around it,
+or without one to the containers below the body that add text to it rather than links; if all that holds less than
+half of the page's text, links taken off, the nearest container around the page's best one that holds more is read as well.
+
 A block is text between two block-level tags: character references are decoded, white space becomes one
 space, and empty blocks go. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments are left out by tag, role, class or id.
@@ -30,7 +34,7 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden)\s*=\s*(?:"([^"]*)"|'([
 _RAW = {name: re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 _LEFT_OUT = frozenset("head script style noscript template nav footer aside form button select option textarea iframe svg object canvas dialog menu title xmp audio video".split())
 _BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table caption thead tbody tfoot tr td th figure figcaption address details summary hr header center fieldset hgroup".split()) | _LEFT_OUT
-_CONTAINERS = frozenset("body article main section div td blockquote center".split())
+_CONTAINERS = frozenset("body article main section div center".split())
 _VOID = frozenset({"hr"})
 _CLOSES_P = _BLOCKS - {"body", "html", "head"}
 #: Siblings that end each other when the end tag is left out.
@@ -163,7 +167,7 @@ class Page:
                 node = parent
         return min(scores, key=lambda k: (-scores[k], k)) if scores else 0
 
-    def text(self, roots: set[int]) -> str:
+    def below(self, roots: set[int]) -> list[tuple[int, str, int]]:
         """Blocks below the containers, in page order."""
         inside: dict[int, bool] = {}
 
@@ -177,7 +181,41 @@ class Page:
                 inside[k] = found
             return found
 
-        return "\n".join(text for node, text, _ in self.blocks if belongs(node))
+        return [block for block in self.blocks if belongs(block[0])]
+
+    def whole(self, roots: set[int]) -> list[tuple[int, str, int]]:
+        """Blocks of the whole text of which the containers are a part."""
+        free, every = [0] * len(self.nodes), [0] * len(self.nodes)
+        for node, text, own in self.blocks:
+            free[node] += own
+            every[node] += len(text)
+        for k in range(len(self.nodes) - 1, 0, -1):
+            free[self.nodes[k][2]] += free[k]
+            every[self.nodes[k][2]] += every[k]
+
+        def widened(k: int) -> int:
+            wide, marked, node, prose = k, 0, k, True
+            while node > 0:
+                tag = self.nodes[node][0]
+                if tag in ("article", "main"):
+                    marked = node
+                prose = prose and tag != "body" and 2 * (free[node] - free[wide]) >= every[node] - every[wide]
+                if prose and tag in _CONTAINERS:
+                    wide = node
+                node = self.nodes[node][2]
+            return marked or wide
+
+        wide = {widened(k) for k in roots}
+        found = self.below(wide)
+        if 2 * sum(own for _, _, own in found) < free[0]:
+            k = self.best()
+            while k and 2 * free[k] < free[0]:
+                k = self.nodes[k][2]
+            found = self.below(wide | {widened(k)})
+        return found
+
+    def text(self, roots: set[int]) -> str:
+        return "\n".join(text for _, text, _ in self.whole(roots))
 
     def vote(self) -> str:
         return self.nodes[self.best()][1]

@@ -260,6 +260,26 @@ def test_page_rules(spark):
     assert found[2] == found[1].replace("First", "Third") and found[3] == "just text"
 
 
+def test_whole_articles(spark):
+    long, quote = "a sentence of the main text, " * 40, "a long quotation, word by word, " * 60
+    links = "".join(f"<li><a href=/{k}>link to another page {k}</a></li>" for k in range(9))
+    body = {
+        "nested": f"<article><h1>Title</h1><p>lead</p><div class='body'>{long}</div></article>",
+        "deep": f"<main><h1>Title</h1><article><p>lead</p><div><div class='body'><p>{long}</p></div></div></article><p>end</p></main>",
+        "sections": f"<article><h1>Title</h1><section class='a'><p>{long}</p></section><section class='b'><p>{long * 3}</p></section><section class='c'><p>end</p></section></article>",
+        "quote": f"<article><h1>Title</h1><p>lead</p><blockquote>{quote}</blockquote><p>between</p><table><tr><td>{quote}</td><td>cell</td></tr></table><p>end</p></article>",
+        "plain": f"<div><ul>{links}</ul><div><h1>Title</h1><p>lead</p><div class='body'>{long}</div></div></div>",
+        "several": f"<div><article class='a'><p>{long}</p></article><article class='b'><p>{long}</p></article><article class='c'><p>{long}</p></article></div>",
+    }
+    lines = {"nested": ["Title", "lead", long], "deep": ["Title", "lead", long, "end"], "sections": ["Title", long, long * 3, "end"],
+             "quote": ["Title", "lead", quote, "between", quote, "cell", "end"], "plain": ["Title", "lead", long], "several": [long] * 3}
+    frame = spark.createDataFrame([(f"{kind} {k}", f"http://{kind}.example/{k}", f"<html><body><nav>no</nav>{html_}<footer>no</footer></body></html>") for kind, html_ in body.items() for k in range(3)], "page_id string, url string, html string")
+    rows = html.extract(frame).collect()
+    assert len(rows) == 3 * len(body)
+    for r in rows:
+        assert r.text == "\n".join(x.strip() for x in lines[r.page_id.split()[0]]), r.page_id
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas().set_index("page_id").html
     import html as entities
