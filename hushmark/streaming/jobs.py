@@ -84,9 +84,6 @@ def versioned_state(events: DataFrame) -> DataFrame:
 
 def _fold_lifetime(seconds: int):
     def fold(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = _in_order(pages)
         at = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
         created = state.get[0] if state.exists else None
@@ -97,22 +94,20 @@ def _fold_lifetime(seconds: int):
         else:
             alive = (at >= created) & (at - created <= seconds * 1_000_000)
             state.update((created,))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + seconds * 1000 + 1)
         yield pd.DataFrame({"doc_id": key[0], "event_id": rows["event_id"].to_numpy(), "accepted": alive})
 
     return fold
 
 
-def lifetime(events: DataFrame, seconds: int = K.TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+def lifetime(events: DataFrame, seconds: int = K.TTL_SECONDS) -> DataFrame:
     """Events within ``seconds`` of their document's creation are accepted, all others are expired; every event comes out.
 
-    The time runs from creation and does not slide. ``events``: doc_id, event_id, ts, creates. The watermark follows the time
-    of arrival, so an event whose own time is long past is judged, not dropped; one whose document's state is gone by then,
-    ``seconds`` after the document's last arrival, or was never created, is expired.
+    The time runs from creation and does not slide. ``events``: doc_id, event_id, ts, creates. The state of a document is its time
+    of creation, one number that is kept: an event is judged by its own time, however late it or the stream is. An event that
+    arrives in a micro-batch before its document's creation is expired.
     """
-    arriving = events.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", delay)
-    return arriving.groupBy("doc_id").applyInPandasWithState(
-        _fold_lifetime(seconds), "doc_id long, event_id long, accepted boolean", "created long", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.groupBy("doc_id").applyInPandasWithState(
+        _fold_lifetime(seconds), "doc_id long, event_id long, accepted boolean", "created long", "append", GroupStateTimeout.NoTimeout)
 
 
 def dedupe_resume(docs: DataFrame, folder: str, ledger: str, run: str, today: str) -> None:

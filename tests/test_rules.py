@@ -16,6 +16,7 @@ from hushmark.operators.pipeline import detect_all
 from hushmark.operators.policy import keep_grounds, local_recommend
 from hushmark.sources import sink
 from hushmark.sources.units import cell_grid, units_from_text
+from hushmark.streaming.jobs import drain, lifetime
 
 TODAY = "2026-01-01"
 
@@ -200,3 +201,14 @@ def test_no_python_in_the_detection_plan(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_lifetimes_over_many_batches(spark, tmp_path):
+    """Documents are created in the first of six micro-batches; their events come later, those of document 2 after empty batches."""
+    when = {0: [(1, 0), (2, 0)], 1: [(1, 600)], 2: [(3, 900)], 3: [(1, 1800)], 4: [(1, 2400), (3, 2400)], 5: [(1, 3600), (2, 3000), (2, 3601), (3, 4500), (3, 4501)]}
+    schema, expected = "doc_id long, event_id long, ts timestamp, creates boolean", {}
+    for batch, rows in when.items():
+        made = [(doc, 10_000 * doc + at, at, batch == 0 or (doc, at) == (3, 900)) for doc, at in rows]
+        expected |= {event: at <= {1: 3600, 2: 3600, 3: 4500}[doc] for doc, event, at, _ in made}
+        frame = spark.createDataFrame(made, "doc_id long, event_id long, at long, creates boolean")
+        frame.selectExpr("doc_id", "event_id", "timestamp_seconds(1700000000 + at) AS ts", "creates").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert {r.event_id: r.accepted for r in drain(lifetime(events), f"{tmp_path}/work").collect()} == expected
