@@ -20,21 +20,24 @@ NON_BLANK = "(?U)\\\\S"
 _REL = ["doc_id", "unit_id", "relation", "rel_ord", "src_unit_id", "src_text"]
 
 
-def excerpt(evidence: DataFrame, text: str = "src_text", anchor: str = "0", width: int = K.EXCERPT) -> DataFrame:
-    """Cut the excerpt of ``width`` characters around an anchor; blank sources are dropped."""
-    return evidence.where(f"{text} RLIKE '{NON_BLANK}'").selectExpr(
+def excerpt(evidence: DataFrame, text: str = "src_text", anchor: str = "0", width: int | None = None) -> DataFrame:
+    """The whole text, or ``width`` characters of it around an anchor, flagged if that is less; blank sources are dropped."""
+    rows = evidence.where(f"{text} RLIKE '{NON_BLANK}'")
+    if width is None:
+        return rows.selectExpr("*", "0 AS ev_start", f"length({text}) AS ev_end", f"{text} AS ev_text", "false AS ev_cut")
+    return rows.selectExpr(
         "*", f"greatest(0, least({anchor} - 80, length({text}) - {width})) AS ev_start"
     ).selectExpr(
         "*", f"least(length({text}), ev_start + {width}) AS ev_end",
-        f"substring({text}, ev_start + 1, {width}) AS ev_text",
+        f"substring({text}, ev_start + 1, {width}) AS ev_text", f"length({text}) > {width} AS ev_cut",
     )
 
 
-def evidence_self(units: DataFrame, cands: DataFrame) -> DataFrame:
-    """The candidate's own unit, around the candidate."""
+def evidence_self(units: DataFrame, cands: DataFrame, width: int | None = None) -> DataFrame:
+    """The candidate's own unit, whole or ``width`` characters around the candidate."""
     joined = cands.join(units.select("doc_id", "unit_id", F.col("text").alias("src_text")), ["doc_id", "unit_id"])
-    return excerpt(joined, anchor="start").selectExpr(
-        "doc_id", "cand_id", "0L AS rel_ord", "'self' AS relation", "unit_id AS src_unit_id", "ev_start", "ev_end", "ev_text"
+    return excerpt(joined, anchor="start", width=width).selectExpr(
+        "doc_id", "cand_id", "0L AS rel_ord", "'self' AS relation", "unit_id AS src_unit_id", "ev_start", "ev_end", "ev_text", "ev_cut"
     )
 
 
@@ -157,14 +160,14 @@ def line_relations(lines: DataFrame) -> DataFrame:
     return left_relations(lines).unionByName(above_relations(lines)).unionByName(numbered_relations(lines))
 
 
-def evidence_top8(units: DataFrame, cands: DataFrame, relations: DataFrame, limit: int | None = None) -> DataFrame:
-    """All distinct pieces per candidate, own unit first, in the fixed order; those after ``limit`` are flagged."""
-    near = excerpt(cands.select("doc_id", "cand_id", "unit_id").join(relations, ["doc_id", "unit_id"])).selectExpr(
-        "doc_id", "cand_id", "rel_ord", "relation", "src_unit_id", "ev_start", "ev_end", "ev_text"
+def evidence_top8(units: DataFrame, cands: DataFrame, relations: DataFrame, limit: int | None = None, width: int | None = None) -> DataFrame:
+    """All distinct pieces per candidate, own unit first, in the fixed order; those after ``limit`` are flagged. ``width`` as in ``excerpt``."""
+    near = excerpt(cands.select("doc_id", "cand_id", "unit_id").join(relations, ["doc_id", "unit_id"]), width=width).selectExpr(
+        "doc_id", "cand_id", "rel_ord", "relation", "src_unit_id", "ev_start", "ev_end", "ev_text", "ev_cut"
     )
-    every = evidence_self(units, cands).unionByName(near)
+    every = evidence_self(units, cands, width).unionByName(near)
     first = every.groupBy("doc_id", "cand_id", "src_unit_id", "ev_start", "ev_end", "relation").agg(
-        F.min("rel_ord").alias("rel_ord"), F.first("ev_text").alias("ev_text")
+        F.min("rel_ord").alias("rel_ord"), F.first("ev_text").alias("ev_text"), F.first("ev_cut").alias("ev_cut")
     )
     over = "false" if limit is None else f"ord > {limit}"
     return first.selectExpr(

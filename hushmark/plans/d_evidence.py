@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hushmark import constants as K
 from hushmark.operators import detect as D
 from hushmark.operators import evidence as E
 from hushmark.plans import fixtures as fx
@@ -34,7 +35,7 @@ def flagged_units(spark, d):
 
 def d1(spark, d):
     units = all_units(spark, d)
-    return E.evidence_self(units, D.pii_union(units)).selectExpr("doc_id", "cand_id", "src_unit_id", "ev_start", "ev_end", "ev_text")
+    return E.evidence_self(units, D.pii_union(units), K.EXCERPT).selectExpr("doc_id", "cand_id", "src_unit_id", "ev_start", "ev_end", "ev_text")
 
 
 def _paragraph(relation):

@@ -9,7 +9,7 @@ from hushmark.functions.ids import candidate_id
 from hushmark.operators import detect as D
 from hushmark.operators import literal
 from hushmark.operators.audit import copy_review, leak_scan
-from hushmark.operators.evidence import cell_relations
+from hushmark.operators.evidence import cell_relations, evidence_self, evidence_top8
 from hushmark.operators.ground import cap_candidates
 from hushmark.operators.joins import block_rank, carry_last, interval_join
 from hushmark.operators.pipeline import detect_all
@@ -201,6 +201,18 @@ def test_no_python_in_the_detection_plan(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_evidence_is_whole(spark):
+    text, near = "가" * 400 + "b" * 350 + "나" * 50, "다" * 1000
+    table = spark.createDataFrame([(1, "1#0", text)], "doc_id long, unit_id string, text string")
+    cands = spark.createDataFrame([(1, "1#0", "c", 400, 750)], "doc_id long, unit_id string, cand_id string, start int, end int")
+    relations = spark.createDataFrame([(1, "1#0", "same_cell", 20, "1#1", near)], "doc_id long, unit_id string, relation string, rel_ord long, src_unit_id string, src_text string")
+    own = evidence_self(table, cands).first()
+    assert (own.ev_start, own.ev_end, own.ev_text, own.ev_cut) == (0, 800, text, False)
+    assert [(r.ev_start, r.ev_end, r.ev_text, r.ev_cut) for r in evidence_top8(table, cands, relations).orderBy("ord").collect()] == [(0, 800, text, False), (0, 1000, near, False)]
+    cut = evidence_top8(table, cands, relations, width=300).orderBy("ord").collect()
+    assert [(r.ev_start, r.ev_end, r.ev_text, r.ev_cut) for r in cut] == [(320, 620, text[320:620], True), (0, 300, near[:300], True)]
+
+
 def test_lifetimes_over_many_batches(spark, tmp_path):
     """Documents are created in the first of six micro-batches; their events come later, those of document 2 after empty batches."""
     when = {0: [(1, 0), (2, 0)], 1: [(1, 600)], 2: [(3, 900)], 3: [(1, 1800)], 4: [(1, 2400), (3, 2400)], 5: [(1, 3600), (2, 3000), (2, 3601), (3, 4500), (3, 4501)]}
