@@ -125,8 +125,8 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def stretches(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of each text, bytes, offsets): rows together up to the limit; a longer text in parts, cut where a pre-token starts anyway."""
+def stretches(column: pa.Array, limit: int = CHUNK_BYTES, safe: re.Pattern = _SAFE_CUT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of each text, bytes, offsets): rows together up to the limit; a longer text in parts, cut after hits of ``safe`` only."""
     column = binary(column)
     rows, parts, held = [], [], 0
     for row in range(len(column)):
@@ -135,7 +135,7 @@ def stretches(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.n
             text = text.decode("utf-8", "replace").encode()
         first = 0
         while True:
-            cut = _SAFE_CUT.search(text, first + limit) if len(text) - first > limit else None
+            cut = safe.search(text, first + limit) if len(text) - first > limit else None
             last = cut.end() if cut else len(text)
             if held and held + last - first > limit:
                 yield _joined(rows, parts)

@@ -32,7 +32,7 @@ def test_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {int(m[1]) for n in entry.queries() if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert {int(m[1]) for n in entry.queries() if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in entry.queries()
 
 
 # --- secrets -------------------------------------------------------------------------------
