@@ -49,13 +49,17 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session without that setting gets a folder of its own, removed when Python ends; on a cluster it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="hushmark-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
+    context = spark.sparkContext
+    folder = context.getCheckpointDir()
+    if folder is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="hushmark-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+        folder = context.getCheckpointDir()
     return folder
 
 
@@ -66,7 +70,5 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
 
 def cut(frame: DataFrame) -> DataFrame:
     """Write a result that several later steps read, so they neither recompute nor re-plan it; always, wherever it runs."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(frame.sparkSession))
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
