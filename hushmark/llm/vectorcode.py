@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from hushmark.llm.common import cut
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-#: Vectors of which all distances of a part are looked at together.
-BLOCK = 2048
+#: Vectors of which all distances of a part are looked at together: as many as a processor's cache holds.
+BLOCK = 128
 _LOW = 32
 
 
@@ -65,16 +65,18 @@ def nearest(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndar
         gap = parts[at] - entries[entry]
         return (gap * gap).sum(axis=1)
 
-    done = min(2, size)
-    so_far = np.zeros((n, len(entries)), parts.dtype)
+    # While most entries are still in, all are added to at once; later only those that are.
+    done = -(-size // 2)
+    so_far, gap, waves = np.zeros((n, len(entries)), parts.dtype), np.empty((n, len(entries)), parts.dtype), np.ascontiguousarray(entries.T)
     for j in range(done):
-        gap = parts[:, j, None] - entries[None, :, j]
-        so_far += gap * gap
+        np.subtract(parts[:, j, None], waves[j], out=gap)
+        np.multiply(gap, gap, out=gap)
+        np.add(so_far, gap, out=so_far)
     reached = whole(rows, so_far.argmin(axis=1))
     at, entry = np.nonzero(so_far <= reached[:, None])
     so_far = so_far[at, entry]
     while done < size:
-        more = min(done, size - done)
+        more = min(max(1, size // 4), size - done)
         for j in range(done, done + more):
             gap = parts[at, j] - entries[entry, j]
             so_far = so_far + gap * gap
