@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -146,8 +147,6 @@ _SIGNS = ["'", " ", "  ", "\n", "\t", "a", "s", "t", "re", "ll", "ve", "m", "d",
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(_SIGNS) | st.characters(exclude_categories=["Cs"]), max_size=14).map("".join), max_size=5), st.integers(1, 40))
 def test_pretokens_give_the_ids_of_the_library(library, texts, limit):
-    import pyarrow as pa
-
     vocab = pretokens.vocabulary(tokencount.default_path())
     ids = [[] for _ in texts]
     for rows, data, at in pretokens.stretches(pa.array(texts, pa.string()), limit):
@@ -228,11 +227,22 @@ def test_scores_pass_64_bits(spark):
     assert row.score == 1000 * a * n // ((a + 1) * (a + 5)) and (row.l, row.r) == (a + 1, a + 5)
 
 
-def test_a_small_bitmap_changes_nothing(spark, docs, monkeypatch):
-    counts = collocations.word_counts(docs)
-    bits = collocations.frequent_bits(counts, 40)
-    often = {(r.lang, r.word) for r in counts.where("n >= 40").collect()}
-    full = np.full(8, 255, np.uint8)  # takes every word for frequent
-    want = sorted(map(tuple, collocations.phrase_counts(collocations.windows(docs, full), 40).collect()))
-    got = sorted(map(tuple, collocations.phrase_counts(collocations.windows(docs, bits), 40).collect()))
-    assert got == want and {(lang, p) for lang, k, p, _ in got if k == 1} == often
+def test_bitmaps_change_nothing(spark, docs, monkeypatch):
+    full = np.full(8, 255, np.uint8)  # takes all words, pairs and triples for frequent
+    want = sorted(map(tuple, collocations.phrase_counts(collocations.windows(docs, [full]), 40).collect()))
+    assert len(want) > 100
+    monkeypatch.setattr(collocations, "HELD", 5000)  # many packed rows for each stretch
+    for orders in ((1,), (1, 2), (1, 2, 3), (1, 2, 3, 4, 5)):
+        bits = collocations.frequent_bits(docs, 40, orders)
+        assert sorted(map(tuple, collocations.phrase_counts(collocations.windows(docs, bits), 40).collect())) == want
+
+
+def test_frequent_hashes_are_those_that_occur_often(spark, docs):
+    words = collocations.bitmap(collocations.frequent_hashes(docs, [], 40, 4))
+    texts = [(r.lang or "und", r.text or "") for r in docs.collect()]
+    seen = Counter((g, w) for g, t in texts for w in re.findall("[^\x20\x09.,;:!?\x0a-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)))
+    often = {k for k, n in seen.items() if n >= 40}
+    zero = np.zeros(1, np.int64)
+    hashes = {k: collocations._hashes(pa.array([k[0]]), pa.array([k[1]]), zero, zero) for k in seen}
+    found = {k for k, h in hashes.items() if collocations._has(words, h)[0]}
+    assert often <= found and len(found - often) < 0.1 * len(seen)
