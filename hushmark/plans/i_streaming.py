@@ -42,35 +42,56 @@ DECISIONS = (
     f"1 + coalesce(sum(CASE WHEN {_BAD} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM events) e"
 )
 LIVES = "SELECT user_id AS doc_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS creates FROM events"
+#: Days by which events of the topics arrive late at most, and rows of a file.
+LATE_DAYS, FILE_ROWS = 3, 1_000_000
 
 
-def _prepared(spark, d, sql):
-    """The derived events as files of a topic, then read as a stream."""
+def _topic(spark, rows, slices, arrival="unix_micros(ts)", heartbeat=None):
+    """Rows as the files of a topic, slice by slice in the order of ``arrival`` and in none within a slice, read as a stream of one slice a micro-batch."""
     folder = work_folder(spark, "topic")
-    rows = fx.derive(spark, d, sql).withColumn("ts", F.col("ts").cast("timestamp"))
-    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
-    third = F.least(F.floor(3 * (F.unix_micros("ts") - first) / (last - first + 1)), F.lit(2))
-    for part in range(3):  # one file after the other, in the order of time; unordered within a file
-        rows.where(third == part).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    timed = rows.withColumn("_at", F.expr(arrival))
+    first, last, n = timed.agg(F.min("_at"), F.max("_at"), F.count(F.lit(1))).first()
+    files = max(1, -(-n // (slices * FILE_ROWS)))
+    place = F.expr(f"CAST(least(floor({slices} * ((_at - {first}) / CAST({last} - {first} + 1 AS DOUBLE))), {slices - 1}) AS INT)")
+    for part in range(slices):
+        timed.where(place == part).drop("_at").repartition(files).write.mode("append").parquet(folder)
+    if heartbeat is not None:
+        heartbeat.write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def shuffled(spark, rows, slices):
+    """Events that arrive up to LATE_DAYS after their time, and a heartbeat that moves the watermark past the last of them."""
+    last = rows.agg(F.max("ts")).first()[0]
+    beat = spark.range(1).select(*[(F.lit(last) + F.expr(f"INTERVAL {2 * LATE_DAYS} DAYS") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+    late = f"unix_micros(ts) + pmod(xxhash64(event_id), {LATE_DAYS * 86_400_000_000}L)"
+    return _topic(spark, rows, slices, late, beat)
+
+
+def _events(spark, d, sql):
+    return fx.derive(spark, d, sql).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def i2(spark, d):
-    return J.latest_rows(J.versioned_state(_prepared(spark, d, DECISIONS)), work_folder(spark, "versions"), ["doc_id"])
+    events = shuffled(spark, _events(spark, d, DECISIONS), 7)
+    return J.latest_rows(J.versioned_state(events, f"{LATE_DAYS} days"), work_folder(spark, "versions"), ["doc_id"])
 
 
 def i3(spark, d):
-    return J.drain(J.lifetime(_prepared(spark, d, LIVES)), work_folder(spark, "lifetime")).select("doc_id", "event_id", "accepted")
+    events = shuffled(spark, _events(spark, d, LIVES), 7)
+    return J.lifetime(events, work_folder(spark, "lifetime"), delay=f"{LATE_DAYS} days")[0]
 
 
 def i4(spark, d):
-    """The same documents arrive again after a restart that lost its checkpoint."""
-    ledger = work_folder(spark, "ledger")
-    for run in ("first", "second"):
-        J.dedupe_resume(stream(spark, d, "documents").select("doc_id", "text"), work_folder(spark, "resume"), ledger, run, T)
-    done = spark.read.parquet(ledger)
+    """The same documents arrive again, in other micro-batches, after a restart that lost its checkpoint."""
+    folder = work_folder(spark, "ledger")
+    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    for run, slices in (("first", 3), ("second", 2)):
+        J.dedupe_resume(_topic(spark, docs, slices, "doc_id"), work_folder(spark, "resume"), folder, run, T)
+    done = J.ledger(spark, folder).rows()
     return done.groupBy("content_key").agg(
-        F.countDistinct("run", "batch").alias("times"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_units"), F.sum(F.length("redacted")).alias("n_chars"))
+        F.countDistinct("run", "batch").alias("times"), F.min("doc_id").alias("doc_id"), F.count("unit_id").alias("n_units"),
+        F.coalesce(F.sum(F.length("redacted")), F.lit(0)).alias("n_chars"))
 
 
 RESULTS = (
@@ -84,14 +105,31 @@ def i5(spark, d):
     return J.drain(accepted, work_folder(spark, "results")).select("result_id", "doc_id", "version")
 
 
+# Two rows a document: the first in force until the second comes, each for 500 days at most.
+FORCE_DAYS = 500
+TIMED = RESULTS.replace(" FROM orders", ", CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders")
+STATES = """SELECT doc_id, doc_id % 3 AS request_id, n AS version, 'h' || CAST(doc_id AS STRING) AS sha256, since, CASE WHEN n = 1 THEN replaced END AS until FROM (
+    SELECT doc_id, n, CASE WHEN n = 1 THEN begun ELSE replaced END AS since, replaced FROM (
+        SELECT c_custkey AS doc_id, 1 AS n, CAST('1995-01-01' AS TIMESTAMP) + c_custkey % 700 * INTERVAL '1' DAY AS begun, CAST('1995-11-01' AS TIMESTAMP) + c_custkey % 900 * INTERVAL '1' DAY AS replaced FROM customer
+        UNION ALL SELECT c_custkey, 2, CAST('1995-01-01' AS TIMESTAMP), CAST('1995-11-01' AS TIMESTAMP) + c_custkey % 900 * INTERVAL '1' DAY FROM customer) x) y"""
+
+
+def i5_streams(spark, d):
+    """Results and the documents' rows both as streams, in the order of time."""
+    results = _topic(spark, fx.derive(spark, d, TIMED), 5)
+    states = _topic(spark, fx.derive(spark, d, STATES), 5, "unix_micros(since)")
+    return J.drain(J.stale_guard_streams(results, states, FORCE_DAYS * 86_400, "1 day"), work_folder(spark, "guard"))
+
+
 def i6(spark, d):
-    stages = stream(spark, d, "events").selectExpr(
+    stages = fx.table(spark, d, "events").selectExpr(
         "user_id AS doc_id", "event_type AS stage", "CASE WHEN value > 20 THEN 'completed' ELSE 'running' END AS status", "CAST(ts AS TIMESTAMP) AS ts", "event_id")
-    return J.latest_rows(J.progress(stages), work_folder(spark, "progress"), ["doc_id", "stage"])
+    return J.latest_rows(J.progress(shuffled(spark, stages, 7).where("doc_id IS NOT NULL")), work_folder(spark, "progress"), ["doc_id", "stage"])
 
 
 QUERIES = {
-    "stream_redact": i1, "stream_versioned_state": i2, "stream_ttl": i3, "stream_dedupe_resume": i4, "stream_stale_guard": i5, "stream_progress": i6,
+    "stream_redact": i1, "stream_versioned_state": i2, "stream_ttl": i3, "stream_dedupe_resume": i4, "stream_stale_guard": i5,
+    "stream_stale_guard_streams": i5_streams, "stream_progress": i6,
 }
 
 _FOUND = f"""
@@ -107,8 +145,10 @@ ORACLE = {
         FROM u LEFT JOIN j ON u.doc_id = j.doc_id AND u.unit_id = j.unit_id""",
     "stream_versioned_state": f"SELECT user_id AS doc_id, 1 + count(*) FILTER (WHERE NOT {_BAD}) AS version, count(*) FILTER (WHERE {_BAD}) AS conflicts FROM events GROUP BY 1",
     "stream_ttl": "SELECT user_id AS doc_id, event_id, ts <= min(ts) OVER (PARTITION BY user_id) + INTERVAL 3600 SECOND AS accepted FROM events",
-    "stream_dedupe_resume": "SELECT sha256(text) AS content_key, 1 AS times, min(doc_id) AS doc_id, len(string_split(text, chr(10))) AS n_units, length(replace(text, chr(10), '')) AS n_chars FROM documents GROUP BY 1, 4, 5",
+    "stream_dedupe_resume": "SELECT coalesce(sha256(text), '') AS content_key, 1 AS times, min(doc_id) AS doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_units, coalesce(length(replace(text, chr(10), '')), 0) AS n_chars FROM documents GROUP BY 1, 4, 5",
     "stream_stale_guard": "SELECT o_orderkey AS result_id, o_custkey AS doc_id, 1 + o_orderkey % 2 AS version FROM orders WHERE o_orderkey % 3 = o_custkey % 3 AND o_orderkey % 2 = o_custkey % 2 AND o_orderkey % 5 <> 0",
+    "stream_stale_guard_streams": f"""SELECT l.result_id, l.doc_id, l.version FROM ({TIMED}) l JOIN ({STATES}) r USING (doc_id, request_id, version, sha256)
+        WHERE ts >= since AND ts < since + INTERVAL {FORCE_DAYS} DAY AND (until IS NULL OR ts < until)""",
     "stream_progress": """SELECT user_id AS doc_id, event_type AS stage, CASE WHEN arg_max(value, ts) > 20 THEN 'completed' ELSE 'running' END AS status,
         count(*) FILTER (WHERE value > 20) AS done, count(*) AS total FROM events GROUP BY 1, 2""",
 }
