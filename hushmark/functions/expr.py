@@ -44,6 +44,50 @@ def any_of(items) -> str:
     return "|".join(re.escape(i) for i in sorted(items, key=lambda w: (-len(w), w)))
 
 
+def scan(items: str, kind: str, init: str, step: str) -> str:
+    """The state after each element of an array: ``step`` makes it from the state before, ``s``, and the element, ``x``.
+
+    An array that grows by one element at a time is copied each time, so states are collected by blocks of 256 and the blocks put together at
+    the end: work in proportion to the array, for any that fits a row.
+    """
+    inner = (
+        f"aggregate(sc_b, named_struct('s', sc_g.s, 'out', CAST(array() AS array<{kind}>)), (sc_a, x) -> "
+        + let("s", "sc_a.s", let("sc_n", step, "named_struct('s', sc_n, 'out', array_append(sc_a.out, sc_n))")) + ")"
+    )
+    blocks = f"transform(sequence(0, (size({items}) - 1) DIV 256), sc_i -> slice({items}, sc_i * 256 + 1, 256))"
+    return (
+        f"aggregate({blocks}, named_struct('s', {init}, 'out', CAST(array() AS array<array<{kind}>>)), (sc_g, sc_b) -> "
+        + let("sc_r", inner, "named_struct('s', sc_r.s, 'out', array_append(sc_g.out, sc_r.out))") + ", sc_g -> flatten(sc_g.out))"
+    )
+
+
+def running_sums(lengths: str) -> str:
+    """Sums of an integer array up to and with each element."""
+    return scan(lengths, "int", "0", "s + x")
+
+
+def runs(items: str, firsts: str) -> str:
+    """An array cut into runs that start at the given indexes, of which 0 is the first."""
+    return f"transform({firsts}, (rn_a, rn_k) -> slice({items}, rn_a + 1, coalesce(get({firsts}, rn_k + 1), size({items})) - rn_a))"
+
+
+def text_blocks(text: str) -> str:
+    """A text as blocks of 1024 characters. A place in a long text is found by walking to it, in a block by a short walk."""
+    return f"regexp_extract_all({text}, '(?s).{{1,1024}}', 0)"
+
+
+def between(blocks: str, start: str, end: str) -> str:
+    """The characters from ``start`` up to ``end`` of a text in blocks."""
+    def part(place: str, rest: str) -> str:
+        return f"substring(coalesce(get({blocks}, CAST(({place}) DIV 1024 AS INT)), ''), {rest})"
+
+    whole = f"array_join(slice({blocks}, CAST(({start}) DIV 1024 AS INT) + 2, CAST(({end}) DIV 1024 - ({start}) DIV 1024 AS INT) - 1), '')"
+    return (
+        f"IF(({start}) DIV 1024 = ({end}) DIV 1024, {part(start, f'({start}) % 1024 + 1, ({end}) - ({start})')}, "
+        f"concat({part(start, f'({start}) % 1024 + 1')}, {whole}, {part(end, f'1, ({end}) % 1024')}))"
+    )
+
+
 def span_array(text: str, pattern: str, prefixed: bool = False, guard: str | None = None) -> str:
     """Every hit of a pattern as (prefix start, start, end, value), code-point offsets.
 
@@ -60,14 +104,9 @@ def span_array(text: str, pattern: str, prefixed: bool = False, guard: str | Non
         swap = f"{_OPEN}{_MID}$1{_CLOSE}"
     clean = f"translate({text}, '{_OPEN}{_MID}{_CLOSE}', '   ')"
     pieces = f"split(regexp_replace({clean}, {lit(marked)}, {lit(swap)}), '[{_OPEN}{_MID}{_CLOSE}]', -1)"
-    ends = (
-        "aggregate(p, named_struct('pos', 0, 'cuts', CAST(array() AS array<int>)), "
-        "(acc, x) -> named_struct('pos', acc.pos + length(x), 'cuts', array_append(acc.cuts, acc.pos + length(x))), "
-        "acc -> acc.cuts)"
-    )
     body = let(
         "e",
-        ends,
+        let("ls", "transform(p, x -> length(x))", running_sums("ls")),
         "transform(sequence(0, CAST((size(p) - 1) / 3 AS INT) - 1), "
         "i -> named_struct('pstart', e[3*i], 'start', e[3*i+1], 'end', e[3*i+2], 'value', p[3*i+2]))",
     )

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hushmark import constants as K
 from hushmark.functions.expr import lit, stripped
 from hushmark.operators.literal import pairs
+from hushmark.operators.matching import by_key, most_pairs
 
 
 def verify_units(expected: DataFrame, saved: DataFrame) -> DataFrame:
@@ -44,33 +49,66 @@ def _cells(side: DataFrame, x: str, y: str, size: float, around: bool) -> DataFr
     return side.selectExpr("*", f"{reach(x)} AS gx").selectExpr("*", f"{reach(y)} AS gy")
 
 
+_BOX = ["x0", "y0", "x1", "y1"]
+
+
+def _most_matched(near: DataFrame) -> DataFrame:
+    """doc_id, page, matched: most pairs of equal glyphs that are near each other, where rows are pairs of boxes with how many glyphs have each.
+
+    A box that is near one other only, and that one near no third, gives a pair at once. Where several are near each other, a maximum matching
+    decides, page by page and character by character, so a pairing that exists is never missed.
+    """
+    keys = ["doc_id", "page", "c"]
+    here = f"OVER (PARTITION BY {', '.join(keys)}"
+    told = near.selectExpr("*", f"count(*) {here}, {', '.join(_BOX)}) AS _outs", f"count(*) {here}, {', '.join('o' + b for b in _BOX)}) AS _ins")
+    single = told.where("_outs = 1 AND _ins = 1").selectExpr("doc_id", "page", "least(n, n_out) AS matched")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for (doc_id, page, _), rows in by_key(batches, keys):
+            left: dict[tuple, int] = {}
+            right: dict[tuple, int] = {}
+            have, room, edges = [], [], []
+            for row in rows:
+                ends = []
+                for index, counts, n, names in ((left, have, row["n"], _BOX), (right, room, row["n_out"], ["o" + b for b in _BOX])):
+                    box = tuple(row[b] for b in names)
+                    if box not in index:
+                        index[box] = len(counts)
+                        counts.append(n)
+                    ends.append(index[box])
+                edges.append(tuple(ends))
+            found.append((doc_id, page, most_pairs(edges, have, room)))
+        columns = list(zip(*found, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "page", "matched"])
+
+    kinds = [to_arrow_type(single.schema[c].dataType) for c in ("doc_id", "page", "matched")]
+    tangled = told.where("_outs > 1 OR _ins > 1").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(match, single.schema)
+    return single.unionByName(tangled).groupBy("doc_id", "page").agg(F.sum("matched").alias("matched"))
+
+
 def glyph_check(source: DataFrame, saved: DataFrame, hidden: DataFrame) -> DataFrame:
     """Every hidden glyph is gone and every other glyph is there exactly once, per page.
 
-    ``hidden`` holds (doc_id, unit_id, idx). Glyphs meet in grid cells, so a page is never
-    compared with itself pair by pair; equal glyphs are paired by rank.
+    ``hidden`` holds (doc_id, unit_id, idx). Glyphs of one box count together, and boxes meet in grid cells, so a page is never
+    compared with itself pair by pair.
     """
     ink = f"NOT c RLIKE {lit('(?U)^' + chr(92) + 's$')}"
     mark = hidden.select("doc_id", "unit_id", "idx", F.lit(True).alias("hide")).distinct()
-    src = source.where(ink).join(mark, ["doc_id", "unit_id", "idx"], "left").selectExpr(
-        "doc_id", "page", "unit_id", "idx", "c", "x0", "y0", "x1", "y1", "coalesce(hide, false) AS hide", "(x0 + x1) / 2.0 AS cx", "(y0 + y1) / 2.0 AS cy")
-    out = saved.where(ink).selectExpr(
-        "doc_id", "page", "c AS oc", "x0 AS ox0", "y0 AS oy0", "x1 AS ox1", "y1 AS oy1", "(x0 + x1) / 2.0 AS ocx", "(y0 + y1) / 2.0 AS ocy",
-        "row_number() OVER (PARTITION BY doc_id, page, CAST(floor(x0 / 8) AS BIGINT), CAST(floor(y0 / 8) AS BIGINT) ORDER BY y0, x0, c) AS in_cell")
+    marked = source.where(ink).join(mark, ["doc_id", "unit_id", "idx"], "left").withColumn("hide", F.expr("coalesce(hide, false)"))
+    src = marked.groupBy("doc_id", "page", "c", *_BOX, "hide").agg(F.count(F.lit(1)).alias("n"))
+    out = saved.where(ink).groupBy("doc_id", "page", "c", *_BOX).agg(F.count(F.lit(1)).alias("n_out")).selectExpr(
+        "doc_id", "page", "c", *[f"{b} AS o{b}" for b in _BOX], "n_out", "(x0 + x1) / 2.0 AS ocx", "(y0 + y1) / 2.0 AS ocy")
     keys = ["doc_id", "page", "gx", "gy"]
-    leaks = _cells(src.where("hide"), "cx", "cy", 8, True).join(_cells(out, "ocx", "ocy", 8, False), keys).where(
+    gone = src.where("hide").selectExpr("doc_id", "page", "(x0 + x1) / 2.0 AS cx", "(y0 + y1) / 2.0 AS cy", "n").groupBy("doc_id", "page", "cx", "cy").agg(F.sum("n").alias("n"))
+    leaks = _cells(gone, "cx", "cy", 8, True).join(_cells(out.select("doc_id", "page", "ocx", "ocy").distinct(), "ocx", "ocy", 8, False), keys).where(
         "abs(cx - ocx) <= 0.35 AND abs(cy - ocy) <= 0.35")
-    leaked = leaks.select("doc_id", "page", "unit_id", "idx").distinct().groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("leaked"))
-    near = _cells(src.where("NOT hide"), "x0", "y0", 8, True).join(_cells(out, "ox0", "oy0", 8, False), keys).where(
-        "c = oc AND abs(x0 - ox0) <= 0.35 AND abs(y0 - oy0) <= 0.35 AND abs(x1 - ox1) <= 0.35 AND abs(y1 - oy1) <= 0.35")
-    # A source glyph and an output glyph are paired when each is the other's nth match.
-    paired = near.selectExpr(
-        "doc_id", "page", "unit_id", "idx",
-        "row_number() OVER (PARTITION BY doc_id, page, unit_id, idx ORDER BY oy0, ox0, in_cell) AS nth_out",
-        "row_number() OVER (PARTITION BY doc_id, page, ox0, oy0, oc, in_cell ORDER BY unit_id, idx) AS nth_src",
-    ).where("nth_out = nth_src").groupBy("doc_id", "page").agg(F.countDistinct("unit_id", "idx").alias("matched"))
-    wanted = src.groupBy("doc_id", "page").agg(F.expr("count_if(NOT hide) AS wanted"))
-    present = out.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("present"))
+    leaked = leaks.select("doc_id", "page", "cx", "cy", "n").distinct().groupBy("doc_id", "page").agg(F.sum("n").alias("leaked"))
+    near = _cells(src.where("NOT hide"), "x0", "y0", 8, True).join(_cells(out, "ox0", "oy0", 8, False), [*keys, "c"]).where(
+        " AND ".join(f"abs({b} - o{b}) <= 0.35" for b in _BOX))
+    paired = _most_matched(near.select("doc_id", "page", "c", *_BOX, "n", *[f"o{b}" for b in _BOX], "n_out"))
+    wanted = src.groupBy("doc_id", "page").agg(F.expr("coalesce(sum(n) FILTER (WHERE NOT hide), 0) AS wanted"))
+    present = out.groupBy("doc_id", "page").agg(F.sum("n_out").alias("present"))
     return wanted.join(present, ["doc_id", "page"], "full_outer").join(leaked, ["doc_id", "page"], "left").join(
         paired, ["doc_id", "page"], "left").selectExpr(
         "doc_id", "page", "coalesce(leaked, 0) AS leaked", "coalesce(wanted, 0) - coalesce(matched, 0) AS lost",

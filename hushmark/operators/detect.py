@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushmark import constants as K
-from hushmark.functions.expr import let, lit, mentions, span_array, stripped, trimmed_start
+from hushmark.functions.expr import let, lit, mentions, running_sums, runs, scan, span_array, stripped, trimmed_start
 from hushmark.functions.ids import candidate_id
 from hushmark.functions.validate import label_type, person_name, valid_value
+from hushmark.operators.mask import starred
 
 # One find before overlaps are settled. ``prio``/``ord`` say which find was made first.
 RAW = (
@@ -41,22 +42,20 @@ def format_spans(kind: str, text: str = "text") -> str:
 def _settle_by_start(raw: str) -> str:
     """Keep the first of overlapping finds in start order; later ones become its alternatives.
 
-    Kept spans are disjoint and sorted, so only the last one can meet the next find.
+    Kept spans are disjoint and sorted, so only the last one can meet the next find: one sweep says where the next kept one is.
     """
     ordered = (
         f"array_sort({raw}, (l, r) -> CASE WHEN l.start <> r.start THEN l.start - r.start WHEN l.ord < r.ord THEN -1 WHEN l.ord > r.ord THEN 1 ELSE 0 END)"
     )
-    last = "element_at(kept, -1)"
-    with_alt = (
-        f"named_struct('prio', {last}.prio, 'ord', {last}.ord, 'start', {last}.start, 'end', {last}.end, "
-        f"'type', {last}.type, 'value', {last}.value, 'alts', array_union({last}.alts, array(x.type)), "
-        f"'relation', {last}.relation, 'proof_unit', {last}.proof_unit, 'proof_start', {last}.proof_start, "
-        f"'proof_end', {last}.proof_end)"
-    )
-    return (
-        f"aggregate({ordered}, {NONE}, (kept, x) -> CASE WHEN size(kept) = 0 OR {last}.end <= x.start "
-        f"THEN array_append(kept, x) ELSE concat(slice(kept, 1, size(kept) - 1), array({with_alt})) END)"
+    # State: the end of the kept find, and whether this one is it.
+    ends = scan("o", "struct<reach:int,own:boolean>", "named_struct('reach', 0, 'own', false)", "IF(x.start >= s.reach, named_struct('reach', x.end, 'own', true), named_struct('reach', s.reach, 'own', false))")
+    kept = (
+        "named_struct('prio', g[0].prio, 'ord', g[0].ord, 'start', g[0].start, 'end', g[0].end, 'type', g[0].type, 'value', g[0].value, "
+        "'alts', IF(size(g) = 1, g[0].alts, array_union(g[0].alts, transform(slice(g, 2, size(g) - 1), y -> y.type))), "
+        "'relation', g[0].relation, 'proof_unit', g[0].proof_unit, 'proof_start', g[0].proof_start, 'proof_end', g[0].proof_end)"
     )
+    firsts = let("e", ends, "filter(sequence(0, size(o) - 1), i -> e[i].own)")
+    return let("o", ordered, let("f", firsts, f"transform({runs('o', 'f')}, g -> {kept})"))
 
 
 def format_candidates(text: str = "text") -> str:
@@ -131,11 +130,7 @@ def inline_fields(today: str, text: str = "text", unit: str = "unit_id") -> str:
     """``label: value`` pairs; a value runs to the next label."""
     clean = f"translate({text}, '\u0001\u0002', '  ')"
     pieces = f"split(regexp_replace({clean}, {lit(_FIELD)}, '\u0001$0\u0002'), '[\u0001\u0002]', -1)"
-    cuts = (
-        "aggregate(p, named_struct('pos', 0, 'cuts', CAST(array() AS array<int>)), "
-        "(acc, x) -> named_struct('pos', acc.pos + length(x), 'cuts', array_append(acc.cuts, acc.pos + length(x))), "
-        "acc -> acc.cuts)"
-    )
+    cuts = let("ls", "transform(p, x -> length(x))", running_sums("ls"))
     label = "regexp_replace(p[2*i+1], '(?U)^[\\\\n;|\\\\t]?\\\\s*|\\\\s*[:：]$', '')"
     # The colon stays part of a known label's proof, as in the source rule; generic ones drop it.
     lead = "(length(p[2*i+1]) - length(regexp_replace(p[2*i+1], '(?U)^[\\\\n;|\\\\t]?\\\\s*', '')))"
@@ -173,12 +168,10 @@ def settle(finds: str = "finds") -> str:
     a group are folded against each other, in (prio, ord) order. A long unit costs its finds, not their square.
     """
     by_start = f"array_sort({finds}, (l, r) -> l.start - r.start)"
-    groups = (
-        f"aggregate({by_start}, named_struct('done', CAST(array() AS array<array<{RAW}>>), 'open', {NONE}, 'reach', -1), (g, x) -> IF(x.start < g.reach, "
-        "named_struct('done', g.done, 'open', array_append(g.open, x), 'reach', greatest(g.reach, x.end)), "
-        f"named_struct('done', IF(size(g.open) = 0, g.done, array_append(g.done, g.open)), 'open', array_append({NONE}, x), 'reach', x.end)), "
-        "g -> array_append(g.done, g.open))"
-    )
+    state = "named_struct('reach', {0}, 'own', {1})"
+    reach = scan("o", "struct<reach:int,own:boolean>", state.format("-1", "false"),
+                 f"IF(x.start < s.reach, {state.format('greatest(s.reach, x.end)', 'false')}, {state.format('x.end', 'true')})")
+    groups = let("o", by_start, let("f", let("e", reach, "filter(sequence(0, size(o) - 1), i -> e[i].own)"), runs("o", "f")))
     ordered = f"array_sort(own, (l, r) -> CASE WHEN l.prio <> r.prio THEN l.prio - r.prio WHEN l.ord < r.ord THEN -1 WHEN l.ord > r.ord THEN 1 ELSE l.start - r.start END)"
     meets = "k.start < x.end AND x.start < k.end"
     replaced = (
@@ -247,14 +240,8 @@ def redact_in_unit(units: DataFrame, today: str) -> DataFrame:
 
     No shuffle and no state, so batch and stream run the same plan. Adds redacted and n_found.
     """
-    starred = (
-        "aggregate(kept, text, (t, k) -> overlay(t PLACING repeat('*', k.end - k.start) FROM k.start + 1 FOR k.end - k.start))"
-    )
-    found = in_unit(units, today)
-    return found.withColumn(
-        "out", F.expr(f"IF(size(finds) = 0, named_struct('redacted', text, 'n_found', 0), "
-                      + let("kept", settle(), f"named_struct('redacted', {starred}, 'n_found', size(kept))") + ")")
-    ).select(*units.columns, "out.redacted", "out.n_found")
+    found = in_unit(units, today).withColumn("finds", F.expr(settle()))
+    return found.selectExpr(*units.columns, f"{starred('text', 'finds')} AS redacted", "size(finds) AS n_found")
 
 
 def classify_documents(units: DataFrame, lines: int = 4) -> DataFrame:

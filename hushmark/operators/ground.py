@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from hushmark.functions.expr import full_match, let, squeezed, stripped, words
 from hushmark.functions.ids import candidate_id, json_text, unresolved_id
 from hushmark.operators.joins import block_rank
 from hushmark.operators.literal import locate, pairs
+from hushmark.operators.matching import Taken
+from hushmark.session import cut
 
 SERVICE = "service"
 
@@ -154,68 +159,81 @@ def merge_same_span(cands: DataFrame, grounded: DataFrame) -> DataFrame:
     )
 
 
-_KEPT = "array<struct<start:int,end:int,type:string,value:string,alts:array<string>,sources:array<string>,fresh:boolean>>"
-_OPEN = "array<struct<page:int,start:int,end:int,type:string,value:string,context:string>>"
+def _fates(records: DataFrame) -> DataFrame:
+    """The records with what becomes of them: ``new``, ``in`` an older candidate or a record before (k_start, k_end), or ``open``.
+
+    Those that meet older candidates are decided by ``_old``, the first of them, or ``_exact``. The others form clusters, which a sweep over the unit tells apart: one
+    ends where none of its spans goes on. In a cluster of equal spans the first is taken and the others lie in it. What remains
+    entangled is decided in the order of the records, cluster by cluster, with a binary search each.
+    """
+    group = "PARTITION BY doc_id, unit_id, _free"
+    swept = records.withColumn("_free", F.expr("_exact IS NULL AND _old IS NULL")).selectExpr(
+        "*", f"max(end) OVER ({group} ORDER BY start, end, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _reach")
+    named = swept.selectExpr("*", f"sum(IF(_reach > start, 0, 1)) OVER ({group} ORDER BY start, end, ord ROWS UNBOUNDED PRECEDING) AS _cluster")
+    own = f"OVER ({group}, _cluster"
+    told = named.selectExpr(
+        "*", f"min(start) {own}) = max(start) {own}) AND min(end) {own}) = max(end) {own}) AS _equal", f"row_number() {own} ORDER BY ord, start) = 1 AS _first")
+    columns = [c for c in records.columns if c not in ("_old", "_exact")]
+    fate = "CASE WHEN _free THEN IF(_first, 'new', 'in') WHEN _exact OR (_old.start <= start AND end <= _old.end) THEN 'in' ELSE 'open' END AS fate"
+    keeper = "IF(_free OR _exact, {0}, _old.{0}) AS k_{0}"
+    plain = told.where("_equal OR NOT _free").selectExpr(*columns, fate, keeper.format("start"), keeper.format("end"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, taken = None, Taken()
+        for batch in batches:
+            fates = []
+            for *now, start, end in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "unit_id", "_cluster", "start", "end")), strict=True):
+                if now != key:
+                    key, taken = now, Taken()
+                fates.append(taken.add(start, end))
+            out = batch.select(columns)
+            for k, (name, kind) in enumerate((("fate", pa.string()), ("k_start", pa.int32()), ("k_end", pa.int32()))):
+                out = out.append_column(name, pa.array([f[k] for f in fates], kind))
+            yield out
+
+    tangled = told.where("_free AND NOT _equal").select(*columns, "_cluster").repartition("doc_id", "unit_id").sortWithinPartitions(
+        "doc_id", "unit_id", "_cluster", "ord", "start").mapInArrow(decide, plain.schema)
+    return plain.unionByName(tangled)
 
 
 def merge_overlap(cands: DataFrame, grounded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Grounded records folded into the candidates, unit by unit, in record order.
 
-    Later records meet what earlier ones added. A record equal to or inside a candidate adds a
-    source and an alternative type; one that reaches outside stays unresolved with a proposed
-    place; any other becomes a candidate. Overlap never leaves a unit, so a fold over one unit's
-    spans is exact and bounded by its text. Returns (located, unresolved).
+    Later records meet what earlier ones added. A record equal to or inside a candidate adds a source and an alternative type; one that
+    reaches outside stays unresolved with a proposed place; any other becomes a candidate. Of several candidates an equal one comes first, then older ones by
+    their start. Spans are not empty, and a record's number is its own within a unit and start. Returns (located, unresolved).
+
+    What a record does hangs on older candidates alone if it meets any: that is a window over the unit's spans. The others
+    meet only each other (see ``_fates``). Rows are windowed and joined by unit, so work grows as n log n with a unit's records.
     """
     page = "CAST(page AS INT)" if "page" in grounded.columns else "CAST(NULL AS INT)"
-    fields = "named_struct('ord', {o}, 'page', {p}, 'start', start, 'end', end, 'type', type, 'value', {v}, 'alts', {a}, 'old', {old}, 'context', {c}, 'source', {s})"
-    no_alts = "CAST(array() AS array<string>)"
-    old = cands.where("located").selectExpr(
-        "doc_id", "unit_id",
-        fields.format(o="CAST(0 AS BIGINT)", p="CAST(NULL AS INT)", v="value", a="alts", old="true", c="CAST(NULL AS STRING)", s="source") + " AS x",
-    )
-    new = grounded.selectExpr(
-        "doc_id", "unit_id",
-        fields.format(o="CAST(rec_no AS BIGINT)", p=page, v="raw_value", a=no_alts, old="false", c="context_raw",
-                      s=f"'{SERVICE}'") + " AS x",
-    )
-    grouped = old.unionByName(new).groupBy("doc_id", "unit_id").agg(F.collect_list("x").alias("xs"))
-    order = (
-        "array_sort(xs, (l, r) -> CASE WHEN l.old <> r.old THEN IF(l.old, -1, 1) WHEN l.ord < r.ord THEN -1 WHEN l.ord > r.ord THEN 1 ELSE l.start - r.start END)"
-    )
-    entry = (
-        "named_struct('start', x.start, 'end', x.end, 'type', x.type, 'value', x.value, 'alts', x.alts, "
-        "'sources', array(x.source), 'fresh', NOT x.old)"
-    )
-    touched = (
-        "named_struct('start', k.start, 'end', k.end, 'type', k.type, 'value', k.value, "
-        f"'alts', IF(k.type = x.type, k.alts, array_union(k.alts, array(x.type))), 'sources', array_union(k.sources, array('{SERVICE}')), 'fresh', k.fresh)"
-    )
-    exact = "k.start = x.start AND k.end = x.end"
-    first = "array_position(transform(acc.kept, k -> k.start < x.end AND x.start < k.end), true)"
-    state = "named_struct('kept', {k}, 'open', {o})"
-    step = let(
-        "at", f"CAST({first} AS INT)",
-        "CASE WHEN x.old OR at = 0 THEN " + state.format(k=f"concat(acc.kept, array({entry}))", o="acc.open")
-        + f" WHEN exists(acc.kept, k -> {exact}) THEN "
-        + state.format(k=f"transform(acc.kept, k -> IF({exact}, {touched}, k))", o="acc.open")
-        + " WHEN acc.kept[at - 1].start <= x.start AND x.end <= acc.kept[at - 1].end THEN "
-        + state.format(k=f"transform(acc.kept, (k, i) -> IF(i = at - 1, {touched}, k))", o="acc.open")
-        + " ELSE " + state.format(
-            k="acc.kept",
-            o="concat(acc.open, array(named_struct('page', x.page, 'start', x.start, 'end', x.end, 'type', x.type, 'value', x.value, 'context', x.context)))")
-        + " END",
-    )
-    folded = grouped.selectExpr(
-        "doc_id", "unit_id",
-        f"aggregate({order}, named_struct('kept', CAST(array() AS {_KEPT}), 'open', CAST(array() AS {_OPEN})), (acc, x) -> {step}) AS out",
-    )
-    located = folded.selectExpr("doc_id", "unit_id", "inline(out.kept)").selectExpr(
-        "doc_id", "unit_id", f"{candidate_id('type', 'unit_id', 'start', 'end')} AS cand_id", "start", "end", "type", "value", "alts", "sources", "fresh")
+    unit = ["doc_id", "unit_id"]
+    old = cands.where("located").selectExpr(*unit, "CAST(start AS INT) AS start", "CAST(end AS INT) AS end", "type", "value", "alts", "source")
+    new = grounded.selectExpr(*unit, "CAST(rec_no AS BIGINT) AS ord", "CAST(start AS INT) AS start", "CAST(end AS INT) AS end", "type", "raw_value AS value", f"{page} AS page", "context_raw AS context")
+    # The first older candidate that ends behind a record's start is the first whose end tops all before it.
+    spans = old.select(*unit, "start", "end").distinct()
+    tops = spans.selectExpr("*", "max(end) OVER (PARTITION BY doc_id, unit_id ORDER BY start, end DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _before").where(
+        "_before IS NULL OR end > _before").selectExpr(*unit, "end AS _at", "1 AS _side", "named_struct('start', start, 'end', end) AS _top")
+    asked = new.selectExpr(*unit, "start AS _at", "0 AS _side", "struct(ord, start, end, type, value, page, context) AS _x")
+    behind = "last_value(_top, true) OVER (PARTITION BY doc_id, unit_id ORDER BY _at DESC, _side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    met = asked.unionByName(tops, allowMissingColumns=True).selectExpr(*unit, "_x", f"{behind} AS _next").where("_x IS NOT NULL").selectExpr(
+        *unit, "_x.*", "IF(_next.start < _x.end, _next, NULL) AS _old")
+    exact = spans.selectExpr(*unit, "start", "end", "true AS _exact")
+    every = cut(_fates(met.join(exact, [*unit, "start", "end"], "left")))
+
+    touches = every.where("fate = 'in'").groupBy(*unit, F.col("k_start").alias("start"), F.col("k_end").alias("end"), F.col("type").alias("_type")).agg(F.min("ord").alias("ord")).groupBy(
+        *unit, "start", "end").agg(F.expr("transform(array_sort(collect_list(struct(ord, _type))), t -> t._type) AS _types"))
+    fresh = every.where("fate = 'new'").selectExpr(*unit, "start", "end", "type", "value", "CAST(array() AS array<string>) AS alts", f"'{SERVICE}' AS source", "true AS fresh")
+    kept = old.selectExpr(*unit, "start", "end", "type", "value", "alts", "source", "false AS fresh").unionByName(fresh).join(touches, [*unit, "start", "end"], "left")
+    located = kept.selectExpr(
+        *unit, f"{candidate_id('type', 'unit_id', 'start', 'end')} AS cand_id", "start", "end", "type", "value",
+        "IF(_types IS NULL, alts, array_union(alts, filter(_types, t -> t <> type))) AS alts",
+        f"IF(_types IS NULL, array(source), array_union(array(source), array('{SERVICE}'))) AS sources", "fresh")
     place = (
         "concat('[{\"end\": ', CAST(end AS STRING), ', \"page\": ', coalesce(CAST(page AS STRING), 'null'), ', \"start\": ', CAST(start AS STRING), "
         f"', \"unitId\": ', {json_text('unit_id')}, '}}]')"
     )
-    unresolved = folded.selectExpr("doc_id", "unit_id", "inline(out.open)").selectExpr(
+    unresolved = every.where("fate = 'open'").selectExpr(
         "doc_id", f"{unresolved_id('type', 'value', 'context', place)} AS cand_id", "type", "value", "unit_id AS proposed_unit",
         "start AS proposed_start", "end AS proposed_end",
     ).dropDuplicates(["doc_id", "cand_id"])

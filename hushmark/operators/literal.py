@@ -5,48 +5,91 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushmark.functions.expr import let
+from hushmark.functions.expr import let, lit, running_sums
 
-#: A value's key is its first characters: as many as the document's shortest value has, at most this many.
-KEY_LENGTH = 8
+#: A document with so many distinct values at most hands them to its units; beyond that, values are looked up by keys.
+FEW = 64
+#: Characters of a key: those of long values, and of values shorter than that. Values below the second are looked for one by one.
+GRAMS = (8, 3)
 #: Bits of a document's key filter, the size of Spark's bitmaps.
 FILTER_BITS = 32768
 _QUOTED = "concat('\\\\Q', replace({v}, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')"
 
 
-def occurrences(text: str, value: str, disjoint: bool = False) -> str:
+def occurrences(text: str, value: str, disjoint: bool = False, before: str = "", after: str = "") -> str:
     """Start offsets of a value in a text: every one, or left to right without overlap.
 
-    The text is cut at the hits and piece lengths are summed: linear in the text.
+    ``before`` and ``after`` are patterns of what must stand around it, for every one only. The text is cut at the hits and piece lengths are
+    summed: linear in the text and the hits.
     """
     quoted = _QUOTED.format(v=value)
-    pattern = quoted if disjoint else f"concat('(?=', {quoted}, ')')"
+    pattern = quoted if disjoint else f"concat({lit(before + '(?=')}, {quoted}, {lit(after + ')')})"
     pieces = f"split(regexp_replace(translate({text}, '\u0001', ' '), {pattern}, '\u0001'), '\u0001', -1)"
-    width = f"length({value})" if disjoint else "0"
-    return let(
-        "p", pieces,
-        f"slice(aggregate(p, named_struct('pos', 0, 'cuts', CAST(array() AS array<int>)), (acc, x) -> named_struct("
-        f"'pos', acc.pos + length(x) + {width}, 'cuts', array_append(acc.cuts, acc.pos + length(x))), acc -> acc.cuts), "
-        "1, size(p) - 1)",
-    )
+    starts = let("ls", "transform(slice(p, 1, size(p) - 1), y -> length(y))", running_sums("ls"))
+    if disjoint:
+        starts = f"transform({starts}, (y, k) -> y + k * length({value}))"
+    return let("p", pieces, f"IF(size(p) = 1, CAST(array() AS array<int>), {starts})")
 
 
-def pairs(units: DataFrame, values: DataFrame) -> DataFrame:
-    """Units with each distinct value of their document that they contain; one way for any number of values and units.
+def _grams(text: str, width: int) -> str:
+    return f"array_distinct(transform(regexp_extract_all({text}, '(?s)(?=(.{{{width}}}))', 1), g -> xxhash64(g)))"
+
+
+def _keyed(values: DataFrame) -> DataFrame:
+    """doc_id, value, width, _h: the hash of the piece of each value that the fewest values of its document share."""
+    parts = None
+    for width, test in zip(GRAMS, (f"length(value) >= {GRAMS[0]}", f"length(value) >= {GRAMS[1]} AND length(value) < {GRAMS[0]}"), strict=True):
+        part = values.where(test).selectExpr("doc_id", "value", f"{width} AS width", f"explode({_grams('value', width)}) AS _h")
+        parts = part if parts is None else parts.unionByName(part)
+    shared = parts.withColumn("_n", F.expr("count(*) OVER (PARTITION BY doc_id, width, _h)"))
+    return shared.groupBy("doc_id", "value", "width").agg(F.expr("min_by(_h, struct(_n, _h))").alias("_h"))
 
-    Values are joined to units by the hash of a key of a few characters, and then looked for. A bitmap of a document's
-    keys, of fixed size, rides along with its units, so that only stretches of text that may be a key leave their row:
-    with few values hardly any do, and with very many the rows follow the text, not units times values.
+
+def _by_key(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """doc_id, _row, value: what units (doc_id, _row, text) may contain of very many values.
+
+    A bitmap of the document's keys, of fixed size, rides along with its units, so only hashes of text that may be a key leave their
+    row and meet the values by key. Values too short to have one meet all units of their document.
     """
-    distinct = values.select("doc_id", "value").where("value <> ''").distinct()
-    lengths = distinct.groupBy("doc_id").agg(F.least(F.min(F.length("value")), F.lit(KEY_LENGTH)).alias("_n"))
-    keyed = distinct.join(lengths, "doc_id").selectExpr("doc_id", "value", "_n", "xxhash64(substring(value, 1, _n)) AS _h")
-    filters = keyed.groupBy("doc_id").agg(F.min("_n").alias("_n"), F.expr(f"bitmap_construct_agg(pmod(_h, {FILTER_BITS}))").alias("_bits"))
+    keyed = _keyed(values)
+    bits = keyed.groupBy("doc_id").pivot("width", list(GRAMS)).agg(F.expr(f"bitmap_construct_agg(pmod(_h, {FILTER_BITS}))"))
     place = f"CAST(pmod(h, {FILTER_BITS}) AS INT)"
-    listed = f"(CAST(conv(hex(substring(_bits, {place} DIV 8 + 1, 1)), 16, 10) AS INT) & shiftleft(1, {place} % 8)) <> 0"
-    grams = "array_distinct(transform(regexp_extract_all(text, concat('(?s)(?=(.{', CAST(_n AS STRING), '}))'), 1), g -> xxhash64(g)))"
-    may = units.join(filters, "doc_id").selectExpr(*units.columns, f"explode(filter({grams}, h -> {listed})) AS _h")
-    return may.join(keyed.drop("_n"), ["doc_id", "_h"]).where("contains(text, value)").select(*units.columns, "value")
+    listed = f"(CAST(conv(hex(substring({{bits}}, {place} DIV 8 + 1, 1)), 16, 10) AS INT) & shiftleft(1, {place} % 8)) <> 0"
+    found = [
+        f"transform(IF(`{w}` IS NULL, CAST(array() AS array<bigint>), filter({_grams('text', w)}, h -> {listed.format(bits=f'`{w}`')})), h -> named_struct('width', {w}, '_h', h))"
+        for w in GRAMS
+    ]
+    may = rows.join(bits, "doc_id").selectExpr("doc_id", "_row", f"inline(concat({', '.join(found)}))").distinct()
+    short = values.where(f"length(value) < {GRAMS[1]}").groupBy("doc_id").agg(F.collect_list("value").alias("_short"))
+    beside = rows.join(short, "doc_id").selectExpr("doc_id", "_row", "explode(filter(_short, v -> contains(text, v))) AS value")
+    return may.join(keyed, ["doc_id", "width", "_h"]).select("doc_id", "_row", "value").unionByName(beside)
+
+
+def with_values(units: DataFrame, values: DataFrame, carried: list[str] | None = None, keep_all: bool = False) -> DataFrame:
+    """Units with ``_values``: structs of the values of their document, and the columns carried with each, that they may contain.
+
+    ``values`` has a row per doc_id and value. Where a document has few, they all ride along with its units; where it has many, a unit gets those that it meets by keys of the
+    rarest piece of each value. Each way brings all that it contains. ``keep_all`` keeps units without any.
+    """
+    item = F.struct("value", *(carried or []))
+    counts = values.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    lists = values.join(counts.where(f"_n <= {FEW}"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(item).alias("_values"))
+    crowded = counts.where(f"_n > {FEW}").select("doc_id")
+    if crowded.isEmpty():
+        return units.join(lists, "doc_id", "left" if keep_all else "inner")
+    many = values.join(crowded, "doc_id", "left_semi")
+    named = [f.name for f in units.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    apart = units.join(crowded, "doc_id", "left_semi").withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in named]))
+    met = _by_key(apart.select("doc_id", "_row", "text"), many.select("doc_id", "value")).join(many, ["doc_id", "value"])
+    by_row = met.groupBy("doc_id", "_row").agg(F.collect_set(item).alias("_values"))
+    rest = units.join(crowded, "doc_id", "left_anti").join(lists, "doc_id", "left" if keep_all else "inner")
+    return rest.unionByName(apart.join(by_row, ["doc_id", "_row"], "left" if keep_all else "inner").drop("_row").select(*rest.columns))
+
+
+def pairs(units: DataFrame, values: DataFrame) -> DataFrame:
+    """Units with each distinct value of their document that they contain."""
+    distinct = values.select("doc_id", "value").where("value <> ''").distinct()
+    return with_values(units, distinct).selectExpr(*[f"`{c}`" for c in units.columns], "explode(filter(transform(_values, v -> v.value), v -> contains(text, v))) AS value")
 
 
 def locate(units: DataFrame, values: DataFrame, disjoint: bool = False) -> DataFrame:

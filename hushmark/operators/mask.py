@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushmark.functions.expr import let
+from hushmark.functions.expr import between, let, text_blocks
 from hushmark.functions.masking import automatic_presets, mask_value, merge_ranges
 
 _EDIT = "array<struct<start:int,end:int,repl:string>>"
@@ -23,11 +23,16 @@ def _edits() -> str:
 
 def spliced(text: str, edits: str, repl: str) -> str:
     """A text with sorted, disjoint ranges replaced, joined once from its pieces."""
-    pieces = (
-        f"transform(sequence(0, size({edits})), i -> concat(substring({text}, 1 + IF(i = 0, 0, get({edits}, i - 1).end), "
-        f"IF(i = size({edits}), length({text}), get({edits}, i).start) - IF(i = 0, 0, get({edits}, i - 1).end)), IF(i = size({edits}), '', get({edits}, i).{repl})))"
-    )
-    return f"array_join({pieces}, '')"
+    start = f"IF(i = 0, 0, get({edits}, i - 1).end)"
+    stop = f"IF(i = size({edits}), tl, get({edits}, i).start)"
+    pieces = f"transform(sequence(0, size({edits})), i -> concat({between('bs', start, stop)}, IF(i = size({edits}), '', get({edits}, i).{repl})))"
+    return let("bs", text_blocks(text), let("tl", f"length({text})", f"array_join({pieces}, '')"))
+
+
+def starred(text: str, finds: str) -> str:
+    """A text with disjoint finds starred."""
+    edits = f"transform(array_sort({finds}, (l, r) -> l.start - r.start), k -> named_struct('start', k.start, 'end', k.end, 'repl', repeat('*', k.end - k.start)))"
+    return f"IF(size({finds}) = 0, {text}, {let('es', edits, spliced(text, 'es', 'repl'))})"
 
 
 def redact_units(units: DataFrame, decided: DataFrame) -> DataFrame:

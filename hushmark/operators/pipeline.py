@@ -6,42 +6,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushmark import constants as K
-from hushmark.functions.expr import lit
+from hushmark.functions.expr import let
 from hushmark.operators import detect as D
 from hushmark.operators import evidence as E
 from hushmark.operators import layout as L
-from hushmark.operators.literal import locate
-from hushmark.session import cut
+from hushmark.operators.literal import occurrences, with_values
+from hushmark.operators.mask import starred
+from hushmark.session import cut, stored
 
 _FIELDS = ["prio", "ord", "start", "end", "type", "value", "alts", "relation", "proof_unit", "proof_start", "proof_end"]
 
 
-def name_follows(text: str = "text", start: str = "start", end: str = "end") -> str:
-    """Boundary rule of a repeated name: clean left side, particle or punctuation on the right."""
-    before = f"substring({text}, {start}, 1)"
-    rest = f"substring({text}, {end} + 1)"
+#: Boundary of a repeated name: a clean left side; what follows is checked by the pattern of particles and punctuation.
+_LEFT = "(?<![\\p{L}\\p{N}_'@-])"
+
+
+def _proofs(names: DataFrame) -> DataFrame:
+    """One row per document and proven name, with its first proof."""
+    rank = "struct(unit_seq, prio, start)"
+    return names.where("type = 'name' AND relation IS NOT NULL AND value <> ''").groupBy("doc_id", "value").agg(
+        F.expr(f"min_by(struct(proof_unit, proof_start, proof_end, unit_seq, start), {rank})").alias("p"))
+
+
+def _repeated(start: str, end: str, value: str, proof: str) -> str:
+    """A raw find of a repeated name. Names are tried in the order in which they were proven."""
     return (
-        f"({start} = 0 OR NOT {before} RLIKE {lit('[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_' + chr(39) + '@-]')}) "
-        f"AND ({rest} = '' OR {rest} RLIKE {lit(K.NAME_FOLLOW)})"
+        f"named_struct('prio', 10, 'ord', CAST({proof}.unit_seq AS BIGINT) * 4294967296L + {proof}.start, 'start', {start}, 'end', {end}, 'type', 'name', 'value', {value}, "
+        f"'alts', CAST(array() AS array<string>), 'relation', 'repeated_name', 'proof_unit', {proof}.proof_unit, 'proof_start', {proof}.proof_start, 'proof_end', {proof}.proof_end)"
     )
 
 
+def _repeats() -> str:
+    """Raw finds of all names in ``_values`` that the unit's text repeats."""
+    follow = K.NAME_FOLLOW.removeprefix("(?U)^")
+    places = occurrences("text", "n.value", before="(?U)" + _LEFT, after=follow)
+    each = f"transform({places}, y -> {_repeated('y', 'y + length(n.value)', 'n.value', 'n.p')})"
+    return f"flatten(transform(filter(coalesce(_values, array()), n -> contains(text, n.value)), n -> {each}))"
+
+
 def propagate_names(units: DataFrame, names: DataFrame) -> DataFrame:
     """Every other place of a proven name in its document (raw finds)."""
-    rank = "struct(unit_seq, prio, start)"
-    proofs = names.where("type = 'name' AND relation IS NOT NULL").groupBy("doc_id", "value").agg(
-        F.expr(f"min_by(struct(proof_unit, proof_start, proof_end, unit_seq, start), {rank})").alias("p")
-    )
-    proofs = cut(proofs)
-    hits = locate(units, proofs).where(name_follows())
     keep = [c for c in ("doc_id", "unit_seq", "unit_id", "page") if c in units.columns]
-    return hits.join(proofs, ["doc_id", "value"]).selectExpr(
-        *keep, "10 AS prio",
-        # Names are tried in the order in which they were proven.
-        "CAST(p.unit_seq AS BIGINT) * 4294967296L + p.start AS ord",
-        "start", "end", "'name' AS type", "value", "CAST(array() AS array<string>) AS alts",
-        "'repeated_name' AS relation", "p.proof_unit AS proof_unit", "p.proof_start AS proof_start", "p.proof_end AS proof_end",
-    )
+    return with_values(units, _proofs(names), ["p"]).selectExpr(*keep, f"inline({_repeats()})")
+
+
+def found_in_documents(units: DataFrame, today: str) -> DataFrame:
+    """Units with ``finds``, settled, those of names repeated elsewhere in their document among them.
+
+    In-unit finds are made once and stored with their units; only the finds are read for the names. A document's names then come to its
+    units, where they are looked for and settled with the unit's own finds: a text leaves its row at most once, for that join,
+    and stays where it is if the names are few enough to be broadcast by size.
+    """
+    kept = [c for c in ("doc_id", "unit_seq", "unit_id", "page", "part", "text") if c in units.columns]
+    local = stored(D.in_unit(units.select(*kept), today).withColumn("finds", F.expr(D.settle())), "finds")
+    names = local.where("exists(finds, f -> f.type = 'name')").selectExpr("doc_id", "unit_seq", "inline(finds)")
+    met = with_values(local, stored(_proofs(names), "names"), ["p"], keep_all=True)
+    settled = let("r", _repeats(), f"IF(size(r) = 0, finds, {let('every', 'concat(finds, r)', D.settle('every'))})")
+    return met.selectExpr(*kept, f"IF(_values IS NULL, finds, {settled}) AS finds")
+
+
+def redact_all(units: DataFrame, today: str) -> DataFrame:
+    """Units with every find starred, redacted, and how many there are, n_found; detection and redaction share a row."""
+    found = found_in_documents(units, today)
+    return found.selectExpr(*[c for c in found.columns if c not in ("finds", "text")], f"{starred('text', 'finds')} AS redacted", "size(finds) AS n_found")
 
 
 def detect_all(
@@ -54,18 +81,16 @@ def detect_all(
     rules of positioned documents. Later rules see what earlier ones kept, so finds are
     settled three times at most; each settling groups by unit only.
     """
+    if relations is None and lines is None:
+        return D.finish(D.as_rows(found_in_documents(units, today), "finds"))
     keys = ["doc_id", "unit_seq", "unit_id"]
     units = units.select(*keys, *[c for c in ("part", "text") if c in units.columns])
-    local = D.as_rows(D.in_unit(units, today), "finds")
-    if relations is None and lines is None:
-        first = D.as_rows(D.in_unit(units, today), D.settle())
-    else:
-        parts = [local.select(*keys, *_FIELDS)]
-        if relations is not None:
-            parts.append(E.neighbour_finds(units, relations, today).select(*keys, *_FIELDS))
-        if lines is not None:
-            parts.append(L.address_row_label(lines, today).select(*keys, *_FIELDS))
-        first = D.settle_rows(_union(parts))
+    parts = [D.as_rows(D.in_unit(units, today), "finds").select(*keys, *_FIELDS)]
+    if relations is not None:
+        parts.append(E.neighbour_finds(units, relations, today).select(*keys, *_FIELDS))
+    if lines is not None:
+        parts.append(L.address_row_label(lines, today).select(*keys, *_FIELDS))
+    first = D.settle_rows(_union(parts))
     first = cut(first)
     if lines is not None:
         addresses = D.finish(first)

@@ -398,22 +398,32 @@ def inherit_choice(cands: DataFrame) -> DataFrame:
 
 
 def spread_choice(cands: DataFrame, choices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates a choice reaches by scope, and per choice how many were left out as unlocated.
+    """What each choice reaches, as classes and their members: one row a choice and one a span, never one for each pair of them.
 
-    ``choices``: doc_id, choice_id, cand_id, scope (one, same_value, same_type, following).
+    ``choices``: doc_id, choice_id, cand_id, scope (one, same_value, same_type, following). A class is the rule of a choice (scope, anchor, type, value) with
+    how many spans it reaches and how many it leaves out as unlocated, both from counts by value and by type. Members
+    are the located spans of the types chosen from; ``reached`` shows which belong to which class.
     """
-    anchor = choices.join(cands.selectExpr("doc_id", "cand_id", "type", "value"), ["doc_id", "cand_id"]).withColumnRenamed("cand_id", "anchor_id")
-    manual = cands.withColumn("_manual", F.expr(MANUAL)).select("doc_id", "cand_id", "type", "value", "located", "_manual")
-    own = anchor.where("scope = 'one'").join(manual.drop("type", "value"), (anchor.doc_id == manual.doc_id) & (anchor.anchor_id == manual.cand_id)).drop(manual.doc_id)
-    same = anchor.where("scope IN ('same_value', 'following')").join(manual, ["doc_id", "type", "value"]).where(
-        "scope = 'same_value' OR cand_id = anchor_id OR NOT _manual")
-    kind = anchor.where("scope = 'same_type'").drop("value").join(manual.drop("value"), ["doc_id", "type"])
-    picked = None
-    for part in (own, same, kind):
-        part = part.select("doc_id", "choice_id", "cand_id", "located")
-        picked = part if picked is None else picked.unionByName(part)
-    left_out = picked.groupBy("doc_id", "choice_id").agg(F.expr("count_if(NOT located) AS excluded"))
-    return picked.where("located").drop("located"), left_out
+    spans = cands.withColumn("manual", F.expr(MANUAL)).select("doc_id", "cand_id", "type", "value", "located", "manual")
+    by_value = spans.groupBy("doc_id", "type", "value").agg(
+        F.expr("count_if(located) AS v_in"), F.expr("count_if(NOT located) AS v_out"), F.expr("count_if(located AND NOT manual) AS f_in"), F.expr("count_if(NOT located AND NOT manual) AS f_out"))
+    by_type = by_value.groupBy("doc_id", "type").agg(F.sum("v_in").alias("t_in"), F.sum("v_out").alias("t_out"))
+    own = "IF({0}located, 1, 0)"
+    count = "CASE scope WHEN 'one' THEN {own} WHEN 'same_value' THEN v_{side} WHEN 'same_type' THEN t_{side} ELSE f_{side} + IF(manual, {own}, 0) END"
+    classes = choices.join(spans, ["doc_id", "cand_id"]).join(by_value, ["doc_id", "type", "value"]).join(by_type, ["doc_id", "type"]).selectExpr(
+        "doc_id", "choice_id", "scope", "cand_id AS anchor_id", "type", "IF(scope = 'same_type', NULL, value) AS value",
+        count.format(own=own.format(""), side="in") + " AS n_reached", count.format(own=own.format("NOT "), side="out") + " AS excluded")
+    members = spans.where("located").drop("located").join(choices.join(spans, ["doc_id", "cand_id"]).select("doc_id", "type").distinct(), ["doc_id", "type"], "left_semi")
+    return classes, members
+
+
+def reached(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, choice_id, cand_id of every span that a choice reaches; a view, as long as all pairs of them."""
+    own = classes.where("scope = 'one'").select("doc_id", "choice_id", F.col("anchor_id").alias("cand_id")).join(members.select("doc_id", "cand_id"), ["doc_id", "cand_id"])
+    same = classes.where("scope IN ('same_value', 'following')").join(members, ["doc_id", "type", "value"]).where("scope = 'same_value' OR cand_id = anchor_id OR NOT manual")
+    kind = classes.where("scope = 'same_type'").drop("value").join(members, ["doc_id", "type"])
+    columns = ["doc_id", "choice_id", "cand_id"]
+    return own.select(*columns).unionByName(same.select(*columns)).unionByName(kind.select(*columns))
 
 
 def review_queue(cands: DataFrame, suggestions: DataFrame, wanted: str = "all", search: str = "") -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from hushmark.operators.mask import redact_units
-from hushmark.operators.pipeline import detect_all
+from hushmark.operators.pipeline import redact_all
 from hushmark.plans import fixtures
 from hushmark.plans import a_sources, b_formats, c_labels, d_evidence, e_grounding, f_masking, g_policy, h_audit, i_streaming
 from hushmark.session import prepare
@@ -26,6 +25,4 @@ ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items(
 def flagship(spark, sf_dir):
     """Find personal data of every type in every unit, and return the units with it starred."""
     spark = prepare(spark)
-    units = a_sources.all_units(spark, sf_dir)
-    found = detect_all(units, fixtures.TODAY)
-    return redact_units(units, found).select("doc_id", "unit_seq", "unit_id", "redacted")
+    return redact_all(a_sources.all_units(spark, sf_dir), fixtures.TODAY).select("doc_id", "unit_seq", "unit_id", "redacted")

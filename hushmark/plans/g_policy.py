@@ -252,8 +252,8 @@ def g19(spark, d):
     rows = cut(_reviewed(spark, d))
     picks = rows.where("unit_seq = 2 AND type = 'phone'").selectExpr(
         "doc_id", "1 AS choice_id", "cand_id", "CASE doc_id % 4 WHEN 0 THEN 'one' WHEN 1 THEN 'same_value' WHEN 2 THEN 'same_type' ELSE 'following' END AS scope")
-    reached, left_out = P.spread_choice(rows, picks)
-    return reached.selectExpr("doc_id", "cand_id", "-1L AS excluded").unionByName(left_out.selectExpr("doc_id", "'-' AS cand_id", "excluded"))
+    classes, members = P.spread_choice(rows, picks)
+    return P.reached(classes, members).selectExpr("doc_id", "cand_id", "-1L AS excluded").unionByName(classes.selectExpr("doc_id", "'-' AS cand_id", "excluded"))
 
 
 def g20(spark, d):

@@ -72,3 +72,10 @@ def cut(frame: DataFrame) -> DataFrame:
     """Write a result that several later steps read, so they neither recompute nor re-plan it; always, wherever it runs."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def stored(frame: DataFrame, purpose: str) -> DataFrame:
+    """The same as a table in the shared folder, where later steps read only the columns they need."""
+    folder = work_folder(frame.sparkSession, purpose)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
