@@ -207,8 +207,8 @@ def test_the_guard_of_two_streams_forgets(spark, tmp_path):
         now = [(n, 0, 1, "h", at(0), at(4 * day) if n else at(2 * day)) for n in range(3)] if d == 0 else [(n, 0, 2, "h", at(4 * day), None) for n in range(3)] if d == 4 else []
         put(spark, [*now, (50 + d, 0, 1, "h", at(d * day), None)], states, f"{tmp_path}/s")
     for d in (60, 61):  # the second meets the watermark of the first
-        put(spark, [(None, None, None, None, None, at(d * day))], results, f"{tmp_path}/r")
-        put(spark, [(None, None, None, None, at(d * day), None)], states, f"{tmp_path}/s")
+        put(spark, [(-1, -1, 0, 0, "left", at(d * day))], results, f"{tmp_path}/r")
+        put(spark, [(-1, 0, 0, "right", at(d * day), None)], states, f"{tmp_path}/s")
     left, right = source(spark, results, f"{tmp_path}/r"), source(spark, states, f"{tmp_path}/s")
     found = []
     query = J.drain_batches(J.stale_guard_streams(left, right, 3 * day, "1 hour"), f"{tmp_path}/w", lambda b, n: found.extend(r.result_id for r in b.collect()))
