@@ -1,6 +1,6 @@
 """Best-fit packing with certified repacking.
 
-Documents become token ids (the vocabulary's byte-level BPE, then id 0) and are cut only if longer than
+Documents become token ids (those that the tokenizer library gives their pre-tokens, then id 0) and are cut only if longer than
 a sequence: into whole sequences, with the rest as the first piece. Pieces are dealt evenly to partitions of bounded size,
 and each is packed by best-fit decreasing. A lower bound from dual feasible functions says how many
 sequences a partition needs at least; where the packing meets it, nothing better exists and the
@@ -13,10 +13,9 @@ rows. Only doc_id and text are read, so other columns can't clash.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushmark.llm.common import binary, cut
+from hushmark.llm.common import cut
+from hushmark.llm.pretokens import Vocabulary, stretches, vocabulary
 
 CAPACITY = 2048
 #: Pieces that one task packs at a time.
@@ -33,36 +33,48 @@ PIECES_A_PARTITION = 40_000
 LOOSE = 16
 ROUNDS = 3
 END_OF_DOCUMENT = 0
-_SPECIAL = {"<|endoftext|>": 50256}
+#: Entries of a worker's cache of pre-tokens, and bytes of the longest it takes.
+CACHED, CACHED_BYTES = 400_000, 256
+_caches: dict[str, dict] = {}
 
 
-def vocabulary() -> str:
+def default_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
-    """text -> ids. The rank file holds the vocabulary and merges of the JSON tokenizer of the same name; tests compare the two.
+class _Ids(dict):
+    """Ids of pre-tokens, as the library gives them; what is asked for first is encoded then. A full cache starts anew."""
 
-    tiktoken raises on runs of about a million white-space characters; such a text goes to the JSON tokenizer, which gives the same ids.
-    """
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
+    def __init__(self, vocab: Vocabulary):
+        super().__init__()
+        self.vocab = vocab
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in file if line.strip())}
-    coding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=_SPECIAL)
-    whole = cache(lambda: Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json"))
+    def __missing__(self, word: bytes) -> list[int]:
+        ids = self.vocab.ids(word)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHED:
+                self.clear()
+            self[word] = ids
+        return ids
 
-    def encode(text: str) -> list[int]:
-        try:
-            return coding.encode(text, allowed_special="all")
-        except ValueError:
-            return whole().encode(text, add_special_tokens=False).ids
 
-    return encode
+def encoded(column: pa.Array, vocab: Vocabulary, cache: _Ids) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, ids) of every text, in order."""
+    last, parts = 0, []
+    for rows, data, at in stretches(column):
+        whole, starts = data.tobytes(), vocab.starts(data, at)
+        ends = np.append(starts[1:], len(data))
+        first = np.searchsorted(starts, at)
+        for k, row in enumerate(rows.tolist()):
+            if row != last:
+                yield last, np.concatenate(parts) if parts else np.zeros(0, "<u4")
+                last, parts = row, []
+            words = [whole[a:b] for a, b in zip(starts[first[k] : first[k + 1]].tolist(), ends[first[k] : first[k + 1]].tolist(), strict=True)]
+            parts.append(np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), "<u4"))
+    if len(column):
+        yield last, np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -78,15 +90,16 @@ _PIECE = "piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
-    path = path or vocabulary()
+    path = path or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        vocab = vocabulary(path)
+        cache = _caches.setdefault(path, _Ids(vocab))
         for batch in batches:
             rows, at = [], []
-            for k, text in enumerate(binary(batch.column("text"))):
-                ids = np.array(encode(text.as_py().decode("utf-8", "replace")) + [END_OF_DOCUMENT], "<u4")
+            for k, found in encoded(batch.column("text"), vocab, cache):
+                ids = np.append(found, np.array([END_OF_DOCUMENT], "<u4"))
                 for piece, (start, length) in enumerate(cuts(len(ids), capacity)):
                     part = ids[start : start + length]
                     at.append(k)
