@@ -184,7 +184,9 @@ def index(points: DataFrame, k: int, shard: int) -> DataFrame:
             "ids": pa.array([group.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))),
         })
 
-    return dealt.select("dim", "shard", "vector", "ids").groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, vectors binary, graph binary, entry int, leaders binary, leader_of binary, ids array<array<bigint>>")
+    # A number of partitions that is given stays: small shards are not put into one task by their bytes.
+    many = 2 * (sizes.agg(F.sum("shards")).first()[0] or 1)
+    return dealt.select("dim", "shard", "vector", "ids").repartition(many, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, vectors binary, graph binary, entry int, leaders binary, leader_of binary, ids array<array<bigint>>")
 
 
 def search(indexed: DataFrame, queries: DataFrame, k: int, a_block: int) -> DataFrame:
