@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushmark.session import cut, shared_folder  # noqa: F401  one rule for folders
+
 #: Bytes of text that a task turns into arrays at a time; a longer document makes a chunk of its own.
 CHUNK_BYTES = 2_000_000
 
@@ -18,22 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Only a session without that setting, as in tests, gets a folder of its own."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir()
-    if folder is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hushmark-llm-"))
-        folder = context.getCheckpointDir()
-    return folder
-
-
-def cut(frame: DataFrame) -> DataFrame:
-    """Write a result that several later steps read to the shared folder."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds).cast("long"))
