@@ -160,8 +160,16 @@ def line_relations(lines: DataFrame) -> DataFrame:
     return left_relations(lines).unionByName(above_relations(lines)).unionByName(numbered_relations(lines))
 
 
+#: The place of a label's proof among the pieces: after all others.
+PROOF_ORD = 1 << 62
+
+
 def evidence_top8(units: DataFrame, cands: DataFrame, relations: DataFrame, limit: int | None = None, width: int | None = None) -> DataFrame:
-    """All distinct pieces per candidate, own unit first, in the fixed order; those after ``limit`` are flagged. ``width`` as in ``excerpt``."""
+    """All distinct pieces per candidate, own unit first, in the fixed order; those after ``limit`` are flagged. ``width`` as in ``excerpt``.
+
+    Where candidates carry a proof (proof_unit, proof_start, proof_end), the label it spells comes last, if its place is one of the unit's
+    text and no piece says the same already.
+    """
     near = excerpt(cands.select("doc_id", "cand_id", "unit_id").join(relations, ["doc_id", "unit_id"]), width=width).selectExpr(
         "doc_id", "cand_id", "rel_ord", "relation", "src_unit_id", "ev_start", "ev_end", "ev_text", "ev_cut"
     )
@@ -169,6 +177,14 @@ def evidence_top8(units: DataFrame, cands: DataFrame, relations: DataFrame, limi
     first = every.groupBy("doc_id", "cand_id", "src_unit_id", "ev_start", "ev_end", "relation").agg(
         F.min("rel_ord").alias("rel_ord"), F.first("ev_text").alias("ev_text"), F.first("ev_cut").alias("ev_cut")
     )
+    if "proof_unit" in cands.columns:
+        spelled = cands.where("proof_unit IS NOT NULL").select("doc_id", "cand_id", F.col("proof_unit").alias("src_unit_id"), "proof_start", "proof_end").join(
+            units.select("doc_id", F.col("unit_id").alias("src_unit_id"), "text"), ["doc_id", "src_unit_id"]).where(
+            "0 <= proof_start AND proof_start < proof_end AND proof_end <= length(text)").selectExpr(
+            "doc_id", "cand_id", "src_unit_id", "proof_start AS ev_start", "proof_end AS ev_end", "'label_proof' AS relation", f"{PROOF_ORD}L AS rel_ord",
+            "substring(text, proof_start + 1, proof_end - proof_start) AS ev_text", "false AS ev_cut")
+        said = first.select("doc_id", "cand_id", "src_unit_id", "ev_text").distinct()
+        first = first.unionByName(spelled.join(said, ["doc_id", "cand_id", "src_unit_id", "ev_text"], "left_anti"))
     over = "false" if limit is None else f"ord > {limit}"
     return first.selectExpr(
         "*", "row_number() OVER (PARTITION BY doc_id, cand_id ORDER BY rel_ord, src_unit_id) AS ord"

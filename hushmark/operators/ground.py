@@ -89,6 +89,15 @@ def omitted_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("doc_id").agg(F.expr(f"count_if({is_absent('type', 'raw_value')}) AS omitted"))
 
 
+def drop_absent_candidates(cands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Older candidates without those of the service that only say that there is no value, and how many went by document.
+
+    What a person confirmed or decided stays, whatever it says.
+    """
+    gone = f"source = '{SERVICE}' AND NOT confirmed AND coalesce(decision_source, '') <> 'user' AND {is_absent('type', 'value')}"
+    return cands.where(f"NOT ({gone})"), cands.groupBy("doc_id").agg(F.expr(f"count_if({gone}) AS removed"))
+
+
 def ground_literal(units: DataFrame, records: DataFrame) -> DataFrame:
     """Span of every literal place of each record in its own document."""
     places = locate(units.select("doc_id", "unit_seq", "unit_id", "text"), records.selectExpr("doc_id", "raw_value AS value"))
@@ -146,6 +155,18 @@ def reconcile_whitespace(records: DataFrame, cands: DataFrame) -> DataFrame:
     return _reconcile(fit, cands.where(kinds), squeezed("raw_value"), squeezed("value"), True)
 
 
+def with_variants(cands: DataFrame, reconciled: DataFrame) -> DataFrame:
+    """Candidates with the service among their sources, and the spellings that reconciled records gave for them, in record order.
+
+    ``reconciled`` are rows of the ``reconcile_`` rules: doc_id, cand_id, rec_no, raw_value. Candidates that no record met keep their one source.
+    """
+    spelled = reconciled.groupBy("doc_id", "cand_id", "raw_value").agg(F.min("rec_no").alias("rec_no")).groupBy("doc_id", "cand_id").agg(
+        F.expr("transform(array_sort(collect_list(struct(rec_no, raw_value))), v -> v.raw_value) AS _spelled"))
+    return cands.join(spelled, ["doc_id", "cand_id"], "left").selectExpr(
+        *cands.columns, f"IF(_spelled IS NULL, array(source), array_union(array(source), array('{SERVICE}'))) AS sources",
+        "coalesce(_spelled, CAST(array() AS array<string>)) AS variants")
+
+
 def merge_same_span(cands: DataFrame, grounded: DataFrame) -> DataFrame:
     """Candidates with the service as extra source and other types of the same span as alternatives."""
     hits = grounded.groupBy("doc_id", "unit_id", "start", "end").agg(
@@ -281,12 +302,12 @@ def structure_evidence(cands: DataFrame, elements: DataFrame, by_page: bool, lim
 
 
 def confidence_evidence(cands: DataFrame, additional: DataFrame) -> DataFrame:
-    """First confidence record with exactly the candidate's type and value."""
+    """First confidence record with exactly the candidate's type and value: how sure, on which page and where on it."""
     first = additional.groupBy("doc_id", "type", "value").agg(
-        F.expr("min_by(struct(coalesce(confidence, 'low') AS confidence, page), ord)").alias("e")
+        F.expr("min_by(struct(coalesce(confidence, 'low') AS confidence, page, coordinates), ord)").alias("e")
     )
-    return cands.join(first, ["doc_id", "type", "value"], "left").withColumn("confidence", F.col("e.confidence")).withColumn(
-        "confidence_page", F.col("e.page")).drop("e")
+    return cands.join(first, ["doc_id", "type", "value"], "left").withColumns(
+        {"confidence": F.col("e.confidence"), "confidence_page": F.col("e.page"), "coordinates": F.col("e.coordinates")}).drop("e")
 
 
 def quote_guard(grounded: DataFrame) -> DataFrame:

@@ -154,16 +154,17 @@ def table_column_fields(lines: DataFrame, today: str, chars: DataFrame | None =
 
 
 def readable_lines(lines: DataFrame, chars: DataFrame) -> DataFrame:
-    """Lines of pages where every non-blank line agrees with its characters and their boxes."""
+    """Lines of pages where every non-blank line agrees with its characters, and all boxes have an inside."""
     spelled = chars.groupBy("doc_id", "page", "unit_id").agg(
         F.expr("array_join(transform(array_sort(collect_list(struct(idx, c))), x -> x.c), '')").alias("spelled"),
         F.min("x0").alias("cx0"), F.min("y0").alias("cy0"), F.max("x1").alias("cx1"), F.max("y1").alias("cy1"),
+        F.expr("bool_and(coalesce(x0 < x1 AND y0 < y1, false)) AS solid"),
     )
     checked = lines.where("text RLIKE '(?U)\\\\S'").join(spelled, ["doc_id", "page", "unit_id"], "left").withColumn(
-        "ok", F.expr("coalesce(spelled = text AND cx0 >= x0 - 0.01 AND cy0 >= y0 - 0.01 AND cx1 <= x1 + 0.01 AND cy1 <= y1 + 0.01, false)")
+        "ok", F.expr("coalesce(spelled = text AND solid AND x0 < x1 AND y0 < y1 AND cx0 >= x0 - 0.01 AND cy0 >= y0 - 0.01 AND cx1 <= x1 + 0.01 AND cy1 <= y1 + 0.01, false)")
     )
     bad = checked.where("NOT ok").select("doc_id", "page").distinct()
-    return checked.drop("spelled", "cx0", "cy0", "cx1", "cy1", "ok").join(bad, ["doc_id", "page"], "left_anti")
+    return checked.drop("spelled", "solid", "cx0", "cy0", "cx1", "cy1", "ok").join(bad, ["doc_id", "page"], "left_anti")
 
 
 def _follow(chains: DataFrame, lines: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushmark.functions.expr import let, lit, running_sums
+from hushmark.session import stored
 
 #: A document with so many distinct values at most hands them to its units; beyond that, values are looked up by keys.
 FEW = 64
@@ -88,7 +89,7 @@ def with_values(units: DataFrame, values: DataFrame, carried: list[str] | None =
 
 def pairs(units: DataFrame, values: DataFrame) -> DataFrame:
     """Units with each distinct value of their document that they contain."""
-    distinct = values.select("doc_id", "value").where("value <> ''").distinct()
+    distinct = stored(values.select("doc_id", "value").where("value <> ''").distinct(), "values")
     return with_values(units, distinct).selectExpr(*[f"`{c}`" for c in units.columns], "explode(filter(transform(_values, v -> v.value), v -> contains(text, v))) AS value")
 
 

@@ -47,7 +47,7 @@ def _repeats() -> str:
 def propagate_names(units: DataFrame, names: DataFrame) -> DataFrame:
     """Every other place of a proven name in its document (raw finds)."""
     keep = [c for c in ("doc_id", "unit_seq", "unit_id", "page") if c in units.columns]
-    return with_values(units, _proofs(names), ["p"]).selectExpr(*keep, f"inline({_repeats()})")
+    return with_values(units, stored(_proofs(names), "names"), ["p"]).selectExpr(*keep, f"inline({_repeats()})")
 
 
 def found_in_documents(units: DataFrame, today: str) -> DataFrame:

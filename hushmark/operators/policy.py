@@ -234,16 +234,16 @@ def _direct(facts: str) -> str:
     return f"transform(filter({facts}, f -> f.relation IN ({words(K.DIRECT_RELATIONS)})), f -> f.text)"
 
 
-def with_public(judged: DataFrame) -> DataFrame:
+def with_public(judged: DataFrame, asked: str = "true") -> DataFrame:
     """Adds ``_public``: the role, context and direct facts that call the value a public contact, unless its own unit calls it private.
 
-    The patterns run once a candidate here; whatever is asked about its evidence afterwards is a search in these texts.
+    The patterns run once a candidate here, and only where ``asked`` holds; whatever is asked about its evidence afterwards is a search in these texts.
     """
     private = (
         f"exists(filter(facts, f -> f.relation = 'self'), f -> exists({_segments('f.text', 'value')}, s -> s RLIKE {lit(K.PRIVATE_CONTACT)}))"
     )
     texts = f"filter(concat(array(role_raw, context_raw), {_direct('facts')}), t -> {public_contact('t', 'value')})"
-    return judged.withColumn("_public", F.expr(f"IF(type IN ('phone', 'email') AND NOT {private}, {texts}, CAST(array() AS array<string>))"))
+    return judged.withColumn("_public", F.expr(f"IF({asked} AND type IN ('phone', 'email') AND NOT {private}, {texts}, CAST(array() AS array<string>))"))
 
 
 def keep_allowed(evidence: str) -> str:
@@ -273,7 +273,7 @@ def suggestion_error() -> str:
 
 def validate_suggestions(suggestions: DataFrame, judged: DataFrame) -> DataFrame:
     """Suggestions with an error or a stable id; a preset that does not apply is dropped."""
-    joined = suggestions.join(with_public(judged), ["doc_id", "cand_id"], "left")
+    joined = with_public(suggestions.join(judged, ["doc_id", "cand_id"], "left"), "recommendation = 'keep' AND evidence <> ''")
     allowed = f"recommendation = 'full' AND map_contains_key({automatic_presets('type', 'value')}, preset_id)"
     return joined.selectExpr(
         "doc_id", "cand_id", "kind", "content", "recommendation", "evidence", "question",
@@ -298,13 +298,12 @@ def keep_grounds(judged: DataFrame, longest: int | None = None) -> DataFrame:
 
 
 def local_recommend(judged: DataFrame, longest: int | None = None) -> DataFrame:
-    """Full by default; keep when a direct fact (of at most ``longest`` characters, if given) proves a public contact."""
+    """Full by default, without any fact too; keep when a direct fact (of at most ``longest`` characters, if given) proves a public contact."""
     plain = with_public(judged.withColumn("keep_text", F.lit("")))
     keep = f"filter({_direct('facts')}, g -> g <> ''{_within('g', longest)} AND {keep_allowed('g')})"
     evidence = f"coalesce(get({_direct('facts')}, 0), nullif(context_raw, ''), nullif(role_raw, ''))"
-    return plain.where("located").selectExpr("doc_id", "cand_id", "type", f"get({keep}, 0) AS kept", f"{evidence} AS first_fact").where(
-        "first_fact IS NOT NULL"
-    ).selectExpr("doc_id", "cand_id", "IF(kept IS NULL, 'full', 'keep') AS recommendation", "coalesce(kept, first_fact) AS evidence")
+    return plain.where("located").selectExpr("doc_id", "cand_id", "type", f"get({keep}, 0) AS kept", f"{evidence} AS first_fact").selectExpr(
+        "doc_id", "cand_id", "IF(kept IS NULL, 'full', 'keep') AS recommendation", "coalesce(kept, first_fact, '') AS evidence")
 
 
 def suggestion_coverage(batches: DataFrame, suggestions: DataFrame) -> DataFrame:

@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 from hushmark import constants as K
 from hushmark.operators import detect as D
 from hushmark.operators import evidence as E
+from hushmark.operators.pipeline import detect_all
 from hushmark.plans import fixtures as fx
 from hushmark.plans.a_sources import all_units, kr_units
 from hushmark.plans.b_formats import ID_DUCK, settled
-from hushmark.plans.c_labels import EVERYTHING, GRID_DUCK, REPEAT, T, forms, grid, lines, made
+from hushmark.plans.c_labels import EVERYTHING, GRID_DUCK, T, forms, grid, lines, made
 from hushmark.session import cut
 from hushmark.sources import units as U
 
-# Format and label candidates of the Korean units, by construction.
+# All candidates of the Korean units, names repeated in other lines among them, by construction.
 CANDS_DUCK = (
     f"WITH people AS ({fx.PEOPLE}) SELECT *, CAST(split_part(unit_id, '#', 2) AS INT) AS unit_seq, {ID_DUCK} AS cand_id FROM ("
-    + made(*[row for row in EVERYTHING if row not in REPEAT]) + ")"
+    + made(*EVERYTHING) + ")"
 )
 
 
 def cands(spark, d):
     """The candidate table of the Korean units, written once because later steps read it several times."""
-    return cut(D.detect_in_unit(kr_units(spark, d), T))
+    return cut(detect_all(kr_units(spark, d), T))
 
 
 def flagged_units(spark, d):
@@ -67,9 +68,9 @@ def _lines(build):
 
 
 def d8(spark, d):
-    """All pieces; those after the third are over this query's limit."""
+    """All pieces; those after the third are over this query's limit. Every second document's candidates are proven by two characters of their unit."""
     found = forms(spark, d).unionByName(lines(spark, d).withColumn("doc_id", F.expr("-1 - doc_id")))
-    probes = found.selectExpr("doc_id", "unit_id", "unit_id AS cand_id", "0 AS start")
+    probes = found.selectExpr("doc_id", "unit_id", "unit_id AS cand_id", "0 AS start", "IF(doc_id % 2 = 0, unit_id, NULL) AS proof_unit", "0 AS proof_start", "2 AS proof_end")
     return E.evidence_top8(found, probes, E.line_relations(found), 3).selectExpr("doc_id", "cand_id", "ord", "relation", "src_unit_id", "over_limit")
 
 
@@ -148,7 +149,8 @@ ORACLE = {
             SELECT doc_id, unit_id, unit_id AS src_unit_id, 'self' AS relation, 0 AS o FROM e
             UNION ALL SELECT doc_id, unit_id, src_unit_id, 'same_row_left', 100 + up FROM ({_LEFT}) WHERE up = 1 OR down = 1
             UNION ALL SELECT doc_id, unit_id, src_unit_id, 'nearest_above', 1000 FROM ({_ABOVE}) WHERE rn = 1
-            UNION ALL SELECT doc_id, unit_id, src_unit_id, 'preceding_numbered_line', 2000 FROM ({_NUMBERED}) WHERE rn = 1),
+            UNION ALL SELECT doc_id, unit_id, src_unit_id, 'preceding_numbered_line', 2000 FROM ({_NUMBERED}) WHERE rn = 1
+            UNION ALL SELECT doc_id, unit_id, unit_id, 'label_proof', 1000000 FROM e WHERE doc_id % 2 = 0 AND length(text) > 2),
         n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_id ORDER BY o) AS ord FROM r)
         SELECT doc_id, unit_id AS cand_id, ord, relation, src_unit_id, ord > 3 AS over_limit FROM n""",
     "location_label": f"""

@@ -41,8 +41,18 @@ def e1(spark, d):
         bad.selectExpr("doc_id", "'' AS type", "'' AS raw_value", "'' AS role_raw", "'' AS context_raw", "fault"))
 
 
+_OLDER = {"confirmed": "doc_id % 5 = 2", "decision_source": "IF(doc_id % 7 = 3, 'user', NULL)", "has_proposal": "doc_id % 11 = 4"}
+
+
+def older(rows):
+    """Candidates that an earlier run made of records; people confirmed or decided some."""
+    return G.unresolved_candidates(rows).withColumns({name: F.expr(rule) for name, rule in _OLDER.items()})
+
+
 def e2(spark, d):
-    return G.omitted_counts(records(spark, d)).join(kept(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept")), "doc_id")
+    every = records(spark, d)
+    _, removed = G.drop_absent_candidates(older(every))
+    return G.omitted_counts(every).join(G.drop_non_values(every).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept")), "doc_id").join(removed, "doc_id")
 
 
 def e3(spark, d):
@@ -55,7 +65,9 @@ def e4(spark, d):
 
 def _reconciled(rule):
     def query(spark, d):
-        return rule(cut(open_records(spark, d)), cands(spark, d)).select("doc_id", "type", "raw_value", "cand_id")
+        known = cands(spark, d)
+        met = G.with_variants(known, rule(cut(open_records(spark, d)), known)).where("size(variants) > 0")
+        return met.selectExpr("doc_id", "cand_id", "type", "array_join(sources, ',') AS sources", "array_join(variants, '|') AS variants")
 
     return query
 
@@ -131,13 +143,13 @@ def e14(spark, d):
 
 ADDITIONAL = (
     "SELECT doc_id, type, CASE WHEN doc_id % 4 = 0 THEN value || 'x' ELSE value END AS value, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'high' ELSE 'low' END AS confidence, "
-    f"CAST(1 + doc_id % 3 AS INT) AS page, 1 AS ord FROM ({fx.TRUTH}) t UNION ALL SELECT doc_id, type, value, 'medium' AS confidence, 9 AS page, 2 AS ord FROM ({fx.TRUTH}) t2"
+    f"CAST(1 + doc_id % 3 AS INT) AS page, 'x' || CAST(doc_id % 90 AS STRING) AS coordinates, 1 AS ord FROM ({fx.TRUTH}) t UNION ALL SELECT doc_id, type, value, 'medium' AS confidence, 9 AS page, NULL AS coordinates, 2 AS ord FROM ({fx.TRUTH}) t2"
 )
 
 
 def e15(spark, d):
     return G.confidence_evidence(cands(spark, d), fx.derive(spark, d, ADDITIONAL)).selectExpr(
-        "doc_id", "cand_id", "coalesce(confidence, 'none') AS confidence", "coalesce(confidence_page, 0) AS page")
+        "doc_id", "cand_id", "coalesce(confidence, 'none') AS confidence", "coalesce(confidence_page, 0) AS page", "coalesce(coordinates, '-') AS coordinates")
 
 
 def e16(spark, d):
@@ -146,13 +158,17 @@ def e16(spark, d):
 
 
 def e17(spark, d):
+    """Open records of other spellings, and addresses over two lines, of which every fourth document lacks the second line's candidate."""
     rows = cut(open_records(spark, d))
     known = cands(spark, d)
     explained = G.reconcile_email(rows, known).unionByName(G.reconcile_address(rows, known)).unionByName(G.reconcile_whitespace(rows, known))
-    old = G.unresolved_candidates(rows).withColumns({
-        "confirmed": F.expr("doc_id % 5 = 2"), "decision_source": F.expr("IF(doc_id % 7 = 3, 'user', NULL)"), "has_proposal": F.expr("doc_id % 11 = 4"),
-    })
-    return G.repair_unresolved(old, explained.selectExpr("doc_id", "type", "raw_value AS value")).select("doc_id", "cand_id", "type", "value")
+    f = forms(spark, d)
+    linked = cut(L.ground_multiline(f, U.chars_from_lines(f), fx.derive(spark, d, WRAPPED)))
+    lines = linked.where("NOT (doc_id % 4 = 1 AND link_index = 1)").selectExpr("doc_id", "unit_id", "start", "end", "value", "'address' AS type", "true AS located")
+    wrapped = fx.derive(spark, d, WRAPPED).selectExpr("doc_id", "'address' AS type", "value AS raw_value", "'' AS context_raw")
+    old = older(rows.select(*wrapped.columns).unionByName(wrapped))
+    every = explained.selectExpr("doc_id", "type", "raw_value AS value").unionByName(G.repaired_addresses(linked, lines))
+    return G.repair_unresolved(old, every).select("doc_id", "cand_id", "type", "value")
 
 
 def e18(spark, d):
@@ -221,9 +237,10 @@ _U_ID = """'u_' || substr(sha256('{"context": "' || context_raw || '", "proposed
 def _reconcile_duck(kinds: str, normal: str) -> str:
     return f"""
         WITH c AS ({CANDS_DUCK}), o AS ({OPEN_DUCK})
-        SELECT o.doc_id, o.type, o.raw_value, c.cand_id FROM o JOIN c ON o.doc_id = c.doc_id AND o.type = c.type AND {normal.format('o.raw_value')} = {normal.format('c.value')}
+        SELECT o.doc_id, c.cand_id, c.type, CASE WHEN c.type IN ('phone', 'email', 'resident_id', 'foreign_id') THEN 'rule' ELSE 'local_label' END || ',service' AS sources,
+            string_agg(DISTINCT o.raw_value, '|') AS variants FROM o JOIN c ON o.doc_id = c.doc_id AND o.type = c.type AND {normal.format('o.raw_value')} = {normal.format('c.value')}
         WHERE o.type IN ({kinds}) AND o.raw_value <> c.value
-          AND (SELECT count(DISTINCT value) FROM c y WHERE y.doc_id = o.doc_id AND y.type = o.type AND {normal.format('y.value')} = {normal.format('o.raw_value')}) = 1"""
+          AND (SELECT count(DISTINCT value) FROM c y WHERE y.doc_id = o.doc_id AND y.type = o.type AND {normal.format('y.value')} = {normal.format('o.raw_value')}) = 1 GROUP BY 1, 2, 3"""
 
 
 _NUMBERS = "'resident_id', 'foreign_id', 'passport', 'driver_license', 'phone', 'account', 'card', 'dob', 'management_id'"
@@ -248,7 +265,8 @@ ORACLE = {
     "parse_extractions": f"""
         SELECT *, '' AS fault FROM ({X_DUCK}) UNION ALL SELECT k, '', '', '', '', CASE WHEN k % 13 = 0 THEN 'invalid_json' WHEN k % 17 = 0 THEN 'missing_key'
             WHEN k % 19 = 0 THEN 'management_id:not_array' ELSE 'management_id:raw_value' END FROM ({fx.PEOPLE}) WHERE NOT ({_VALID})""",
-    "drop_non_values": f"SELECT doc_id, sum(CASE WHEN {_ABSENT} THEN 1 ELSE 0 END)::BIGINT AS omitted, sum(CASE WHEN {_ABSENT} THEN 0 ELSE 1 END)::BIGINT AS kept FROM ({X_DUCK}) GROUP BY doc_id",
+    "drop_non_values": f"SELECT doc_id, sum(CASE WHEN {_ABSENT} THEN 1 ELSE 0 END)::BIGINT AS omitted, sum(CASE WHEN {_ABSENT} THEN 0 ELSE 1 END)::BIGINT AS kept, "
+                       f"sum(CASE WHEN {_ABSENT} AND doc_id % 5 <> 2 AND doc_id % 7 <> 3 THEN 1 ELSE 0 END)::BIGINT AS removed FROM ({X_DUCK}) GROUP BY doc_id",
     "ground_literal": f'SELECT doc_id, type, raw_value, unit_id, start, "end" FROM ({GROUND_DUCK})',
     "ground_passport": f"SELECT doc_id, raw_value, unit_id, start, \"end\" FROM ({GROUND_DUCK}) WHERE type = 'passport' AND NOT regexp_matches(substr(text, \"end\" + 1, 1), '[A-Za-z0-9_-]') "
                        "AND NOT (start > 0 AND regexp_matches(substr(text, start, 1), '[A-Za-z0-9_-]'))",
@@ -292,13 +310,15 @@ ORACLE = {
     "confidence_evidence": f"""
         WITH c AS ({CANDS_DUCK}), a AS (SELECT DISTINCT * FROM ({ADDITIONAL}))
         SELECT c.doc_id, c.cand_id, CASE WHEN a1.doc_id IS NOT NULL THEN coalesce(a1.confidence, 'low') WHEN a2.doc_id IS NOT NULL THEN 'medium' ELSE 'none' END AS confidence,
-            coalesce(a1.page, a2.page, 0) AS page FROM c LEFT JOIN a a1 ON a1.doc_id = c.doc_id AND a1.type = c.type AND a1.value = c.value AND a1.ord = 1
+            coalesce(a1.page, a2.page, 0) AS page, coalesce(a1.coordinates, '-') AS coordinates FROM c LEFT JOIN a a1 ON a1.doc_id = c.doc_id AND a1.type = c.type AND a1.value = c.value AND a1.ord = 1
             LEFT JOIN a a2 ON a2.doc_id = c.doc_id AND a2.type = c.type AND a2.value = c.value AND a2.ord = 2""",
     "quote_guard": f"""SELECT doc_id, type, unit_id, start, CASE WHEN position(role_raw IN text) > 0 THEN role_raw ELSE '-' END AS role_raw,
         CASE WHEN context_raw <> '' AND position(context_raw IN text) > 0 THEN context_raw ELSE '-' END AS context_raw FROM ({GROUNDED_DUCK})""",
     "repair_unresolved": f"""
         SELECT doc_id, {_U_ID} AS cand_id, type, raw_value AS value FROM (SELECT *, '[]' AS proposed FROM ({OPEN_DUCK}))
-        WHERE doc_id % 5 = 2 OR doc_id % 7 = 3 OR doc_id % 11 = 4 OR NOT ((type = 'email' AND doc_id % 3 = 1) OR (type = 'address' AND doc_id % 3 = 2) OR (type = 'phone' AND doc_id % 4 = 1))""",
+        WHERE doc_id % 5 = 2 OR doc_id % 7 = 3 OR doc_id % 11 = 4 OR NOT ((type = 'email' AND doc_id % 3 = 1) OR (type = 'address' AND doc_id % 3 = 2) OR (type = 'phone' AND doc_id % 4 = 1))
+        UNION ALL SELECT doc_id, 'u_' || substr(sha256('{{"context": "", "proposedLocation": [], "type": "address", "value": "' || replace(value, chr(10), '\\n') || '"}}'), 1, 24), 'address', value FROM ({WRAPPED})
+        WHERE doc_id % 5 = 2 OR doc_id % 7 = 3 OR doc_id % 11 = 4 OR doc_id % 3 = 2 OR doc_id % 4 IN (0, 1)""",
     "final_doc_type": """
         SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'case_record' WHEN l.quality = 0 THEN 'other' WHEN lang = 'en' THEN 'report_minutes' WHEN lang = 'fr' THEN 'contract_agreement' ELSE '-' END AS class,
             CASE WHEN l.toxic = 1 OR l.quality = 0 THEN 'user' WHEN lang IN ('en', 'fr') THEN 'service' ELSE '-' END AS source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",

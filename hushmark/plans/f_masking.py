@@ -12,8 +12,8 @@ from hushmark.plans.c_labels import forms
 from hushmark.plans.d_evidence import CANDS_DUCK, cands
 from hushmark.sources import units as U
 
-# Methods by place; partial hides the first half of the value.
-_METHOD = "CASE (doc_id + start) % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' WHEN 2 THEN 'delete' ELSE 'keep' END"
+# Methods by place, those of names by document, for one name stands in several lines; partial hides the first half of the value.
+_METHOD = "CASE (doc_id + CASE WHEN type = 'name' THEN 0 ELSE start END) % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' WHEN 2 THEN 'delete' ELSE 'keep' END"
 DECIDED_DUCK = f"SELECT *, {_METHOD} AS method, CAST(floor(length(value) / 2) AS INT) AS half FROM ({CANDS_DUCK})"
 
 

@@ -174,7 +174,9 @@ def g9(spark, d):
 
 
 def g10(spark, d):
-    return P.local_recommend(judged(spark, d))
+    """Every sixth document has no facts at all."""
+    bare = "IF(doc_id % 6 = 5, filter(facts, f -> false), facts)"
+    return P.local_recommend(judged(spark, d).withColumn("facts", F.expr(bare)))
 
 
 def g11(spark, d):
@@ -334,7 +336,7 @@ ORACLE = {
         SELECT doc_id, cand_id, unit_text AS ground FROM ({_J_DUCK}) WHERE type = 'phone' AND unit_seq = 14
         UNION ALL SELECT doc_id, cand_id, role_raw FROM ({_J_DUCK}) WHERE role_raw = '대표전화'
         UNION ALL SELECT doc_id, cand_id, value FROM ({_J_DUCK}) WHERE keep_text <> ''""",
-    "local_recommend": f"SELECT doc_id, cand_id, CASE WHEN type = 'phone' AND unit_seq = 14 THEN 'keep' ELSE 'full' END AS recommendation, unit_text AS evidence FROM ({_J_DUCK})",
+    "local_recommend": f"SELECT doc_id, cand_id, CASE WHEN type = 'phone' AND unit_seq = 14 AND doc_id % 6 <> 5 THEN 'keep' ELSE 'full' END AS recommendation, CASE WHEN doc_id % 6 = 5 THEN role_raw ELSE unit_text END AS evidence FROM ({_J_DUCK})",
     "suggestion_coverage": """
         WITH s AS (SELECT o_custkey AS batch, CASE WHEN l_linenumber = 7 THEN '?' || l_orderkey ELSE '' || l_orderkey END AS cand_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
         b AS (SELECT o_custkey AS batch, '' || o_orderkey AS cand_id FROM orders)

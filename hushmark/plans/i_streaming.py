@@ -14,9 +14,9 @@ from hushmark.streaming import jobs as J
 
 
 def stream(spark, d, name):
-    """A table as a file stream; the bracket makes the path a pattern, which single files need."""
+    """A table as a stream of one file a micro-batch; the bracket makes the path a pattern, which single files need."""
     schema = fx.table(spark, d, name).schema
-    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}.parque[t]")
 
 
 def derived(spark, d, sql, name):
@@ -25,11 +25,16 @@ def derived(spark, d, sql, name):
     return spark.sql(text, **{name: stream(spark, d, name)})
 
 
+#: Each turn is a document of its own, apart from the others.
+TURN_ID = "1000000000 + conv_id * 1000 + turn"
+
+
 def i1(spark, d):
     korean = derived(spark, d, fx.DOCS, "customer")
     given = stream(spark, d, "documents").selectExpr("-1 - doc_id AS doc_id", "text")
+    turns = stream(spark, d, "conversations").selectExpr(f"{TURN_ID} AS doc_id", "text")
     out = None
-    for docs in (korean, given):
+    for docs in (korean, given, turns):
         done = J.stream_redact(docs, T, work_folder(spark, "redact"))
         out = done if out is None else out.unionByName(done)
     return out
@@ -132,12 +137,13 @@ QUERIES = {
     "stream_stale_guard_streams": i5_streams, "stream_progress": i6,
 }
 
+_TURNS = f"SELECT * FROM ({fx.DOCUMENT_UNITS_DUCK.replace('FROM documents d', f'FROM (SELECT {TURN_ID} AS doc_id, text FROM conversations) d')}) t"
 _FOUND = f"""
     WITH people AS ({fx.PEOPLE}) SELECT doc_id, unit_id, start, "end" FROM ({made(*EVERYTHING)})
-    UNION ALL SELECT doc_id, unit_id, start, "end" FROM ({settled(f"SELECT -1 - doc_id AS doc_id, unit_seq, unit_id, text FROM ({fx.DOCUMENT_UNITS_DUCK}) x")})"""
+    UNION ALL SELECT doc_id, unit_id, start, "end" FROM ({settled(f"SELECT -1 - doc_id AS doc_id, unit_seq, unit_id, text FROM ({fx.DOCUMENT_UNITS_DUCK}) x UNION ALL {_TURNS}")})"""
 ORACLE = {
     "stream_redact": f"""
-        WITH c AS ({_FOUND}), u AS ({fx.ALL_UNITS_DUCK}),
+        WITH c AS ({_FOUND}), u AS ({fx.ALL_UNITS_DUCK} UNION ALL {_TURNS}),
         o AS (SELECT *, lag("end", 1, 0) OVER (PARTITION BY doc_id, unit_id ORDER BY start) AS prev FROM c),
         j AS (SELECT o.doc_id, o.unit_id, string_agg(substr(u.text, o.prev + 1, o.start - o.prev) || repeat('*', o."end" - o.start), '' ORDER BY o.start) AS head, max(o."end") AS tail, count(*) AS n
               FROM o JOIN u ON o.doc_id = u.doc_id AND o.unit_id = u.unit_id GROUP BY 1, 2)
