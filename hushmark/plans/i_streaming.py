@@ -84,7 +84,7 @@ def i2(spark, d):
 
 def i3(spark, d):
     events = shuffled(spark, _events(spark, d, LIVES), 7)
-    return J.lifetime(events, work_folder(spark, "lifetime"), delay=f"{LATE_DAYS} days")[0]
+    return J.lifetimes(events, work_folder(spark, "lifetime"), delay=f"{LATE_DAYS} days")[0]
 
 
 def i4(spark, d):

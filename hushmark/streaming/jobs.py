@@ -73,19 +73,28 @@ def versioned_state(events: DataFrame, delay: str) -> DataFrame:
     return timed.groupBy("doc_id").transformWithState(VersionFold(), "doc_id long, version long, conflicts long", "update", "eventTime")
 
 
-def lifetime(events: DataFrame, folder: str, seconds: int = K.TTL_SECONDS, delay: str | None = None) -> tuple[DataFrame, StreamingQuery]:
+def lifetime(events: DataFrame, seconds: int = K.TTL_SECONDS, delay: str | None = None) -> DataFrame:
     """Events within ``seconds`` of their document's creation are accepted, all others are expired; every event comes out once.
 
-    The time runs from creation and does not slide. ``events``: doc_id, event_id, ts, creates. The result depends neither on the order of arrival
-    nor on the micro-batches, as long as a creation is no later than ``delay`` (a lifetime, if not given): events before their
-    creation wait for it, and those that find neither it nor its state are judged against the table of creations.
-    State ends with the lifetime. Returns what was judged so far (doc_id, event_id, accepted), and the ended query.
+    The time runs from creation and does not slide. ``events``: doc_id, event_id, ts, creates; out come doc_id, event_id, ts (microseconds), created
+    (of creations) and accepted. State ends when the watermark, ``delay`` (a lifetime, if not given) behind, has passed the lifetime. An event
+    behind the watermark that finds no state comes out with accepted null: see ``lifetimes``.
     """
-    spark = events.sparkSession
-    typed_state(spark)
+    typed_state(events.sparkSession)
     timed = events.withWatermark("ts", delay or f"{seconds} seconds").selectExpr("doc_id", "event_id", "unix_micros(ts) AS ts", "creates")
-    judged = timed.groupBy("doc_id").transformWithState(
+    return timed.groupBy("doc_id").transformWithState(
         Lifetime(seconds), "doc_id long, event_id long, ts long, created long, accepted boolean", "append", "eventTime")
+
+
+def lifetimes(events: DataFrame, folder: str, seconds: int = K.TTL_SECONDS, delay: str | None = None) -> tuple[DataFrame, StreamingQuery]:
+    """Run ``lifetime`` over what is there: what was judged so far (doc_id, event_id, accepted), and the ended query.
+
+    Events that found neither their creation nor its state are judged against the table of creations, of which only files that may hold their
+    documents are opened. So the result depends neither on the order of arrival nor on the micro-batches, as long as a creation is
+    no later than ``delay``.
+    """
+    spark = events.sparkSession
+    judged = lifetime(events, seconds, delay)
     creations = KeyedLog(spark, f"{folder}/creations", ["doc_id"])
 
     def write(batch: DataFrame, number: int) -> None:

@@ -104,7 +104,7 @@ def test_lifetimes_do_not_depend_on_arrival(spark, tmp_path, files, seed):
     rows = lives(11)
     for f in [*by_arrival(rows, 1800, files, seed), [(None, None, at(10**6), None)]]:
         put(spark, f, LIVES, f"{tmp_path}/in")
-    done, query = J.lifetime(source(spark, LIVES, f"{tmp_path}/in"), f"{tmp_path}/work", 3600, "30 minutes")
+    done, query = J.lifetimes(source(spark, LIVES, f"{tmp_path}/in"), f"{tmp_path}/work", 3600, "30 minutes")
     found = [(r.event_id, r.accepted) for r in done.collect()]
     assert len(found) == len(rows) and dict(found) == expected_lives(rows)
     states = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
@@ -119,7 +119,7 @@ def test_lifetimes_of_late_events_come_from_the_table(spark, tmp_path):
         [(1, 12, at(3599), False), (1, 13, at(3601), False), (3, 30, at(10), False), (1, 14, at(49_990), False)], [(None, None, at(10**6), None)]]
     for f in files:
         put(spark, f, LIVES, f"{tmp_path}/in")
-    done, query = J.lifetime(source(spark, LIVES, f"{tmp_path}/in"), f"{tmp_path}/work", 3600, "10 minutes")
+    done, query = J.lifetimes(source(spark, LIVES, f"{tmp_path}/in"), f"{tmp_path}/work", 3600, "10 minutes")
     assert {r.event_id: r.accepted for r in done.collect()} == {10: True, 11: True, 12: True, 13: False, 14: False, 20: False, 30: False, 90: True, 91: True}
     assert query.lastProgress.stateOperators[0].numRowsTotal == 0
 
