@@ -14,8 +14,9 @@ rows. Only doc_id and text are read, so other columns can't clash.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +46,14 @@ def default_path() -> str:
 
 
 class _Ids(dict):
-    """Ids of pre-tokens, as the library gives them; what is asked for first is encoded then. A full cache starts anew."""
+    """Ids of pre-tokens as the library gives them, as bytes, four an id; what is asked for first is encoded then. A full cache starts anew."""
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
         self.vocab = vocab
 
-    def __missing__(self, word: bytes) -> list[int]:
-        ids = self.vocab.ids(word)
+    def __missing__(self, word: bytes) -> bytes:
+        ids = array("I", self.vocab.ids(word)).tobytes()
         if len(word) <= CACHED_BYTES:
             if len(self) >= CACHED:
                 self.clear()
@@ -65,16 +66,16 @@ def encoded(column: pa.Array, vocab: Vocabulary, cache: _Ids) -> Iterator[tuple[
     last, parts = 0, []
     for rows, data, at in stretches(column):
         whole, starts = data.tobytes(), vocab.starts(data, at)
-        ends = np.append(starts[1:], len(data))
-        first = np.searchsorted(starts, at)
+        first = np.searchsorted(starts, at).tolist()
+        bounds = np.append(starts, len(data)).tolist()
+        words = map(cache.__getitem__, map(whole.__getitem__, map(slice, bounds[:-1], bounds[1:])))
         for k, row in enumerate(rows.tolist()):
             if row != last:
-                yield last, np.concatenate(parts) if parts else np.zeros(0, "<u4")
+                yield last, np.frombuffer(b"".join(parts), "<u4")
                 last, parts = row, []
-            words = [whole[a:b] for a, b in zip(starts[first[k] : first[k + 1]].tolist(), ends[first[k] : first[k + 1]].tolist(), strict=True)]
-            parts.append(np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), "<u4"))
+            parts.append(b"".join(islice(words, first[k + 1] - first[k])))
     if len(column):
-        yield last, np.concatenate(parts) if parts else np.zeros(0, "<u4")
+        yield last, np.frombuffer(b"".join(parts), "<u4")
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
