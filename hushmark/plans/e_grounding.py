@@ -185,13 +185,14 @@ def _find_literal(disjoint):
         units = U.units_from_text(fx.table(spark, d, "benchmark").selectExpr("item_id AS doc_id", "text"))
         values = fx.table(spark, d, "benchmark").selectExpr("item_id AS doc_id", "explode(array('th', 'en', 'haha', substring(text, 5, 4), 'an')) AS value")
         rows = locate(units, values, disjoint)
+        people = fx.dealt(fx.table(spark, d, "customer"))
         own = U.units_from_text(fx.derive(spark, d, "SELECT c_custkey AS doc_id, repeat('가나', 4) || '😀' || c_name || repeat('0', 5) AS text FROM customer"))
-        seeds = fx.table(spark, d, "customer").selectExpr("c_custkey AS doc_id", "explode(array('가나가', '000', 'Customer#', '(?a)')) AS value")
+        seeds = people.selectExpr("c_custkey AS doc_id", "explode(array('가나가', '000', 'Customer#', '(?a)')) AS value")
         rows = rows.unionByName(locate(own, seeds, disjoint).withColumn("doc_id", F.expr("-1 - doc_id")))
         # One document that holds every customer as a line and is searched for every customer's name.
-        ledger = fx.table(spark, d, "customer").selectExpr("1000000000L AS doc_id", "CAST(c_custkey AS INT) AS unit_seq", "concat('#', c_custkey) AS unit_id", "'ledger' AS part",
+        ledger = people.selectExpr("1000000000L AS doc_id", "CAST(c_custkey AS INT) AS unit_seq", "concat('#', c_custkey) AS unit_id", "'ledger' AS part",
                                                            "concat(c_name, ' / ', c_name, ' / ', c_mktsegment) AS text")
-        names = fx.table(spark, d, "customer").selectExpr("1000000000L AS doc_id", "c_name AS value")
+        names = people.selectExpr("1000000000L AS doc_id", "c_name AS value")
         return rows.unionByName(locate(ledger, names, disjoint)).select("doc_id", "unit_id", "value", "start", "end")
 
     return query
