@@ -14,7 +14,7 @@ from hushmark.functions.ids import candidate_id, json_text, unresolved_id
 from hushmark.operators.joins import block_rank
 from hushmark.operators.literal import locate, pairs
 from hushmark.operators.matching import Taken
-from hushmark.session import cut
+from hushmark.session import cut, stored
 
 SERVICE = "service"
 
@@ -71,8 +71,8 @@ def parsed(payloads: DataFrame) -> DataFrame:
 
 
 def parse_extractions(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the valid payloads, and the refused documents with a reason."""
-    checked = parsed(payloads)
+    """Rows of the valid payloads, and the refused documents with a reason; payloads are parsed once for both."""
+    checked = stored(parsed(payloads), "records")
     return checked.where("fault IS NULL").drop("fault"), checked.where("fault IS NOT NULL").select("doc_id", "fault")
 
 

@@ -19,7 +19,7 @@ def payloads(spark, d):
 
 
 def records(spark, d):
-    return cut(G.parse_extractions(payloads(spark, d))[0])
+    return G.parse_extractions(payloads(spark, d))[0]
 
 
 def kept(spark, d):
