@@ -27,7 +27,8 @@ def _is(path_value: str, kind: str) -> str:
     return f"coalesce(schema_of_variant({path_value}) LIKE '{kind}%', false)"
 
 
-def _item_fault(kind: str) -> str:
+def _item_fault(rank: int, kind: str) -> str:
+    """The first fault among the items ``a[rank]`` of a kind; what is wrong is only told apart where something is."""
     def text(field: str) -> str:
         return _is(f"variant_get(x, '$.{field}')", "STRING")
 
@@ -37,10 +38,11 @@ def _item_fault(kind: str) -> str:
         (f"NOT {text('role_raw')}", "role_raw"),
         (f"NOT {text('context_raw')}", "context_raw"),
     ]
+    right = " AND ".join(f"NOT ({test})" for test, _ in checks[1:])
     cases = " ".join(f"WHEN {test} THEN '{kind}:{fault}'" for test, fault in checks)
     return (
-        f"CASE WHEN NOT {_is(f'''variant_get(v, '$.{kind}')''', 'ARRAY')} THEN '{kind}:not_array' "
-        f"ELSE get(filter(transform({_items(kind)}, x -> CASE {cases} END), f -> f IS NOT NULL), 0) END"
+        f"CASE WHEN a[{rank}] IS NULL THEN '{kind}:not_array' "
+        f"ELSE get(filter(transform(a[{rank}], x -> CASE WHEN {right} THEN NULL {cases} END), f -> f IS NOT NULL), 0) END"
     )
 
 
@@ -54,19 +56,22 @@ def parsed(payloads: DataFrame) -> DataFrame:
     filters do not repeat the parsing.
     """
     missing = " OR ".join(f"try_variant_get(v, '$.{k}', 'variant') IS NULL" for k in K.TYPES)
-    faults = ", ".join(_item_fault(k) for k in K.TYPES)
-    fault = (
-        f"CASE WHEN v IS NULL THEN 'invalid_json' WHEN NOT {_is('v', 'OBJECT')} THEN 'not_object' "
-        f"WHEN {missing} THEN 'missing_key' ELSE coalesce({faults}) END"
+    faults = ", ".join(_item_fault(i, k) for i, k in enumerate(K.TYPES))
+    # Only an object has arrays by all names: what else a payload is, is asked where one is missing.
+    shape = (
+        f"CASE WHEN forall(a, i -> i IS NOT NULL) THEN NULL WHEN v IS NULL THEN 'invalid_json' WHEN NOT {_is('v', 'OBJECT')} THEN 'not_object' "
+        f"WHEN {missing} THEN 'missing_key' END"
     )
+    fault = let("sh", shape, f"coalesce(sh, {faults})")
     item = (
         "transform({items}, (x, i) -> named_struct('type', '{kind}', 'rec_no', {rank} * 4294967296L + i, "
         "'raw_value', variant_get(x, '$.raw_value', 'string'), 'role_raw', variant_get(x, '$.role_raw', 'string'), "
         "'context_raw', variant_get(x, '$.context_raw', 'string'), 'fault', CAST(NULL AS STRING)))"
     )
-    rows = ", ".join(item.format(items=_items(k), kind=k, rank=i) for i, k in enumerate(K.TYPES))
+    rows = ", ".join(item.format(items=f"a[{i}]", kind=k, rank=i) for i, k in enumerate(K.TYPES))
+    items = f"array({', '.join(_items(k) for k in K.TYPES)})"
     refused = f"array(CAST(named_struct('type', NULL, 'rec_no', NULL, 'raw_value', NULL, 'role_raw', NULL, 'context_raw', NULL, 'fault', bad) AS {_RECORD}))"
-    body = let("v", "try_parse_json(payload)", let("bad", fault, f"IF(bad IS NULL, concat({rows}), {refused})"))
+    body = let("v", "try_parse_json(payload)", let("a", items, let("bad", fault, f"IF(bad IS NULL, concat({rows}), {refused})")))
     return payloads.selectExpr("doc_id", f"inline({body})")
 
 
