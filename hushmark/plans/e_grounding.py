@@ -89,9 +89,9 @@ def e9(spark, d):
         "doc_id", "cand_id", "type", "array_join(alts, ',') AS alts", "array_join(sources, ',') AS sources")
 
 
-def overlap_records(spark, d):
-    """Grounded records plus spans that sit inside, reach outside, or repeat earlier records."""
-    base = cands(spark, d).where("type IN ('phone', 'address', 'dob')")
+def overlap_records(spark, d, known):
+    """Grounded records plus spans that sit inside, reach outside, or repeat earlier records, made of the known candidates."""
+    base = known.where("type IN ('phone', 'address', 'dob')")
     inside = base.where("type = 'phone'").selectExpr("doc_id", "unit_id", "start + 4 AS start", "end", "'account' AS type", "substring(value, 5) AS raw_value", "9000000 AS rec_no", "'' AS context_raw")
     wide = base.where("type = 'dob'").selectExpr("doc_id", "unit_id", "start - 3 AS start", "end", "'management_id' AS type", "value AS raw_value", "11000000 AS rec_no", "'생일' AS context_raw")
     free = kr_units(spark, d).where("unit_seq = 12").selectExpr("doc_id", "unit_id", "0 AS start", "5 AS end", "'name' AS type", "'예산 합계' AS raw_value", "0 AS rec_no", "'' AS context_raw")
@@ -102,7 +102,8 @@ def overlap_records(spark, d):
 
 
 def e10(spark, d):
-    found, unresolved = G.merge_overlap(cands(spark, d), overlap_records(spark, d))
+    known = cands(spark, d)
+    found, unresolved = G.merge_overlap(known, overlap_records(spark, d, known))
     a = found.selectExpr("doc_id", "cand_id", "type", "value", "array_join(alts, ',') AS alts", "array_join(sources, ',') AS sources", "fresh", "start")
     b = unresolved.selectExpr("doc_id", "cand_id", "type", "value", "'proposed' AS alts", "'service' AS sources", "true AS fresh", "proposed_start AS start")
     return a.unionByName(b)
